@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, token_counts
+from . import decontaminate, ngram_join, token_counts
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,8 +21,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_decontamination": op2_decontamination}
+    found = [op1_token_counts, op2_decontamination, op9_ngram_jaccard]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
