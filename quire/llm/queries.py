@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join, token_counts
+from . import decontaminate, ngram_join, token_counts, toxicity
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,8 +25,12 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_decontamination, op9_ngram_jaccard]
+    found = [op1_token_counts, op2_decontamination, op9_ngram_jaccard, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
