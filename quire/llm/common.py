@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,12 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Deletes scratch tables that no later plan reads."""
     for df in frames:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize
+from .common import components, discard, materialize, sweep
 from .words import SPACED, mix, shingle_sets, slices, words
 
 SKETCH_BITS = 18
@@ -216,7 +216,8 @@ def _sets(docs: DataFrame, id_col: str, text: str, k: int, wanted: DataFrame) ->
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text).where("id is not null")
     found = rows.withColumn("slot", slot).mapInArrow(lambda it: run(kept(it)), "id long, cls long, ngrams binary")
-    return found.join(wanted, ["id", "cls"], "left_semi").groupBy("cls").agg(F.first("ngrams").alias("ngrams"))
+    both = found.join(wanted.withColumnsRenamed({"id": "wanted_id"}), "cls").where("id = wanted_id")
+    return both.groupBy("cls").agg(F.first("ngrams").alias("ngrams"))
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -235,7 +236,53 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.groupBy("ly", "lt").cogroup(right.groupBy("ry", "rt")).applyInArrow(run, "a long, b long")
 
 
-_FITS = "100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) and 180 * (1 + least(a.n - a.pos, b.n - b.pos) - 1) >= 80 * (a.n + b.n)"
+#: Whether sets a and b, of which this n-gram is the first shared one, may reach the overlap they need.
+FITS = "100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) and 180 * least(a.n - a.pos, b.n - b.pos) >= 80 * (a.n + b.n)"
+
+
+def _shared_prefixes(docs: DataFrame, id_col: str, text: str, k: int, frequency, heavy) -> DataFrame:
+    """The rows of _prefixes whose n-gram more than one class has."""
+    tokens = materialize(_prefixes(docs, id_col, text, k, frequency, heavy), "prefixes")
+    shared = tokens.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("h")
+    live = materialize(tokens.join(shared, "h"), "shared")
+    discard(tokens)
+    return live
+
+
+def _best_partner(live: DataFrame) -> DataFrame:
+    """(x, nx, y): each class and the smallest set that most of its prefix n-grams lead to."""
+    centres = live.groupBy("h").agg(F.min(F.struct("n", "cls", "pos")).alias("b")).select("h", "b.n", "b.cls", "b.pos")
+    best = (
+        live.alias("a")
+        .join(centres.alias("b"), F.expr("a.h = b.h and a.cls <> b.cls and " + FITS))
+        .groupBy(F.col("a.cls").alias("x"), F.col("a.n").alias("nx"), F.col("b.cls").alias("y"))
+        .agg(F.count("*").alias("times"))
+        .groupBy("x", "nx")
+        .agg(F.max_by("y", F.struct("times", "y")).alias("y"))
+    )
+    return materialize(best, "pairs")
+
+
+def _unconnected(live: DataFrame, comp: DataFrame) -> DataFrame:
+    """(x, nx, y): pairs that share a prefix n-gram, may reach the overlap they need, and aren't connected yet."""
+    known = live.join(comp.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    apart = known.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
+    rows = materialize(known.join(apart, "h"), "open")
+    pairs = (
+        rows.alias("a")
+        .join(rows.alias("b"), F.expr("a.h = b.h and a.comp <> b.comp and (a.n > b.n or a.n = b.n and a.cls > b.cls) and " + FITS))
+        .select(F.col("a.cls").alias("x"), F.col("a.n").alias("nx"), F.col("b.cls").alias("y"))
+        .distinct()
+    )
+    out = materialize(pairs, "pairs")
+    discard(rows)
+    return out
+
+
+def _classes_of(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, id) of all classes in pairs."""
+    ends = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct()
+    return classes.select("cls", "id").join(ends, "cls", "left_semi")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
@@ -255,42 +302,23 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     common = {r.cls: r.id for r in classes.where(F.col("copies") * HEAVY > total + HEAVY).select("cls", "id").collect()}
     heavy = docs.sparkSession.sparkContext.broadcast(common)
 
-    tokens = materialize(_prefixes(docs, id_col, text, k, frequency, heavy), "prefixes")
-    centres = (
-        tokens.groupBy("h")
-        .agg(F.min(F.struct("n", "cls", "pos")).alias("b"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-        .where("lo <> hi")
-        .select("h", "b")
-    )
-    live = materialize(tokens.alias("a").join(centres, "h").select("h", "a.cls", "a.n", "a.pos", "b"), "shared")
-    discard(tokens)
-    best = (
-        live.alias("a")
-        .where("a.cls <> a.b.cls and " + _FITS.replace("b.", "a.b."))
-        .groupBy("cls", "n", F.col("b.cls").alias("y"))
-        .agg(F.count("*").alias("times"))
-        .groupBy("cls", "n")
-        .agg(F.max_by("y", F.struct("times", "y")).alias("y"))
-        .select(F.col("cls").alias("x"), F.col("n").alias("nx"), "y")
-    )
-    pairs = materialize(best, "pairs")
-    wanted = live.select("cls").distinct().join(classes.select("cls", "id"), "cls")
-    sets = materialize(_sets(docs, id_col, text, k, wanted), "sets")
-    links = materialize(_compare(pairs, sets), "links1")
-    comp = materialize(components(links), "comp1")
-
-    open_ = live.select("h", "cls", "n", "pos").join(comp.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    apart = open_.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    open_ = materialize(open_.join(apart, "h"), "open")
-    rest = (
-        open_.alias("a")
-        .join(open_.alias("b"), F.expr("a.h = b.h and a.comp <> b.comp and (a.n > b.n or a.n = b.n and a.cls > b.cls) and " + _FITS))
-        .select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"), F.col("a.n").alias("nx"))
-        .distinct()
-    )
-    rest = materialize(rest, "pairs2")
-    links2 = materialize(_compare(rest, sets), "links2")
-    discard(sets, live, open_, pairs, rest, comp)
+    live = _shared_prefixes(docs, id_col, text, k, frequency, heavy)
+    sweep(docs.sparkSession)
+
+    # Round one.
+    pairs = _best_partner(live)
+    sets = materialize(_sets(docs, id_col, text, k, _classes_of(pairs, classes)), "sets")
+    links = materialize(_compare(pairs, sets), "links")
+    comp = materialize(components(links), "joined")
+    # Round two.
+    rest = _unconnected(live, comp)
+    discard(live, comp, pairs)
+    sweep(docs.sparkSession)
+    more = _classes_of(rest, classes).join(sets.select("cls"), "cls", "left_anti")
+    sets2 = materialize(_sets(docs, id_col, text, k, more), "sets")
+    links2 = materialize(_compare(rest, sets.unionByName(sets2)), "links")
+    discard(sets, sets2, rest)
+    sweep(docs.sparkSession)
     comp = components(links.unionByName(links2))
     least = comp.join(classes.select(F.col("cls").alias("node"), "id"), "node")
     root = least.groupBy("comp").agg(F.min("id").alias("root"))
