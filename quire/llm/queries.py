@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, ngram_join, token_counts, toxicity
+from . import decontaminate, mixing, ngram_join, sharding, token_counts, toxicity
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_decontamination, op3_mixing, op9_ngram_jaccard, op10_toxicity]
+    found = [op1_token_counts, op2_decontamination, op3_mixing, op4_sharding, op9_ngram_jaccard, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
