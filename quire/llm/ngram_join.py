@@ -6,10 +6,11 @@ order gives the same links; this one keeps passages that many documents share ou
 prefixes. Two sets with Jaccard >= 0.8 share an n-gram among the first n - ceil(0.8 n) + 1 of
 each, so classes meet by joining prefixes (hash tables of (n-gram, class, size, position)).
 
-Links are found in two rounds, both exact on what they compare. Round one compares each class
-with one other, the smallest set of its best shared n-gram, which joins families of near copies
-in linear time. Round two compares what shares a prefix n-gram but isn't connected yet, under
-the length and position bounds; pairs already connected can't change a class.
+Links are found in three rounds, all exact on what they compare. Round one compares each class
+with one other, its next smaller neighbour at most of its n-grams, which joins most of a family
+of near copies in linear time. Then come the pairs that share a prefix n-gram, keep the length
+and position bounds and aren't connected yet: round two compares one of them for each pair of
+components, round three whatever these leave apart. Pairs already connected can't change a class.
 
 Comparing means a prefix tree: the sets that meet one probe set are stored in a trie, ordered
 by an order global to the trie, and the probe walks it once. Partial overlaps are shared by
@@ -250,12 +251,27 @@ def _shared_prefixes(docs: DataFrame, id_col: str, text: str, k: int, frequency,
 
 
 def _best_partner(live: DataFrame) -> DataFrame:
-    """(x, nx, y): each class and the smallest set that most of its prefix n-grams lead to."""
-    centres = live.groupBy("h").agg(F.min(F.struct("n", "cls", "pos")).alias("b")).select("h", "b.n", "b.cls", "b.pos")
+    """(x, nx, y): each class and its next smaller neighbour at most of its prefix n-grams.
+
+    Neighbours stand next to each other in the order of (n-gram, size, class), which is sorted
+    by range, so that an n-gram of very many classes spreads over tasks. A neighbour beyond
+    the edge of a task is left to the later rounds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            h, c, n, p = ([*batch.column(i).to_numpy()] if last is None else np.concatenate([[last[i]], batch.column(i).to_numpy()]) for i in range(4))
+            h, c, n, p = np.asarray(h, np.int64), np.asarray(c, np.int64), np.asarray(n, np.int64), np.asarray(p, np.int64)
+            last = (h[-1], c[-1], n[-1], p[-1])
+            fits = (h[1:] == h[:-1]) & (c[1:] != c[:-1]) & (100 * n[:-1] >= 80 * n[1:]) & (180 * np.minimum(n[1:] - p[1:], n[:-1] - p[:-1]) >= 80 * (n[1:] + n[:-1]))
+            i = np.flatnonzero(fits)
+            yield pa.RecordBatch.from_arrays([pa.array(c[1:][i]), pa.array(n[1:][i]), pa.array(c[:-1][i])], ["x", "nx", "y"])
+
+    near = live.select("h", "cls", F.col("n").cast("long"), F.col("pos").cast("long")).repartitionByRange("h", "n", "cls").sortWithinPartitions("h", "n", "cls")
     best = (
-        live.alias("a")
-        .join(centres.alias("b"), F.expr("a.h = b.h and a.cls <> b.cls and " + FITS))
-        .groupBy(F.col("a.cls").alias("x"), F.col("a.n").alias("nx"), F.col("b.cls").alias("y"))
+        near.mapInArrow(run, "x long, nx long, y long")
+        .groupBy("x", "nx", "y")
         .agg(F.count("*").alias("times"))
         .groupBy("x", "nx")
         .agg(F.max_by("y", F.struct("times", "y")).alias("y"))
@@ -279,6 +295,13 @@ def _unconnected(live: DataFrame, comp: DataFrame) -> DataFrame:
     return out
 
 
+def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components, with those as cx < cy."""
+    x = pairs.join(comp.toDF("x", "a"), "x", "left")
+    both = x.join(comp.toDF("y", "b"), "y", "left").withColumns({"a": F.coalesce("a", "x"), "b": F.coalesce("b", "y")})
+    return both.where("a <> b").select("x", "nx", "y", F.least("a", "b").alias("cx"), F.greatest("a", "b").alias("cy"))
+
+
 def _classes_of(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(cls, id) of all classes in pairs."""
     ends = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct()
@@ -310,16 +333,22 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sets = materialize(_sets(docs, id_col, text, k, _classes_of(pairs, classes)), "sets")
     links = materialize(_compare(pairs, sets), "links")
     comp = materialize(components(links), "joined")
-    # Round two.
+    # Rounds two and three.
     rest = _unconnected(live, comp)
-    discard(live, comp, pairs)
+    discard(live, pairs)
     sweep(docs.sparkSession)
     more = _classes_of(rest, classes).join(sets.select("cls"), "cls", "left_anti")
     sets2 = materialize(_sets(docs, id_col, text, k, more), "sets")
-    links2 = materialize(_compare(rest, sets.unionByName(sets2)), "links")
-    discard(sets, sets2, rest)
+    sets = sets.unionByName(sets2)
+    one = materialize(_between(rest, comp).groupBy("cx", "cy").agg(F.min_by(F.struct("x", "nx", "y"), F.xxhash64("x", "y")).alias("p")).select("p.*"), "pairs")
+    links2 = materialize(_compare(one, sets), "links")
+    comp2 = materialize(components(links.unionByName(links2)), "joined")
+    left = materialize(_between(rest, comp2).select("x", "nx", "y").join(one.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
+    links3 = materialize(_compare(left, sets), "links")
+    discard(comp, comp2, rest, one, left, sets2)
     sweep(docs.sparkSession)
-    comp = components(links.unionByName(links2))
+    links = links.unionByName(links2).unionByName(links3)
+    comp = components(links)
     least = comp.join(classes.select(F.col("cls").alias("node"), "id"), "node")
     root = least.groupBy("comp").agg(F.min("id").alias("root"))
     named = materialize(

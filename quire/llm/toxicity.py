@@ -81,7 +81,10 @@ def train(texts: list[str], y: list[int], epochs: int = 60, rate: float = 0.05,
     docs = [np.array([number.setdefault(w, len(number)) for w in WORD.findall(t.lower())], np.int32) for t in texts]
     keep = [i for i, d in enumerate(docs) if len(d)]
     docs, y = [docs[i] for i in keep], y[keep]
-    feat, size = bags(list(number))
+    vocabulary = list(number)
+    parts = [bags(vocabulary[i : i + 16384]) for i in range(0, len(vocabulary), 16384)]
+    feat, size = np.concatenate([f.astype(np.int32) for f, _ in parts]), np.concatenate([n for _, n in parts])
+    del parts, vocabulary
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
     flat, lens = np.concatenate(docs), np.array([len(d) for d in docs])
     n = np.minimum(lens, PASSAGE)
@@ -112,7 +115,7 @@ def train(texts: list[str], y: list[int], epochs: int = 60, rate: float = 0.05,
         gp = a * g[doc_of]
         edge = np.bincount(begin, gp / width, len(flat) + 1) - np.bincount(begin + width, gp / width, len(flat) + 1)
         gz = np.bincount(flat, np.cumsum(edge)[:-1], len(number))
-        gs = np.bincount(feat, np.repeat(gz / size, size), BUCKETS).astype(np.float32)
+        gs = np.bincount(feat, np.repeat((gz / size).astype(np.float32), size), BUCKETS).astype(np.float32)
         gu = e.T @ gs
         grads = [gs[:, None] * u[None, :] + decay / len(y) * e, np.stack([-gu, gu], 1) + decay * w, np.array([-g.sum(), g.sum()])]
         for x, d, (m, v) in zip((e, w, b), grads, state, strict=True):
@@ -149,7 +152,7 @@ class Scorer(dict):
 _scorers: dict[int, Scorer] = {}
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", most: int = 3000, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", most: int = 2500, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, held_out, score, predicted[, keep]) of every row, from its whole text.
 
     Fits on at most ``most`` labelled rows of each label, chosen by the hash of their id, from
@@ -159,7 +162,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_
     known = sample_ids(labels, label, most, id_col)
     rows = sample_rows(docs, known, [text], id_col).collect() if known else []
     rows.sort(key=lambda r: (r[0], r[2] or ""))
-    model = train([r[2] or "" for r in rows], [r[1] for r in rows])
+    texts, y = [r[2] or "" for r in rows], [r[1] for r in rows]
+    del rows
+    model = train(texts, y)
+    del texts
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = hash((model[0].tobytes(), model[1]))
     names = list(dict.fromkeys((id_col, *keep)))
