@@ -34,6 +34,8 @@ SKETCH_BITS = 18
 SLICES = 64
 #: Classes of more than 1 / HEAVY of all rows are at most HEAVY; these are known to every task.
 HEAVY = 10_000
+#: Bits of a class's parity sketch.
+PARITY = 1024
 #: Elements of the sets that share a trie; more are split over several tries.
 TRIE = 200_000
 
@@ -110,12 +112,21 @@ def _class(s: np.ndarray) -> int:
         return int(mix(x[:1] * np.uint64(3) + x[1:]).view(np.int64)[0])
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """PARITY bits, as longs: whether an odd number of the set's n-grams hashes to each.
+
+    Bits that differ between two sets bound their symmetric difference from below, exactly.
+    """
+    odd = np.bincount((s >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _digests(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
     """Rows (id, n, cls) and, with part >= 0, each task's counts of the sketch's buckets, in SLICES parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
-        names = ["id", "n", "cls", "part", "counts"]
+        names = ["id", "n", "cls", "parity", "part", "counts"]
         for batch in slices(batches, text):
             sets = shingle_sets(*words(batch.column(text), SPACED), k)
             cls = [_class(s) if len(s) else 0 for s in sets]
@@ -125,12 +136,12 @@ def _digests(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
             if len(seen) > 1 << 20:
                 seen.clear()
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(np.full(m, -1), pa.int32()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array([_parity(s) for s in sets], pa.list_(pa.int64())), pa.array(np.full(m, -1), pa.int32()), pa.nulls(m, pa.binary())], names)
         if sketch.any():
             parts = np.minimum(sketch, 65535).astype("<u2").reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, cls long, part int, counts binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, cls long, parity array<long>, part int, counts binary")
 
 
 def _frequencies(digests: DataFrame) -> np.ndarray:
@@ -250,7 +261,7 @@ def _shared_prefixes(docs: DataFrame, id_col: str, text: str, k: int, frequency,
     return live
 
 
-def _best_partner(live: DataFrame) -> DataFrame:
+def _best_partner(live: DataFrame, classes: DataFrame) -> DataFrame:
     """(x, nx, y): each class and its next smaller neighbour at most of its prefix n-grams.
 
     Neighbours stand next to each other in the order of (n-gram, size, class), which is sorted
@@ -276,10 +287,10 @@ def _best_partner(live: DataFrame) -> DataFrame:
         .groupBy("x", "nx")
         .agg(F.max_by("y", F.struct("times", "y")).alias("y"))
     )
-    return materialize(best, "pairs")
+    return materialize(_near(best, classes), "pairs")
 
 
-def _unconnected(live: DataFrame, comp: DataFrame) -> DataFrame:
+def _unconnected(live: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
     """(x, nx, y): pairs that share a prefix n-gram, may reach the overlap they need, and aren't connected yet."""
     known = live.join(comp.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     apart = known.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
@@ -290,11 +301,18 @@ def _unconnected(live: DataFrame, comp: DataFrame) -> DataFrame:
         .select(F.col("a.cls").alias("x"), F.col("a.n").alias("nx"), F.col("b.cls").alias("y"))
         .distinct()
     )
-    out = materialize(pairs, "pairs")
+    out = materialize(_near(pairs, classes), "pairs")
     discard(rows)
     return out
 
 
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose parity sketches leave room for the overlap they need; none that links is lost."""
+    x, y = classes.select("cls", "parity").toDF("x", "px"), classes.select("cls", "n", "parity").toDF("y", "ny", "py")
+    differ = F.aggregate(F.zip_with("px", "py", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, b: s + b)
+    return pairs.join(x, "x").join(y, "y").where(F.col("nx") + F.col("ny") >= 9 * differ).select("x", "nx", "y")
+
+
 def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components, with those as cx < cy."""
     x = pairs.join(comp.toDF("x", "a"), "x", "left")
@@ -318,9 +336,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     each of their texts. component_id is the smallest id reachable. Other columns are ignored.
     """
     digests = materialize(_digests(docs, id_col, text, k), "digests")
-    rows = digests.where("part < 0").select("id", "n", "cls")
+    rows = digests.where("part < 0").select("id", "n", "cls", "parity")
     frequency = docs.sparkSession.sparkContext.broadcast(_frequencies(digests))
-    classes = materialize(rows.where("id is not null and n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n")), "classes")
+    classes = materialize(rows.where("id is not null and n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("parity").alias("parity")), "classes")
     total = rows.count()
     common = {r.cls: r.id for r in classes.where(F.col("copies") * HEAVY > total + HEAVY).select("cls", "id").collect()}
     heavy = docs.sparkSession.sparkContext.broadcast(common)
@@ -329,12 +347,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sweep(docs.sparkSession)
 
     # Round one.
-    pairs = _best_partner(live)
+    pairs = _best_partner(live, classes)
     sets = materialize(_sets(docs, id_col, text, k, _classes_of(pairs, classes)), "sets")
     links = materialize(_compare(pairs, sets), "links")
     comp = materialize(components(links), "joined")
     # Rounds two and three.
-    rest = _unconnected(live, comp)
+    rest = _unconnected(live, comp, classes)
     discard(live, pairs)
     sweep(docs.sparkSession)
     more = _classes_of(rest, classes).join(sets.select("cls"), "cls", "left_anti")
