@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, mixing, ngram_join, quality, sharding, token_counts, toxicity
+from . import decontaminate, embedding_dedup, line_dedup, mixing, ngram_join, quality, sharding, token_counts, toxicity, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +29,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -46,9 +54,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_decontamination, op3_mixing, op4_sharding, op6_quality, op7_embedding_dedup, op9_ngram_jaccard, op10_toxicity]
+    found = [op1_token_counts, op2_decontamination, op3_mixing, op4_sharding, op5_line_dedup, op6_quality, op7_embedding_dedup, op8_url_filter, op9_ngram_jaccard, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.SQL, "op3_mixing": mixing.SQL}
+    return {"op2_decontamination": decontaminate.SQL, "op3_mixing": mixing.SQL, "op8_url_filter": url_filter.SQL}
