@@ -53,8 +53,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_decontamination, op3_mixing, op4_sharding, op5_line_dedup, op6_quality, op7_embedding_dedup, op8_url_filter, op9_ngram_jaccard, op10_toxicity]
+    found = [op1_token_counts, op2_decontamination, op3_mixing, op4_sharding, op5_line_dedup, op6_quality, op7_embedding_dedup, op8_url_filter, op9_ngram_jaccard, op10_toxicity, pipeline]
     return {f.__name__: f for f in found}
 
 
