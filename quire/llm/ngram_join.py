@@ -6,11 +6,11 @@ order gives the same links; this one keeps passages that many documents share ou
 prefixes. Two sets with Jaccard >= 0.8 share an n-gram among the first n - ceil(0.8 n) + 1 of
 each, so classes meet by joining prefixes (hash tables of (n-gram, class, size, position)).
 
-Links are found in three rounds, all exact on what they compare. Round one compares each class
-with one other, its next smaller neighbour at most of its n-grams, which joins most of a family
-of near copies in linear time. Then come the pairs that share a prefix n-gram, keep the length
-and position bounds and aren't connected yet: round two compares one of them for each pair of
-components, round three whatever these leave apart. Pairs already connected can't change a class.
+Links are found in rounds, all exact on what they compare. Linear rounds compare each class with
+one other: the hub that shares most n-grams with most classes, or the next smaller neighbour.
+They join nearly all of a family of near copies. Then come all pairs that share a prefix n-gram,
+keep the length and position bounds and aren't connected yet: first one of them for each pair of
+components, then whatever is left apart. Pairs already connected can't change a class.
 
 Comparing means a prefix tree: the sets that meet one probe set are stored in a trie, ordered
 by an order global to the trie, and the probe walks it once. Partial overlaps are shared by
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import components, discard, materialize, sweep
 from .words import SPACED, mix, shingle_sets, slices, words
 
-SKETCH_BITS = 18
-SLICES = 64
+SKETCH_BITS = 20
+SLICES = 256
 #: Classes of more than 1 / HEAVY of all rows are at most HEAVY; these are known to every task.
 HEAVY = 10_000
 #: Bits of a class's parity sketch.
@@ -261,40 +261,66 @@ def _shared_prefixes(docs: DataFrame, id_col: str, text: str, k: int, frequency,
     return live
 
 
-def _best_partner(live: DataFrame, classes: DataFrame) -> DataFrame:
-    """(x, nx, y): each class and its next smaller neighbour at most of its prefix n-grams.
+def _apart(live: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The rows, with ``comp``, of n-grams that more than one component has."""
+    if comp is None:
+        return live.withColumn("comp", F.col("cls"))
+    known = live.join(comp.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    shared = known.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
+    return known.join(shared, "h")
+
+
+def _hubs(rows: DataFrame) -> DataFrame:
+    """(x, nx, y, times): each class and the class of its n-gram that shares most n-grams, with most others.
+
+    The original of a family of copies shares its n-grams with all of them; each copy's own
+    changes are shared with none.
+    """
+    width = rows.groupBy("h").agg(F.count("*").alias("width"))
+    weight = rows.join(width, "h").groupBy("cls").agg(F.sum("width").alias("weight"))
+    weighed = rows.join(weight, "cls")
+    hubs = weighed.groupBy("h").agg(F.max_by(F.struct("n", "cls", "pos", "comp"), F.struct("weight", "cls")).alias("b")).select("h", "b.*")
+    return (
+        rows.alias("a")
+        .join(hubs.alias("b"), F.expr("a.h = b.h and a.comp <> b.comp and " + FITS))
+        .groupBy(F.col("a.cls").alias("x"), F.col("a.n").cast("long").alias("nx"), F.col("b.cls").alias("y"))
+        .agg(F.count("*").alias("times"))
+    )
+
+
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """(x, nx, y, times): each class and the next smaller one of its n-gram.
 
     Neighbours stand next to each other in the order of (n-gram, size, class), which is sorted
     by range, so that an n-gram of very many classes spreads over tasks. A neighbour beyond
-    the edge of a task is left to the later rounds.
+    the edge of a task is left to the other rounds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            h, c, n, p = ([*batch.column(i).to_numpy()] if last is None else np.concatenate([[last[i]], batch.column(i).to_numpy()]) for i in range(4))
-            h, c, n, p = np.asarray(h, np.int64), np.asarray(c, np.int64), np.asarray(n, np.int64), np.asarray(p, np.int64)
-            last = (h[-1], c[-1], n[-1], p[-1])
-            fits = (h[1:] == h[:-1]) & (c[1:] != c[:-1]) & (100 * n[:-1] >= 80 * n[1:]) & (180 * np.minimum(n[1:] - p[1:], n[:-1] - p[:-1]) >= 80 * (n[1:] + n[:-1]))
+            if not batch.num_rows:
+                continue
+            h, c, n, p, o = (batch.column(i).to_numpy() if last is None else np.concatenate([[last[i]], batch.column(i).to_numpy()]) for i in range(5))
+            last = (h[-1], c[-1], n[-1], p[-1], o[-1])
+            fits = (h[1:] == h[:-1]) & (o[1:] != o[:-1]) & (100 * n[:-1] >= 80 * n[1:]) & (180 * np.minimum(n[1:] - p[1:], n[:-1] - p[:-1]) >= 80 * (n[1:] + n[:-1]))
             i = np.flatnonzero(fits)
             yield pa.RecordBatch.from_arrays([pa.array(c[1:][i]), pa.array(n[1:][i]), pa.array(c[:-1][i])], ["x", "nx", "y"])
 
-    near = live.select("h", "cls", F.col("n").cast("long"), F.col("pos").cast("long")).repartitionByRange("h", "n", "cls").sortWithinPartitions("h", "n", "cls")
-    best = (
-        near.mapInArrow(run, "x long, nx long, y long")
-        .groupBy("x", "nx", "y")
-        .agg(F.count("*").alias("times"))
-        .groupBy("x", "nx")
-        .agg(F.max_by("y", F.struct("times", "y")).alias("y"))
-    )
+    columns = [F.col(c).cast("long").alias(c) for c in ("h", "cls", "n", "pos", "comp")]
+    near = rows.select(*columns).repartitionByRange("h", "n", "cls").sortWithinPartitions("h", "n", "cls")
+    return near.mapInArrow(run, "x long, nx long, y long").groupBy("x", "nx", "y").agg(F.count("*").alias("times"))
+
+
+def _best(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(x, nx, y): each class with its partner at most n-grams, where the overlap it needs is possible."""
+    best = found.groupBy("x", "nx").agg(F.max_by("y", F.struct("times", "y")).alias("y"))
     return materialize(_near(best, classes), "pairs")
 
 
 def _unconnected(live: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
     """(x, nx, y): pairs that share a prefix n-gram, may reach the overlap they need, and aren't connected yet."""
-    known = live.join(comp.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    apart = known.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    rows = materialize(known.join(apart, "h"), "open")
+    rows = materialize(_apart(live, comp), "open")
     pairs = (
         rows.alias("a")
         .join(rows.alias("b"), F.expr("a.h = b.h and a.comp <> b.comp and (a.n > b.n or a.n = b.n and a.cls > b.cls) and " + FITS))
@@ -346,14 +372,22 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     live = _shared_prefixes(docs, id_col, text, k, frequency, heavy)
     sweep(docs.sparkSession)
 
-    # Round one.
-    pairs = _best_partner(live, classes)
-    sets = materialize(_sets(docs, id_col, text, k, _classes_of(pairs, classes)), "sets")
-    links = materialize(_compare(pairs, sets), "links")
-    comp = materialize(components(links), "joined")
-    # Rounds two and three.
+    # Linear rounds: one partner for each class.
+    sets = links = comp = None
+    for partners in (_hubs, _neighbours, _hubs):
+        rows = materialize(_apart(live, comp), "open")
+        pairs = _best(partners(rows), classes)
+        needs = _classes_of(pairs, classes)
+        found = materialize(_sets(docs, id_col, text, k, needs if sets is None else needs.join(sets.select("cls"), "cls", "left_anti")), "sets")
+        sets = found if sets is None else sets.unionByName(found)
+        more = materialize(_compare(pairs, sets), "links")
+        links = more if links is None else links.unionByName(more)
+        discard(rows, pairs, comp)
+        comp = materialize(components(links), "joined")
+        sweep(docs.sparkSession)
+    # Whatever may link and isn't connected yet.
     rest = _unconnected(live, comp, classes)
-    discard(live, pairs)
+    discard(live)
     sweep(docs.sparkSession)
     more = _classes_of(rest, classes).join(sets.select("cls"), "cls", "left_anti")
     sets2 = materialize(_sets(docs, id_col, text, k, more), "sets")
