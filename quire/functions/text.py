@@ -5,7 +5,7 @@ White space is Unicode's; ``trim`` alone would only know the space.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LF = "\n"
@@ -44,15 +44,6 @@ def drop_hashes(c: Column) -> Column:
     return _sub(c, r"(?U)\A#*\s*", "")
 
 
-def document_title(c: Column) -> Column:
-    return F.when(is_html_block(c), c).otherwise(F.concat(F.lit("# "), drop_hashes(c)))
-
-
-def paragraph_title(c: Column) -> Column:
-    bare = F.when(c.rlike(r"\A[-*] "), trim_left(F.substr(c, F.lit(3)))).otherwise(c)
-    return F.when(is_html_block(bare), bare).otherwise(F.concat(F.lit("## "), trim_left(drop_hashes(bare))))
-
-
 def algorithm(c: Column) -> Column:
     """An html fence around what isn't a page but has tags is an xml fence."""
     low = F.lower(c)
@@ -61,29 +52,25 @@ def algorithm(c: Column) -> Column:
     return F.when(xml, F.concat(F.lit("```xml"), F.substr(c, F.lit(8)))).otherwise(c)
 
 
-def formula(c: Column) -> Column:
-    """One pair of display or inline marks goes, and display marks on lines of their own come."""
-    s = trim(c)
-    inner = F.substr(s, F.lit(3), F.length(s) - 4)
+def formula(s: Column) -> Column:
+    """One pair of display or inline marks goes, and display marks on lines of their own come. ``s`` is trimmed."""
     marked = F.lit(False)
     for left, right in (("$$", "$$"), ("\\[", "\\]"), ("\\(", "\\)")):
         marked = marked | (F.startswith(s, F.lit(left)) & F.endswith(s, F.lit(right)))
-    body = F.when(marked & (F.length(s) >= 4), trim(inner)).otherwise(s)
+    body = F.when(marked & (F.length(s) >= 4), trim(F.substr(s, F.lit(3), F.length(s) - 4))).otherwise(s)
     return F.concat(F.lit("$$\n"), body, F.lit("\n$$"))
 
 
+def bullet(c: Column) -> Column:
+    """A leading bullet becomes '- '."""
+    return F.when(c.rlike(r"\A(?:[·•]|\* )"), F.concat(F.lit("- "), trim_left(F.substr(c, F.lit(2))))).otherwise(c)
+
+
 def list_prefix(c: Column) -> Column:
-    """Bullets become '- '; '(a)', '（1）', '1.' and 'a)' are followed by one space."""
-    bullet = F.when(c.rlike(r"\A(?:[·•]|\* )"), F.concat(F.lit("- "), trim_left(F.substr(c, F.lit(2))))).otherwise(c)
-    paren = r"\A[(（]([0-9]+|[A-Za-z])[)）]"
-    number = r"\A([0-9]+|[A-Za-z])([.)）])"
-    rest = lambda p: trim_left(_sub(bullet, p, ""))
-    mark = F.replace(F.regexp_extract(bullet, number, 2), F.lit("）"), F.lit(")"))
-    return (
-        F.when(bullet.rlike(paren), F.concat(F.lit("("), F.regexp_extract(bullet, paren, 1), F.lit(") "), rest(paren)))
-        .when(bullet.rlike(number), F.concat(F.regexp_extract(bullet, number, 1), mark, F.lit(" "), rest(number)))
-        .otherwise(bullet)
-    )
+    """'(a)', '（1）', '1.' and 'a)' are followed by one space."""
+    paren = _sub(c, r"(?U)\A[(（]([0-9]+|[A-Za-z])[)）]\s*", "($1) ")
+    number = F.regexp_replace(c, F.lit(r"(?U)\A([0-9]+|[A-Za-z])([.)]|）)\s*"), F.when(c.rlike(r"\A(?:[0-9]+|[A-Za-z])）"), "$1) ").otherwise("$1$2 "))
+    return F.when(c.rlike(r"\A[(（]"), paren).otherwise(number)
 
 
 def double_newlines(c: Column) -> Column:
@@ -97,11 +84,21 @@ def formula_number(c: Column) -> Column:
     return F.when(pair, F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s)
 
 
-def content(c: Column, label: Column, kind: Column) -> Column:
-    """All rules in their order; null stays null."""
-    out = clean(c)
-    out = F.when(label == "doc_title", document_title(out)).when(label == "paragraph_title", paragraph_title(out)).when(label == "algorithm", algorithm(out)).otherwise(out)
-    return F.when(kind == "formula", formula(out)).when(kind == "text", double_newlines(list_prefix(out))).otherwise(out)
+def format_column(df: DataFrame, content: str = "content", label: str = "native_label", kind: str = "kind") -> DataFrame:
+    """All rules in their order; null stays null. One column a step, so that no expression is repeated."""
+    c, name, k = F.col("_c"), F.col(label), F.col(kind)
+    steps = [
+        clean(F.col(content)),
+        F.when(name == "paragraph_title", F.when(c.rlike(r"\A[-*] "), trim_left(F.substr(c, F.lit(3)))).otherwise(c)).otherwise(c),
+        F.when(name.isin("doc_title", "paragraph_title") & ~is_html_block(c), F.concat(F.when(name == "doc_title", "# ").otherwise("## "), drop_hashes(c))).otherwise(c),
+        F.when(name == "algorithm", algorithm(c)).otherwise(c),
+        F.when(k == "formula", trim(c)).when(k == "text", bullet(c)).otherwise(c),
+        F.when(k == "formula", formula(c)).when(k == "text", list_prefix(c)).otherwise(c),
+        F.when(k == "text", double_newlines(c)).otherwise(c),
+    ]
+    for step in steps:
+        df = df.withColumn("_c", step)
+    return df.withColumn(content, c).drop("_c")
 
 
 def image_placeholder(page: Column, b: Column) -> Column:

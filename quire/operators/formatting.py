@@ -17,7 +17,9 @@ KEYS = ["doc_id", "page_index"]
 def format_content(regions: DataFrame) -> DataFrame:
     """Kinds and formatted contents; blank contents go, null ones stay; renumbered."""
     kind = labels.kind_of(F.col("native_label"))
-    out = regions.withColumn("kind", kind).withColumn("content", text.content(F.col("content"), F.col("native_label"), F.col("kind")))
+    out = text.format_column(regions.withColumn("kind", kind))
+    # A generator of one row keeps the filter from being pushed into, and multiplied by, the steps.
+    out = out.withColumn("content", F.explode(F.array("content")))
     out = out.where(F.col("content").isNull() | (text.trim("content") != ""))
     return renumber(out)
 
