@@ -375,14 +375,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # Linear rounds: one partner for each class.
     sets = links = comp = None
     for partners in (_hubs, _neighbours, _hubs):
-        rows = materialize(_apart(live, comp), "open")
-        pairs = _best(partners(rows), classes)
+        open_ = materialize(_apart(live, comp), "open")
+        pairs = _best(partners(open_), classes)
         needs = _classes_of(pairs, classes)
         found = materialize(_sets(docs, id_col, text, k, needs if sets is None else needs.join(sets.select("cls"), "cls", "left_anti")), "sets")
         sets = found if sets is None else sets.unionByName(found)
         more = materialize(_compare(pairs, sets), "links")
         links = more if links is None else links.unionByName(more)
-        discard(rows, pairs, comp)
+        discard(open_, pairs, comp)
         comp = materialize(components(links), "joined")
         sweep(docs.sparkSession)
     # Whatever may link and isn't connected yet.
