@@ -20,7 +20,6 @@ def sigmoid(x: Column) -> Column:
 
 
 def inverse_sigmoid(x: Column, eps: float = 1e-5) -> Column:
-    # Each side is clipped by itself: in a lambda, a part that both share would be computed for the first element only.
     clip = lambda v: F.greatest(F.lit(eps), F.least(F.lit(1.0), v))
     return F.ln(clip(x) / clip(1 - x))
 

@@ -69,7 +69,7 @@ def tensor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def elementwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     each = lambda f: _rounded(F.transform("v", f))
-    return v.select("vec_id", each(T.sigmoid).alias("sigmoid"), each(T.inverse_sigmoid).alias("logit"), each(lambda x: (x * 0.5 - 0.5) / 0.25).alias("scaled"))
+    return v.select("vec_id", each(T.sigmoid).alias("sigmoid"), each(lambda x: T.inverse_sigmoid(x)).alias("logit"), each(lambda x: (x * 0.5 - 0.5) / 0.25).alias("scaled"))
 
 
 _TOP = "r AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings QUALIFY k <= 12)"
