@@ -194,3 +194,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     # Rows find their node by the vector's hash first; equal hashes are told apart by the vector.
     out = rows.withColumn("h", F.xxhash64("label", "vec")).alias("r").join(named.withColumn("h", F.xxhash64("label", "vec")).alias("n"), F.expr("r.h = n.h and r.label = n.label and r.vec = n.vec"), "left")
     return out.select(F.col("r.id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "r.id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+#: The rows in DuckDB, from all pairs of a label.
+SQL = """
+WITH RECURSIVE g AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS u, b.vec_id AS v FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98::DOUBLE),
+r AS (SELECT vec_id AS n, vec_id AS c FROM embeddings UNION SELECT p.v, r.c FROM r JOIN p ON p.u = r.n),
+c AS (SELECT n, min(c) AS component_id FROM r GROUP BY n),
+k AS (SELECT u, count(*) AS n_links FROM p GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN c ON c.n = vec_id LEFT JOIN k ON k.u = vec_id
+"""

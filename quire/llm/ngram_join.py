@@ -412,3 +412,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         .join(named.withColumnsRenamed({"cls": "key"}), "key", "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.expr("if(n = 0, id, root)").alias("component_id"))
     )
+
+
+#: The rows of jaccard_classes in DuckDB, from every shared shingle.
+SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * i >= 80 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS d, doc_id AS k FROM documents UNION SELECT l.v, r.k FROM r JOIN l ON l.u = r.d)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(k) FROM r WHERE r.d = w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id
+"""

