@@ -54,7 +54,7 @@ def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", O.chat_prompt(F.col("s.before"), (F.col("turn") % 4).cast("int"), F.col("s.after"), think=False).alias("rendered"))
 
 
-@query("WITH t AS (SELECT o_orderkey, i AS pos, (o_orderkey * 7 + i * 3) % 4 AS token FROM (SELECT o_orderkey, unnest(range(0, 12)) AS i FROM orders)), k AS (SELECT *, CASE WHEN token = 2 THEN sum(CASE WHEN token = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY o_orderkey ORDER BY pos) END AS k FROM t) SELECT o_orderkey, pos, token, k, o_orderkey * 100 + k AS row_id FROM k")
+@query("WITH t AS (SELECT o_orderkey, i AS pos, (o_orderkey * 7 + i * 3) % 4 AS token FROM (SELECT o_orderkey, unnest(range(0, 12)) AS i FROM orders)), k AS (SELECT *, CASE WHEN token = 2 THEN sum(CASE WHEN token = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY o_orderkey ORDER BY pos) END AS k FROM t) SELECT o_orderkey, CAST(pos AS INT) AS pos, token, CAST(k AS BIGINT) AS k, CAST(o_orderkey * 100 + k AS BIGINT) AS row_id FROM k")
 def fuse_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = S.table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("pos"))
     t = o.withColumn("token", (F.col("o_orderkey") * 7 + F.col("pos") * 3) % 4)
@@ -68,7 +68,7 @@ def token_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.token_runs(e.withColumn("kind", F.expr("(event_id div 3 + pos * pos) % 5 < 2")), "event_id", "kind")
 
 
-@query("WITH t AS (SELECT p_partkey, i AS pos, p_size % 4 + 1 AS w, p_partkey % 6 AS s, (p_partkey % 3) * (p_size % 4 + 1) AS n FROM (SELECT *, unnest(range(0, 24)) AS i FROM part)), g AS (SELECT *, n > 0 AND pos >= s AND pos < s + n AS img, greatest(CAST(ceil(n / w) AS INT), w) AS span FROM t) SELECT p_partkey, pos, " + ", ".join(f"CAST(CASE WHEN img THEN s + {v} WHEN n > 0 AND pos >= s + n THEN pos - n + span ELSE pos END AS INT) AS {a}" for a, v in (("p_t", "0"), ("p_h", "(pos - s) // w"), ("p_w", "(pos - s) % w"))) + ", CAST(CASE WHEN n = 0 THEN 0 ELSE span - n END AS INT) AS delta FROM g")
+@query("WITH t AS (SELECT p_partkey, i AS pos, p_size % 4 + 1 AS w, p_partkey % 6 AS s, (p_partkey % 3) * (p_size % 4 + 1) AS n FROM (SELECT *, unnest(range(0, 24)) AS i FROM part)), g AS (SELECT *, n > 0 AND pos >= s AND pos < s + n AS img, greatest(CAST(ceil(n / w) AS INT), w) AS span FROM t) SELECT p_partkey, CAST(pos AS INT) AS pos, " + ", ".join(f"CAST(CASE WHEN img THEN s + {v} WHEN n > 0 AND pos >= s + n THEN pos - n + span ELSE pos END AS INT) AS {a}" for a, v in (("p_t", "0"), ("p_h", "(pos - s) // w"), ("p_w", "(pos - s) % w"))) + ", CAST(CASE WHEN n = 0 THEN 0 ELSE span - n END AS INT) AS delta FROM g")
 def rope_position_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = S.table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("pos"), F.expr("p_size % 4 + 1").alias("grid_w"), F.expr("p_partkey % 6").alias("s"), F.expr("(p_partkey % 3) * (p_size % 4 + 1)").alias("n"))
     t = p.withColumn("is_image", F.expr("n > 0 and pos >= s and pos < s + n"))

@@ -92,7 +92,7 @@ def sincos_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "part").select("p_partkey", _rounded(T.sincos_2d(F.col("p_size"), F.col("p_partkey") % 50)).alias("encoding"))
 
 
-@query("SELECT level, y, x, (x + 0.5::DOUBLE) / n AS cx, (y + 0.5::DOUBLE) / n AS cy, 0.05::DOUBLE * pow(2, level) AS size, (x + 0.5::DOUBLE) / n > 0.01::DOUBLE AND (x + 0.5::DOUBLE) / n < 0.99::DOUBLE AND (y + 0.5::DOUBLE) / n > 0.01::DOUBLE AND (y + 0.5::DOUBLE) / n < 0.99::DOUBLE AS valid FROM (SELECT level, n, y, unnest(range(0, n)) AS x FROM (SELECT level, n, unnest(range(0, n)) AS y FROM (VALUES (0, 80), (1, 40), (2, 20)) AS l(level, n)))")
+@query("SELECT level, CAST(y AS INT) AS y, CAST(x AS INT) AS x, (x + 0.5::DOUBLE) / n AS cx, (y + 0.5::DOUBLE) / n AS cy, 0.05::DOUBLE * pow(2, level) AS size, (x + 0.5::DOUBLE) / n > 0.01::DOUBLE AND (x + 0.5::DOUBLE) / n < 0.99::DOUBLE AND (y + 0.5::DOUBLE) / n > 0.01::DOUBLE AND (y + 0.5::DOUBLE) / n < 0.99::DOUBLE AS valid FROM (SELECT level, n, y, unnest(range(0, n)) AS x FROM (SELECT level, n, unnest(range(0, n)) AS y FROM (VALUES (0, 80), (1, 40), (2, 20)) AS l(level, n)))")
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = spark.createDataFrame([(0, 80), (1, 40), (2, 20)], "level int, n int")
     cell = lambda v: F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias(v)
