@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quire import catalog
@@ -11,7 +12,7 @@ DIR = "/root/testdata/sf0.001"
 
 
 def _cell(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "null"
     if isinstance(v, str):
         return v
