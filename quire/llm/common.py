@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -47,8 +48,10 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
 
 def sweep(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round frees the plans, the second what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def discard(*frames: DataFrame | None) -> None:

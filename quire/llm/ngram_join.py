@@ -127,7 +127,7 @@ def _digests(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
         names = ["id", "n", "cls", "parity", "part", "counts"]
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 1 << 20):
             sets = shingle_sets(*words(batch.column(text), SPACED), k)
             cls = [_class(s) if len(s) else 0 for s in sets]
             new = [s for s, c in zip(sets, cls, strict=True) if c not in seen and not seen.add(c)]
@@ -166,7 +166,7 @@ def _frequencies(digests: DataFrame) -> np.ndarray:
     out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
     for r in rows:
         out[r.part] = np.frombuffer(r.counts, "<i8")
-    return np.minimum(out.ravel(), (1 << 24) - 1).astype(np.uint64)
+    return np.minimum(out.ravel(), (1 << 24) - 1).astype(np.uint32)
 
 
 def _prefixes(docs: DataFrame, id_col: str, text: str, k: int, frequency, heavy) -> DataFrame:
@@ -174,7 +174,7 @@ def _prefixes(docs: DataFrame, id_col: str, text: str, k: int, frequency, heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, skip, seen = frequency.value, heavy.value, set()
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 1 << 20):
             out = [[], [], [], []]
             ids = batch.column("id").to_pylist()
             for s, i in zip(shingle_sets(*words(batch.column(text), SPACED), k), ids, strict=True):
@@ -185,7 +185,7 @@ def _prefixes(docs: DataFrame, id_col: str, text: str, k: int, frequency, heavy)
                 if c in seen or skip.get(c, i) != i:
                     continue
                 seen.add(c)
-                key = (f[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(40)) | (s >> np.uint64(24))
+                key = (f[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24))
                 p = n - (-(-80 * n // 100)) + 1
                 first = s[np.argsort(key, kind="stable")[:p]]
                 out[0].append(first.view(np.int64))
@@ -212,7 +212,7 @@ def _sets(docs: DataFrame, id_col: str, text: str, k: int, wanted: DataFrame) ->
     shared = docs.sparkSession.sparkContext.broadcast({r.b: bytes(r.m) for r in maps})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 1 << 20):
             seen = set()
             for s, i in zip(shingle_sets(*words(batch.column(text), SPACED), k), batch.column("id").to_pylist(), strict=True):
                 if len(s) and (c := _class(s)) not in seen:
@@ -256,8 +256,10 @@ def _shared_prefixes(docs: DataFrame, id_col: str, text: str, k: int, frequency,
     """The rows of _prefixes whose n-gram more than one class has."""
     tokens = materialize(_prefixes(docs, id_col, text, k, frequency, heavy), "prefixes")
     shared = tokens.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("h")
+    shared = materialize(shared, "keys")
+    sweep(docs.sparkSession)
     live = materialize(tokens.join(shared, "h"), "shared")
-    discard(tokens)
+    discard(tokens, shared)
     return live
 
 
@@ -277,9 +279,12 @@ def _hubs(rows: DataFrame) -> DataFrame:
     changes are shared with none.
     """
     width = rows.groupBy("h").agg(F.count("*").alias("width"))
-    weight = rows.join(width, "h").groupBy("cls").agg(F.sum("width").alias("weight"))
-    weighed = rows.join(weight, "cls")
-    hubs = weighed.groupBy("h").agg(F.max_by(F.struct("n", "cls", "pos", "comp"), F.struct("weight", "cls")).alias("b")).select("h", "b.*")
+    weight = materialize(rows.select("h", "cls").join(width, "h").groupBy("cls").agg(F.sum("width").alias("weight")), "weights")
+    sweep(rows.sparkSession)
+    hubs = rows.join(weight, "cls").groupBy("h").agg(F.max_by(F.struct("n", "cls", "pos", "comp"), F.struct("weight", "cls")).alias("b")).select("h", "b.*")
+    hubs = materialize(hubs, "hubs")
+    discard(weight)
+    sweep(rows.sparkSession)
     return (
         rows.alias("a")
         .join(hubs.alias("b"), F.expr("a.h = b.h and a.comp <> b.comp and " + FITS))
@@ -377,6 +382,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     for partners in (_hubs, _neighbours, _hubs):
         open_ = materialize(_apart(live, comp), "open")
         pairs = _best(partners(open_), classes)
+        sweep(docs.sparkSession)
         needs = _classes_of(pairs, classes)
         found = materialize(_sets(docs, id_col, text, k, needs if sets is None else needs.join(sets.select("cls"), "cls", "left_anti")), "sets")
         sets = found if sets is None else sets.unionByName(found)
@@ -391,6 +397,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sweep(docs.sparkSession)
     more = _classes_of(rest, classes).join(sets.select("cls"), "cls", "left_anti")
     sets2 = materialize(_sets(docs, id_col, text, k, more), "sets")
+    sweep(docs.sparkSession)
     sets = sets.unionByName(sets2)
     one = materialize(_between(rest, comp).groupBy("cx", "cy").agg(F.min_by(F.struct("x", "nx", "y"), F.xxhash64("x", "y")).alias("p")).select("p.*"), "pairs")
     links2 = materialize(_compare(one, sets), "links")
