@@ -3,12 +3,13 @@
 Equal vectors are one node. A neighbour graph (each node's most similar nodes, by exact cosine)
 starts from a few random hyperplane partitions and is refined by joining neighbours of
 neighbours: around each node, the nodes listed with it are compared with each other. A node
-whose list holds links only is saturated, and its list is enlarged until something below the
-threshold is in it. Rounds end when no link is new; an audit then compares a bounded query set
-with all nodes of its label by brute force, and more partitions follow while recall is low.
+whose list holds links only is saturated, and its list is enlarged. Rounds end when no link is
+new; an audit then compares a bounded query set with all nodes of its label by brute force, and
+more partitions follow while recall is low. The edges at or above the threshold stay; links
+between members of a component that the lists have no room for are counted in blocks.
 
-Lists, blocks and groups have a fixed size, except for lists that hold as many links as there
-are. Nodes listed by very many others are split over several blocks.
+Lists, blocks and groups have a fixed size. Nodes listed by very many others are split over
+several blocks.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import components, discard, materialize, sweep
 
 #: Nodes that are compared with each other in one task's group.
 BLOCK = 192
+#: Saturated lists are enlarged up to this length; what they lack then is counted inside components.
+LONGEST = 32
 LINKS = "u long, v long, sim double"
 
 
@@ -85,11 +88,11 @@ def _partitions(nodes: DataFrame, sizes: DataFrame, tables: int, k: int, dim_see
     return out
 
 
-def _top(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Each node's k best links; a list that ends in a link (not below the threshold) keeps all its links."""
+def _top(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each node's k best links."""
     rank = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
     lists = edges.groupBy("u", "v").agg(F.max("sim").alias("sim")).join(nodes.select(F.col("id").alias("u"), "k"), "u")
-    return materialize(lists.withColumn("r", F.row_number().over(rank)).where((F.col("r") <= F.col("k")) | (F.col("sim") >= threshold)).select("u", "v", "sim"), "lists")
+    return materialize(lists.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= F.col("k")).select("u", "v", "sim"), "lists")
 
 
 def _refine(lists: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -108,8 +111,8 @@ def _refine(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     return dealt.select("c", "part", "u", "vec", "k", "least").groupBy("c", "part").applyInArrow(pairs, LINKS)
 
 
-def _audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int, block: int = 512) -> tuple[int, int]:
-    """(links of the query nodes that brute force finds, those of them that were found)."""
+def _audit(nodes: DataFrame, comp: DataFrame, threshold: float, queries: int, block: int = 512) -> tuple[int, int]:
+    """(links of the query nodes that brute force finds, those of them inside a component)."""
     spark = nodes.sparkSession
     chosen = nodes.orderBy(F.xxhash64("id"), "id").limit(queries).select("id", "label", "dim", "vec").toArrow()
     true = found = 0
@@ -130,11 +133,35 @@ def _audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int, b
                         yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
 
         exact = nodes.select("id", "label", "dim", "vec").mapInArrow(run, "u long, v long")
-        seen = exact.join(links.select("u", "v", F.lit(1).alias("hit")), ["u", "v"], "left").agg(F.count("*"), F.count("hit")).first()
+        both = exact.join(comp.toDF("u", "cu"), "u", "left").join(comp.toDF("v", "cv"), "v", "left")
+        seen = both.agg(F.count("*"), F.count_if(F.col("cu") == F.col("cv"))).first()
         true, found = true + seen[0], found + seen[1]
     return true, found
 
 
+def _link_counts(nodes: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
+    """(id, others): for each node the rows of all linked nodes of its component.
+
+    A component's members are dealt to blocks and blocks are compared in pairs, which yields
+    counts, not links: a list that stays saturated needn't hold all its links.
+    """
+    members = nodes.join(comp.withColumnsRenamed({"node": "id"}), "id").select("comp", "id", "vec", "copies")
+    blocks = members.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = members.join(blocks, "comp").withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    pairs = dealt.select("comp", "id", "vec", "copies", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    pairs = pairs.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other")
+
+    def count(t: pa.Table) -> pa.Table:
+        x, own = unit(t.column("vec")), t.column("own").to_numpy()
+        copies = t.column("copies").to_numpy()
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        near = x @ x.T >= threshold
+        near &= (own[:, None] != own[None, :]) if lo != hi else ~np.eye(len(x), dtype=bool)
+        return pa.table({"id": t.column("id"), "others": pa.array((near * copies[None, :]).sum(1), pa.int64())})
+
+    return pairs.groupBy("comp", "lo", "hi").applyInArrow(count, "id long, others long").groupBy("id").agg(F.sum("others").alias("others"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", k: int = 8, tables: int = 8, rounds: int = 3, audit: int = 1000, recall: float = 0.97) -> DataFrame:
     """(id_col, n_links, component_id, kept), one row per input row.
 
@@ -156,13 +183,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     while True:
         more = _partitions(nodes, sizes, tables, k, done)
         merged = more if lists is None else lists.unionByName(more)
-        new = _top(merged, nodes, threshold)
+        new = _top(merged, nodes)
         discard(lists, more)
         lists = new
         for _ in range(rounds):
             found = lists.where(F.col("sim") >= threshold).count()
             full = lists.groupBy("u").agg(F.min("sim").alias("least"), F.count("*").alias("n")).where(F.col("least") >= threshold)
-            saturated = full.join(nodes.select(F.col("id").alias("u"), "k"), "u").where("n >= k")
+            saturated = full.join(nodes.select(F.col("id").alias("u"), "k"), "u").where(f"n >= k and k < {LONGEST}")
             grown = nodes.join(saturated.select(F.col("u").alias("id"), F.lit(2).alias("by")), "id", "left").withColumn("k", F.when(F.col("by") == 2, F.col("k") * 2).otherwise(F.col("k"))).select(*nodes.columns)
             widened = saturated.count()
             if found == links and not widened:
@@ -171,23 +198,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
             if widened:
                 old, nodes = nodes, materialize(grown, "nodes")
                 discard(old)
-            new = _top(lists.unionByName(_refine(lists, nodes)), nodes, threshold)
+            new = _top(lists.unionByName(_refine(lists, nodes)), nodes)
             discard(lists)
             lists = new
             sweep(spark)
-        strong = lists.where(F.col("sim") >= threshold).select("u", "v")
-        strong = materialize(strong.unionByName(strong.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-        true, hit = _audit(nodes, strong, threshold, audit)
+        comp = materialize(components(lists.where(F.col("sim") >= threshold), "u", "v"), "components")
+        true, hit = _audit(nodes, comp, threshold, audit)
         done += 1
         if hit >= recall * true or done >= 4:
             break
-        discard(strong)
+        discard(comp)
 
-    comp = components(strong, "u", "v")
-    linked = strong.join(nodes.select(F.col("id").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
+    linked = _link_counts(nodes, comp, threshold)
     named = (
         nodes.select("id", "label", "vec", "copies")
-        .join(linked.withColumnsRenamed({"u": "id"}), "id", "left")
+        .join(linked, "id", "left")
         .join(comp.withColumnsRenamed({"node": "id"}), "id", "left")
         .select("label", "vec", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("comp", "id").alias("component_id"))
     )
