@@ -16,8 +16,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .labelled import is_held_out, sample_ids, sample_rows
 from .words import mix, slices
@@ -149,6 +151,12 @@ class Scorer(dict):
         return out
 
 
+def _fit(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["i", "t"])
+    parts, bias = train(rows["t"].tolist(), rows["y"].tolist())
+    return pd.DataFrame({"parts": [parts.tobytes()], "bias": [bias]})
+
+
 _scorers: dict[int, Scorer] = {}
 
 
@@ -160,12 +168,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_
     Rows, repeats and null ids are kept; other columns are ignored.
     """
     known = sample_ids(labels, label, most, id_col)
-    rows = sample_rows(docs, known, [text], id_col).collect() if known else []
-    rows.sort(key=lambda r: (r[0], r[2] or ""))
-    texts, y = [r[2] or "" for r in rows], [r[1] for r in rows]
-    del rows
-    model = train(texts, y)
-    del texts
+    model = None
+    if known:
+        # The bounded sample is fitted in one task, which keeps it out of the driver's memory.
+        sample = sample_rows(docs, known, [F.coalesce(F.col(text), F.lit("")).alias("t")], id_col).select(F.col(id_col).alias("i"), "y", "t", (F.col("y") * 0).alias("all"))
+        found = sample.groupBy("all").applyInPandas(_fit, "parts binary, bias double").first()
+        model = found and (np.frombuffer(found.parts, np.float32), found.bias)
+    model = model or train([], [])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = hash((model[0].tobytes(), model[1]))
     names = list(dict.fromkeys((id_col, *keep)))
