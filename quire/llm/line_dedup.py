@@ -1,14 +1,16 @@
 """Fuzzy line deduplication by MinHash, in DataFrame expressions only.
 
-A line's set are its character shingles: SHINGLE characters from each word's start on (the
-rest of the line where it is shorter), lower-cased. Signatures are minima of the shingles'
+A line's set are its character shingles: SHINGLE characters from each position on (all of the
+line where it is shorter), lower-cased, repeats removed. Signatures are minima of the shingles'
 hashes under BANDS * ROWS permutations; BANDS bands of ROWS make two lines of similarity 0.8
 meet with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.994. Lines that share a band are
 linked to the band's first and last line if their exact Jaccard similarity reaches 0.8;
 connected components come from distributed union-find, and one line of each is kept.
 
 Equal lines are collapsed first, band groups are reduced to two lines each map-side, and only
-lines that are compared are read again, so no group of lines ever meets in one task.
+lines that are compared are read again, so no group of lines ever meets in one task. Pairs
+whose signatures agree in fewer than AGREE minima are not read: at a similarity of 0.8 that
+happens with a probability of 0.00003.
 """
 
 from __future__ import annotations
@@ -18,28 +20,67 @@ from pyspark.sql import functions as F
 
 from .common import components, discard, materialize, sweep
 
-SHINGLE = 12
-BANDS = 5
-ROWS = 2
+SHINGLE = 5
+BANDS = 10
+ROWS = 4
+AGREE = 21
 THRESHOLD = 80  # percent
-#: Compared lines are broadcast up to this many hashes (16 MB), else joined by a shuffle.
+#: Compared lines are broadcast up to this many rows, else joined by a shuffle.
 BROADCAST = 1_000_000
+#: Lines are cut twice before their shingles, as a character's place is found by counting from the start.
+CUTS = (1024, 32)
+NUMBERS = [((i + 1) * 0x9E3779B1 + (1 << 31)) % (1 << 32) - (1 << 31) for i in range(BANDS * ROWS)]
+
+
+def _cut(x: Column, size: int) -> Column:
+    """The pieces of a string in which ``size`` shingles start, all but the last."""
+    last = F.greatest(F.length(x) - SHINGLE, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), F.floor(last / size).cast("int")), lambda i: F.substring(x, i * size + 1, F.lit(size + SHINGLE - 1)))
+
+
+def _pieces(line: Column) -> Column:
+    return F.flatten(F.transform(_cut(F.lower(line), CUTS[0]), lambda x: _cut(x, CUTS[1])))
+
+
+def _starts(piece: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.length(piece) - (SHINGLE - 1), F.lit(1)))
 
 
 def shingles(line: Column) -> Column:
-    """Hashes of the line's character shingles, repeats included."""
-    found = F.regexp_extract_all(F.lower(line), F.lit(rf"(?s)(?<![^\s])(?=(\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
-    return F.transform(found, lambda s: F.xxhash64(s))
+    """Hashes of the line's character shingles, without repeats."""
+    return F.array_distinct(F.flatten(F.transform(_pieces(line), lambda x: F.transform(_starts(x), lambda i: F.xxhash64(F.substring(x, i, F.lit(SHINGLE)))))))
 
 
-def _bands(hashes: Column) -> Column:
-    """A key for each band, from minima under different permutations (exclusive or with fixed numbers)."""
+def _signatures(lines: DataFrame) -> DataFrame:
+    """(h, low): the minima of each line's shingles under different permutations (exclusive or with fixed numbers)."""
+    pieces = lines.select("h", F.explode(_pieces(F.col("line"))).alias("x"))
+    each = pieces.select("h", "x", F.explode(_starts(F.col("x"))).alias("i")).select("h", F.hash(F.substring("x", F.col("i"), F.lit(SHINGLE))).alias("s"))
+    low = each.groupBy("h").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(n))).alias(f"m{i}") for i, n in enumerate(NUMBERS)])
+    return low.select("h", F.array(*[f"m{i}" for i in range(len(NUMBERS))]).alias("low"))
 
-    def low_under(number: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(number))))
 
-    low = [low_under(((i + 1) * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)) for i in range(BANDS * ROWS)]
-    return F.array(*[F.xxhash64(F.lit(b), *low[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
+def _bands(low: Column) -> Column:
+    """A key for each band."""
+    return F.array(*[F.xxhash64(F.lit(b), *[low[i] for i in range(b * ROWS, (b + 1) * ROWS)]) for b in range(BANDS)])
+
+
+def _alike(pairs: DataFrame, signed: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lines have an exact similarity of the threshold at least."""
+    agree = F.size(F.filter(F.zip_with("la", "lb", lambda x, y: x == y), lambda x: x))
+    pairs = pairs.join(signed.toDF("a", "la"), "a").join(signed.toDF("b", "lb"), "b").where(agree >= AGREE).select("a", "b").distinct()
+    pairs = materialize(pairs, "pairs")
+    sweep(lines.sparkSession)
+    wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
+    wanted = materialize(wanted, "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    sets = lines.select(F.col("h").alias("w"), "line").join(few, "w", "left_semi").groupBy("w").agg(F.first("line").alias("line"))
+    sets = materialize(sets.select("w", shingles(F.col("line")).alias("s")), "sets")
+    both = F.size(F.array_intersect("sa", "sb"))
+    links = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").where(both * 100 >= THRESHOLD * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    links = materialize(links, "alike")
+    discard(pairs, wanted, sets)
+    sweep(lines.sparkSession)
+    return links
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,27 +94,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     key = F.xxhash64(F.col(id_col), F.col(text))
     lines = docs.where(F.col(text).isNotNull()).select(key.alias("k"), F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line")).where(F.trim("line") != "")
     where = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "k", "pos")
-    h = F.xxhash64("line")
-    # The shingles are a column of their own, so that every permutation reads them instead of making them.
-    signed = lines.withColumn("s", shingles(F.col("line"))).select(h.alias("h"), where.alias("at"), _bands(F.col("s")).alias("bands"))
-    distinct = materialize(signed.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "lines")
+    lines = lines.withColumn("h", F.xxhash64("line"))
+    distinct = materialize(lines.select("h", where.alias("at")).groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("copies")), "lines")
+    signed = materialize(_signatures(lines.select("h", "line")), "signatures")
     sweep(docs.sparkSession)
 
-    keys = distinct.select("h", F.explode("bands").alias("band"))
+    keys = signed.select("h", F.explode(_bands(F.col("low"))).alias("band"))
     ends = keys.groupBy("band").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
     pairs = keys.join(ends, "band").select("h", F.explode(F.array("lo", "hi")).alias("o")).where("h <> o").select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
-    pairs = materialize(pairs, "pairs")
-    sweep(docs.sparkSession)
-    wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-    wanted = materialize(wanted, "wanted")
-    if wanted.count() <= BROADCAST:
-        wanted = F.broadcast(wanted)
-    sets = lines.select(h.alias("w"), "line").join(wanted, "w", "left_semi").select("w", F.array_distinct(shingles(F.col("line"))).alias("s"))
-    sets = materialize(sets.groupBy("w").agg(F.first("s").alias("s")), "sets")
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").where(both * 100 >= THRESHOLD * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    links = _alike(pairs, signed, lines)
     comp = components(links)
-    discard(pairs, sets)
+    discard(signed, links)
     sweep(docs.sparkSession)
 
     grouped = distinct.select("h", "first", "copies").join(comp.withColumnsRenamed({"node": "h"}), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
@@ -81,7 +112,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     repeated = materialize(grouped.join(heads, "comp").select("h", "keep"), "repeated")
     # Lines that occur once have no head: only lines of a repeated group can be dropped.
     few = F.broadcast(repeated) if repeated.count() <= BROADCAST // 4 else repeated
-    drops = lines.select("k", "pos", h.alias("h"), where.alias("at")).join(few, "h").where("at <> keep").groupBy("k").agg(F.collect_set("pos").alias("drop"))
+    drops = lines.select("k", "pos", "h", where.alias("at")).join(few, "h").where("at <> keep").groupBy("k").agg(F.collect_set("pos").alias("drop"))
     drops = materialize(drops, "drops")
     out = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"), key.alias("k")).join(drops, "k", "left")
     parts = F.split(F.col("t"), "\n")

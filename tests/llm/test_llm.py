@@ -167,6 +167,14 @@ def test_lines(spark):
     assert got == sorted([("1", 3, 3, f"{a}\n\n{b}"), ("2", 3, 2, "only here\n"), ("2", 3, 2, "only here\n"), ("3", 0, 0, None), ("4", 1, 1, ""), ("5", 2, 0, ""), ("None", 1, 0, "")])
 
 
+def test_lines_without_spaces(spark):
+    urls = ["https://example.org/en/1234", "https://example.org/es/9"]
+    long = "one small brown dog ran over a lazy grey cat by the old red barn near this river"
+    d = spark.createDataFrame([(1, "\n".join(urls)), (2, long), (3, long.replace("lazy", "lasy")), (4, "日本語の文章がここにあります東京都は首都です\n日本語の文章がここにあります大阪府は西側です")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_kept) for r in line_dedup.dedup_lines(d).collect()}
+    assert got == {1: (2, 2), 2: (1, 1), 3: (1, 0), 4: (2, 2)}
+
+
 def test_quality(spark):
     good = [(i, prose(i, 40) + ".", 1, 0) for i in range(200)]
     bad = [(i, prose(i, 40).upper().replace(" ", "!! "), 0, 0) for i in range(200, 300)]
