@@ -7,6 +7,10 @@ meet with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.994. Lines that sha
 linked to the band's first and last line if their exact Jaccard similarity reaches 0.8;
 connected components come from distributed union-find, and one line of each is kept.
 
+What is still in different components of a band then is compared in pairs if the band has SMALL
+lines at most. Larger bands are split by SPLIT further minima each (all differ with a probability
+of 0.2 ** SPLIT at 0.8), first and last lines of the parts are compared, and the rest in pairs.
+
 Equal lines are collapsed first, band groups are reduced to two lines each map-side, and only
 lines that are compared are read again, so no group of lines ever meets in one task. Pairs
 whose signatures agree in fewer than AGREE minima are not read: at a similarity of 0.8 that
@@ -24,6 +28,8 @@ SHINGLE = 5
 BANDS = 10
 ROWS = 4
 AGREE = 21
+SMALL = 16
+SPLIT = 10
 THRESHOLD = 80  # percent
 #: Compared lines are broadcast up to this many rows, else joined by a shuffle.
 BROADCAST = 1_000_000
@@ -83,6 +89,59 @@ def _alike(pairs: DataFrame, signed: DataFrame, lines: DataFrame) -> DataFrame:
     return links
 
 
+def _ends(groups: DataFrame) -> DataFrame:
+    """Pairs of each line with the first and the last line of its groups."""
+    ends = groups.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
+    pairs = groups.join(ends, "key").select("h", F.explode(F.array("lo", "hi")).alias("o")).where("h <> o")
+    return pairs.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
+
+
+def _mixed(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """(h, b, key, c, n): the groups that hold several components, with their lines' component and number."""
+    named = groups.join(comp.toDF("h", "c"), "h", "left").withColumn("c", F.coalesce("c", "h"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    return materialize(named.join(mixed, "key").select("h", "b", "key", "c", "n"), "mixed")
+
+
+def _across(mixed: DataFrame) -> DataFrame:
+    """All pairs of lines of a group that are in different components."""
+    x, y = mixed.select("key", F.col("h").alias("a"), F.col("c").alias("ca")), mixed.select("key", F.col("h").alias("b"), F.col("c").alias("cb"))
+    return x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+
+
+def _links(signed: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) of similar lines that connect all similar lines which share a band."""
+    spark = lines.sparkSession
+    keys = signed.select("h", F.posexplode(_bands(F.col("low"))).alias("b", "key"))
+    several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    groups = materialize(keys.join(several, "key").select("h", "b", "key"), "groups")
+    sweep(spark)
+    links = _alike(_ends(groups), signed, lines)
+    comp = components(links)
+    mixed = _mixed(groups, comp)
+    discard(groups, comp)
+    sweep(spark)
+
+    n = BANDS * ROWS
+    others = F.transform(F.sequence(F.lit(0), F.lit(SPLIT - 1)), lambda i: ((F.col("b") + 1) * ROWS + i) % n)
+    parts = mixed.where(F.col("n") > SMALL).join(signed, "h").select("h", "b", "key", "low", F.explode(others).alias("j"))
+    parts = materialize(parts.select("h", "b", F.xxhash64("key", "j", F.get("low", F.col("j"))).alias("key")), "parts")
+    more = _alike(_across(mixed.where(F.col("n") <= SMALL)).unionByName(_ends(parts)).distinct(), signed, lines)
+    links = links.unionByName(more)
+    discard(mixed)
+    sweep(spark)
+    if parts.isEmpty():
+        discard(parts)
+        return links
+    comp = components(links)
+    mixed = _mixed(parts, comp)
+    discard(parts, comp)
+    sweep(spark)
+    links = links.unionByName(_alike(_across(mixed), signed, lines))
+    discard(mixed)
+    return links
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, n_lines, n_kept, text), one row per input row: each text without its duplicate lines.
 
@@ -99,12 +158,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     signed = materialize(_signatures(lines.select("h", "line")), "signatures")
     sweep(docs.sparkSession)
 
-    keys = signed.select("h", F.explode(_bands(F.col("low"))).alias("band"))
-    ends = keys.groupBy("band").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
-    pairs = keys.join(ends, "band").select("h", F.explode(F.array("lo", "hi")).alias("o")).where("h <> o").select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
-    links = _alike(pairs, signed, lines)
+    links = _links(signed, lines)
     comp = components(links)
-    discard(signed, links)
+    discard(signed)
     sweep(docs.sparkSession)
 
     grouped = distinct.select("h", "first", "copies").join(comp.withColumnsRenamed({"node": "h"}), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
