@@ -5,7 +5,8 @@ starts from a few random hyperplane partitions and is refined by joining neighbo
 neighbours: around each node, the nodes listed with it are compared with each other. A node
 whose list holds links only is saturated, and its list is enlarged. Rounds end when no link is
 new; an audit then compares a bounded query set with all nodes of its label by brute force, and
-more partitions follow while recall is low. The edges at or above the threshold stay; links
+more partitions follow while recall is low. The edges at or above the threshold stay;
+components of saturated nodes are compared exactly in blocks, and links
 between members of a component that the lists have no room for are counted in blocks.
 
 Lists, blocks and groups have a fixed size. Nodes listed by very many others are split over
@@ -111,6 +112,47 @@ def _refine(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     return dealt.select("c", "part", "u", "vec", "k", "least").groupBy("c", "part").applyInArrow(pairs, LINKS)
 
 
+def _between(nodes: DataFrame, lists: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) that connect components whose links have no room in saturated lists.
+
+    Saturated nodes of a component are dealt to blocks. Blocks of different components of a
+    label are compared exactly unless their centres are too far apart for any link, and of two
+    blocks one link is enough, as links inside components are counted later.
+    """
+    full = lists.groupBy("u").agg(F.min("sim").alias("least"), F.count("*").alias("n")).where(F.col("least") >= threshold)
+    dense = full.join(nodes.select(F.col("id").alias("u"), "k"), "u").where("n >= k").select(F.col("u").alias("id"))
+    members = nodes.join(dense, "id").join(comp.toDF("id", "comp"), "id").select("label", "dim", "comp", "id", "vec")
+    parts = members.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = materialize(members.join(parts, "comp").withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts"), "dense")
+
+    def ball(t: pa.Table) -> pa.Table:
+        x = unit(t.column("vec"))
+        centre = x.mean(0) if np.linalg.norm(x.mean(0)) > 1e-6 else x[0]
+        centre = centre / np.linalg.norm(centre)
+        angle = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+        return t.select(["label", "dim", "comp", "own"]).slice(0, 1).append_column("centre", pa.array([centre.tolist()], pa.list_(pa.float64()))).append_column("angle", pa.array([angle]))
+
+    balls = materialize(dealt.groupBy("label", "dim", "comp", "own").applyInArrow(ball, "label long, dim int, comp long, own int, centre array<double>, angle double"), "balls")
+    x, y = balls.toDF("label", "dim", "c1", "o1", "x", "ax"), balls.toDF("label", "dim", "c2", "o2", "y", "ay")
+    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    apart = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot))) - F.col("ax") - F.col("ay")
+    near = x.join(y, ["label", "dim"]).where("c1 < c2").where(apart <= float(np.arccos(threshold)) + 1e-6).select("c1", "o1", "c2", "o2")
+    near = materialize(near, "near")
+    sides = near.select("*", F.explode(F.array(F.struct(F.col("c1").alias("comp"), F.col("o1").alias("own")), F.struct(F.col("c2").alias("comp"), F.col("o2").alias("own")))).alias("s")).select("c1", "o1", "c2", "o2", "s.comp", "s.own")
+
+    def link(t: pa.Table) -> pa.Table:
+        x, ids = unit(t.column("vec")), t.column("id").to_numpy()
+        first = t.column("comp").to_numpy() == t.column("c1")[0].as_py()
+        s = x[first] @ x[~first].T
+        i, j = np.unravel_index(s.argmax(), s.shape)
+        found = [0] if s[i, j] >= threshold else []
+        return pa.table({"u": pa.array([ids[first][i]], pa.int64()).take(pa.array(found, pa.int64())), "v": pa.array([ids[~first][j]], pa.int64()).take(pa.array(found, pa.int64()))})
+
+    out = materialize(sides.join(dealt.select("comp", "own", "id", "vec"), ["comp", "own"]).groupBy("c1", "o1", "c2", "o2").applyInArrow(link, "u long, v long"), "between")
+    discard(dealt, balls, near)
+    return out
+
+
 def _audit(nodes: DataFrame, comp: DataFrame, threshold: float, queries: int, block: int = 512) -> tuple[int, int]:
     """(links of the query nodes that brute force finds, those of them inside a component)."""
     spark = nodes.sparkSession
@@ -202,7 +244,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
             discard(lists)
             lists = new
             sweep(spark)
-        comp = materialize(components(lists.where(F.col("sim") >= threshold), "u", "v"), "components")
+        near = lists.where(F.col("sim") >= threshold).select("u", "v")
+        comp = materialize(components(near, "u", "v"), "components")
+        between = _between(nodes, lists, comp, threshold)
+        if not between.isEmpty():
+            discard(comp)
+            comp = materialize(components(near.unionByName(between), "u", "v"), "components")
+        discard(between)
         true, hit = _audit(nodes, comp, threshold, audit)
         done += 1
         if hit >= recall * true or done >= 4:

@@ -245,6 +245,19 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in range(900, 906))
 
 
+def test_embeddings_of_dense_groups(spark):
+    r = np.random.default_rng(3)
+    a = np.eye(64)[0]
+    b = a * 0.985 + np.eye(64)[1] * np.sqrt(1 - 0.985**2)
+    x = np.concatenate([c + r.normal(size=(40, 64)) * 0.002 for c in (a, b)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.98).sum(1) - 1
+    d = spark.createDataFrame([(i, [float(e) for e in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_duplicates(d).collect()
+    assert {r.component_id for r in got} == {0}
+    assert all(r.n_links == links[r.vec_id] for r in got)
+
+
 def test_empty(spark, docs):
     none = docs.where("false")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
