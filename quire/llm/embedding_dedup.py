@@ -77,7 +77,7 @@ def _partitions(nodes: DataFrame, sizes: DataFrame, tables: int, k: int, dim_see
     cell = ["t", "label", "dim", "code"]
     coded = materialize(coded, "cells")
     many = coded.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
-    dealt = coded.join(many, cell, "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
+    dealt = coded.join(many, cell, "left").withColumn("part", F.pmod(F.xxhash64("id", "t"), F.coalesce("parts", F.lit(1))))
 
     def pairs(t: pa.Table) -> pa.Table:
         x = unit(t.column("vec"))
@@ -96,14 +96,14 @@ def _top(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(lists.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= F.col("k")).select("u", "v", "sim"), "lists")
 
 
-def _refine(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """New links among the nodes that are listed around a common node."""
+def _refine(lists: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    """New links among the nodes that are listed around a common node; each turn deals large neighbourhoods anew."""
     around = lists.select(F.col("v").alias("c"), "u").unionByName(lists.select(F.col("u").alias("c"), F.col("v").alias("u"))).distinct()
     around = around.unionByName(nodes.select(F.col("id").alias("c"), F.col("id").alias("u")))
     many = around.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
     worst = lists.groupBy("u").agg(F.min("sim").alias("least"), F.count("*").alias("n"))
     info = nodes.join(worst, nodes["id"] == worst["u"], "left").select(F.col("id").alias("u"), "vec", "k", F.when(F.col("n") >= F.col("k"), F.col("least")).otherwise(-2.0).alias("least"))
-    dealt = around.join(many, "c", "left").withColumn("part", F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1)))).join(info, "u")
+    dealt = around.join(many, "c", "left").withColumn("part", F.pmod(F.xxhash64("u", F.lit(turn)), F.coalesce("parts", F.lit(1)))).join(info, "u")
 
     def pairs(t: pa.Table) -> pa.Table:
         x = unit(t.column("vec"))
@@ -228,7 +228,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         new = _top(merged, nodes)
         discard(lists, more)
         lists = new
-        for _ in range(rounds):
+        for turn in range(rounds):
             found = lists.where(F.col("sim") >= threshold).count()
             full = lists.groupBy("u").agg(F.min("sim").alias("least"), F.count("*").alias("n")).where(F.col("least") >= threshold)
             saturated = full.join(nodes.select(F.col("id").alias("u"), "k"), "u").where(f"n >= k and k < {LONGEST}")
@@ -240,7 +240,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
             if widened:
                 old, nodes = nodes, materialize(grown, "nodes")
                 discard(old)
-            new = _top(lists.unionByName(_refine(lists, nodes)), nodes)
+            new = _top(lists.unionByName(_refine(lists, nodes, done * rounds + turn)), nodes)
             discard(lists)
             lists = new
             sweep(spark)

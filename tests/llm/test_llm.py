@@ -258,6 +258,14 @@ def test_embeddings_of_dense_groups(spark):
     assert all(r.n_links == links[r.vec_id] for r in got)
 
 
+def test_embeddings_of_a_large_group(spark):
+    r = np.random.default_rng(4)
+    x = np.eye(64)[0] + r.normal(size=(300, 64)) * 0.01
+    d = spark.createDataFrame([(i, [float(e) for e in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_duplicates(d).collect()
+    assert {(r.component_id, r.n_links) for r in got} == {(0, 299)}
+
+
 def test_empty(spark, docs):
     none = docs.where("false")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
