@@ -1,20 +1,23 @@
 """Fuzzy line deduplication by MinHash, in DataFrame expressions only.
 
 A line's set are its character shingles: SHINGLE characters from each position on (all of the
-line where it is shorter), lower-cased, repeats removed. Signatures are minima of the shingles'
-hashes under BANDS * ROWS permutations; BANDS bands of ROWS make two lines of similarity 0.8
-meet with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.994. Lines that share a band are
-linked to the band's first and last line if their exact Jaccard similarity reaches 0.8;
-connected components come from distributed union-find, and one line of each is kept.
-
-What is still in different components of a band then is compared in pairs if the band has SMALL
-lines at most. Larger bands are split by SPLIT further minima each (all differ with a probability
-of 0.2 ** SPLIT at 0.8), first and last lines of the parts are compared, and the rest in pairs.
-
-Equal lines are collapsed first, band groups are reduced to two lines each map-side, and only
-lines that are compared are read again, so no group of lines ever meets in one task. Pairs
-whose signatures agree in fewer than AGREE minima are not read: at a similarity of 0.8 that
-happens with a probability of 0.00003.
+line where it is shorter), lower-cased, repeats removed. Each shingle is hashed once; the circle
+of hashes is cut into BANDS * ROWS bins, and a signature holds the smallest hash from each bin's
+start on (one-permutation MinHash; an empty bin takes the next bin's). BANDS bands of ROWS bins,
+spread over the circle, make two lines of similarity 0.8 meet with a probability of
+1 - (1 - 0.8 ** ROWS) ** BANDS, 0.994. Lines with few shingles fill few bins, so they get a
+further signature from several hashes of each shingle (CLASSES).
+
+Lines that share a band are compared in rounds; every comparison is an exact Jaccard similarity:
+each line with the first line of its groups (the most alike one first), then what is still in
+different components of a group: all pairs of small groups; larger ones are split by SPLIT further
+minima each (all differ with a probability of 0.2 ** SPLIT at 0.8) until they are small, DEPTH
+times at most, and whatever is still mixed is compared in pairs. Connected components come from
+distributed union-find, and one line of each is kept.
+
+Equal lines are collapsed first, and only lines that are compared are read again. Pairs of
+longer lines whose signatures' last bits agree in fewer than AGREE of BITS bins are not read:
+at a similarity of 0.8 they agree in 0.9 of them, and that happens with a probability of 0.0001.
 """
 
 from __future__ import annotations
@@ -25,82 +28,93 @@ from pyspark.sql import functions as F
 from .common import components, discard, materialize, sweep
 
 SHINGLE = 5
-BANDS = 10
-ROWS = 4
-AGREE = 21
+BANDS = 13
+ROWS = 5
+BINS = BANDS * ROWS
+#: (shingles from, below, hashes a shingle): lines of similarity 0.8 are in one class at least.
+CLASSES = [(0, 32, 16), (25, 128, 4)]
+BITS = 64
+AGREE = 46
+LONG = 128  # shingles of lines whose bits tell enough
 SMALL = 16
 SPLIT = 10
+DEPTH = 3
 THRESHOLD = 80  # percent
-#: Compared lines are broadcast up to this many rows, else joined by a shuffle.
-BROADCAST = 1_000_000
-#: Lines are cut twice before their shingles, as a character's place is found by counting from the start.
-CUTS = (1024, 32)
-NUMBERS = [((i + 1) * 0x9E3779B1 + (1 << 31)) % (1 << 32) - (1 << 31) for i in range(BANDS * ROWS)]
+#: Lines that are joined back are broadcast up to this many rows, else joined by a shuffle.
+BROADCAST = 250_000
+STARTS = [-(1 << 31) + j * (1 << 32) // BINS for j in range(BINS)]
 
 
-def _cut(x: Column, size: int) -> Column:
-    """The pieces of a string in which ``size`` shingles start, all but the last."""
-    last = F.greatest(F.length(x) - SHINGLE, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), F.floor(last / size).cast("int")), lambda i: F.substring(x, i * size + 1, F.lit(size + SHINGLE - 1)))
+def _bind(value: Column, f) -> Column:
+    """f(value) with value evaluated once, not at each use."""
+    return F.transform(F.array(value), f)[0]
 
 
-def _pieces(line: Column) -> Column:
-    return F.flatten(F.transform(_cut(F.lower(line), CUTS[0]), lambda x: _cut(x, CUTS[1])))
+def _number(line: Column) -> Column:
+    """Number of positions at which a shingle starts."""
+    return F.greatest(F.length(line) - (SHINGLE - 1), F.lit(1))
 
 
-def _starts(piece: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.length(piece) - (SHINGLE - 1), F.lit(1)))
+def _each(line: Column, f) -> Column:
+    """f of the four-byte characters of every shingle, by position. Bytes are found in constant time, characters aren't."""
+    starts = F.sequence(F.lit(1), _number(line) * 4 - 3, F.lit(4))
+    return _bind(F.encode(F.lower(line), "UTF-32"), lambda b: F.transform(starts, lambda i: f(F.substring(b, i, F.lit(4 * SHINGLE)))))
 
 
 def shingles(line: Column) -> Column:
     """Hashes of the line's character shingles, without repeats."""
-    return F.array_distinct(F.flatten(F.transform(_pieces(line), lambda x: F.transform(_starts(x), lambda i: F.xxhash64(F.substring(x, i, F.lit(SHINGLE)))))))
+    return F.array_distinct(_each(line, F.xxhash64))
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """(h, low): the minima of each line's shingles under different permutations (exclusive or with fixed numbers)."""
-    pieces = lines.select("h", F.explode(_pieces(F.col("line"))).alias("x"))
-    each = pieces.select("h", "x", F.explode(_starts(F.col("x"))).alias("i")).select("h", F.hash(F.substring("x", F.col("i"), F.lit(SHINGLE))).alias("s"))
-    low = each.groupBy("h").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(n))).alias(f"m{i}") for i, n in enumerate(NUMBERS)])
-    return low.select("h", F.array(*[f"m{i}" for i in range(len(NUMBERS))]).alias("low"))
-
-
-def _bands(low: Column) -> Column:
-    """A key for each band."""
-    return F.array(*[F.xxhash64(F.lit(b), *[low[i] for i in range(b * ROWS, (b + 1) * ROWS)]) for b in range(BANDS)])
-
-
-def _alike(pairs: DataFrame, signed: DataFrame, lines: DataFrame) -> DataFrame:
+    """(h, c, n, bits, sig) of distinct lines (h, line): their minima for each class c they are in; n positions."""
+    n = F.col("n")
+    classes = F.array_compact(F.array(F.lit(1), *[F.when((n >= lo) & (n < hi), c) for lo, hi, c in CLASSES]))
+    rows = lines.select("h", "line", _number(F.col("line")).alias("n")).select("h", "line", "n", F.explode(classes).alias("c"))
+    hashes = F.flatten(F.transform(F.sequence(F.lit(1), F.col("c")), lambda k: _each(F.col("line"), lambda x: F.hash(x, k))))
+    rows = rows.select("h", "c", "n", F.sort_array(hashes).alias("s"))
+    rows = rows.select("h", "c", "n", "s", F.sort_array(F.concat("s", F.array(*[F.lit(x) for x in STARTS]))).alias("m"))
+    # A bin's start stands in m behind the hashes below it and the starts before it. The lambda in
+    # this projection keeps it out of whole-stage code, whose one method the JIT would not compile.
+    size = F.size("s")
+    low = [F.get("s", F.pmod(F.array_position("m", F.lit(x)).cast("int") - (j + 1), size)) for j, x in enumerate(STARTS)]
+    rows = rows.select("h", "c", _bind(n, lambda x: x).alias("n"), F.array(*[(x % 32768).cast("short") for x in low]).alias("sig"))
+    bits = F.aggregate(F.slice("sig", 1, BITS), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x.cast("long").bitwiseAND(F.lit(1))))
+    return rows.select("h", "c", "n", F.when(F.col("c") == 1, bits).alias("bits"), "sig")
+
+
+def _bands(c: Column, sig: Column) -> Column:
+    """A key for each band, of bins that stand far apart."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(c, b, *[F.get(sig, b + r * BANDS) for r in range(ROWS)]))
+
+
+def _promising(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b, score): the pairs whose bits agree often enough; short lines always do."""
+    plain = signed.where("c = 1").select("h", "n", "bits")
+    score = F.lit(BITS) - F.bit_count(F.col("xa").bitwiseXOR(F.col("xb")))
+    both = pairs.join(plain.toDF("a", "na", "xa"), "a").join(plain.toDF("b", "nb", "xb"), "b").withColumn("score", score.cast("int"))
+    return both.where((F.col("score") >= AGREE) | (F.least("na", "nb") < LONG)).select("a", "b", "score")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines have an exact similarity of the threshold at least."""
-    agree = F.size(F.filter(F.zip_with("la", "lb", lambda x, y: x == y), lambda x: x))
-    pairs = pairs.join(signed.toDF("a", "la"), "a").join(signed.toDF("b", "lb"), "b").where(agree >= AGREE).select("a", "b").distinct()
-    pairs = materialize(pairs, "pairs")
-    sweep(lines.sparkSession)
-    wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-    wanted = materialize(wanted, "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
-    sets = lines.select(F.col("h").alias("w"), "line").join(few, "w", "left_semi").groupBy("w").agg(F.first("line").alias("line"))
-    sets = materialize(sets.select("w", shingles(F.col("line")).alias("s")), "sets")
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").where(both * 100 >= THRESHOLD * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    links = materialize(links, "alike")
-    discard(pairs, wanted, sets)
-    sweep(lines.sparkSession)
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    sets = both.select("a", "b", shingles(F.col("ta")).alias("sa"), shingles(F.col("tb")).alias("sb"))
+    shared = sets.select("a", "b", F.size("sa").alias("x"), F.size("sb").alias("y"), F.size(F.array_intersect("sa", "sb")).alias("i"))
+    links = materialize(shared.where(F.col("i") * 100 >= THRESHOLD * (F.col("x") + F.col("y") - F.col("i"))).select("a", "b"), "alike")
+    sweep(pairs.sparkSession)
     return links
 
 
-def _ends(groups: DataFrame) -> DataFrame:
-    """Pairs of each line with the first and the last line of its groups."""
-    ends = groups.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
-    pairs = groups.join(ends, "key").select("h", F.explode(F.array("lo", "hi")).alias("o")).where("h <> o")
-    return pairs.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
+def _pair(a, b) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def _mixed(groups: DataFrame, comp: DataFrame) -> DataFrame:
-    """(h, b, key, c, n): the groups that hold several components, with their lines' component and number."""
+    """The groups' rows (key, h), with the lines' component c and their number n, of groups that hold several components."""
     named = groups.join(comp.toDF("h", "c"), "h", "left").withColumn("c", F.coalesce("c", "h"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    return materialize(named.join(mixed, "key").select("h", "b", "key", "c", "n"), "mixed")
+    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.min("h").alias("first")).where("lo <> hi").select("key", "n", "first")
+    return materialize(named.join(mixed, "key").select("key", "h", "c", "n", "first"), "mixed")
 
 
 def _across(mixed: DataFrame) -> DataFrame:
@@ -109,68 +123,109 @@ def _across(mixed: DataFrame) -> DataFrame:
     return x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
 
 
-def _links(signed: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of similar lines that connect all similar lines which share a band."""
-    spark = lines.sparkSession
-    keys = signed.select("h", F.posexplode(_bands(F.col("low"))).alias("b", "key"))
-    several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    groups = materialize(keys.join(several, "key").select("h", "b", "key"), "groups")
-    sweep(spark)
-    links = _alike(_ends(groups), signed, lines)
-    comp = components(links)
-    mixed = _mixed(groups, comp)
-    discard(groups, comp)
-    sweep(spark)
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    named = pairs.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
+    return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
 
-    n = BANDS * ROWS
-    others = F.transform(F.sequence(F.lit(0), F.lit(SPLIT - 1)), lambda i: ((F.col("b") + 1) * ROWS + i) % n)
-    parts = mixed.where(F.col("n") > SMALL).join(signed, "h").select("h", "b", "key", "low", F.explode(others).alias("j"))
-    parts = materialize(parts.select("h", "b", F.xxhash64("key", "j", F.get("low", F.col("j"))).alias("key")), "parts")
-    more = _alike(_across(mixed.where(F.col("n") <= SMALL)).unionByName(_ends(parts)).distinct(), signed, lines)
-    links = links.unionByName(more)
-    discard(mixed)
+def _links(signed: DataFrame, texts_of) -> DataFrame:
+    """Pairs (a, b) of similar lines that connect all similar lines which share a band.
+
+    texts_of: gives (h, line) for a table of the wanted h.
+    """
+    spark = signed.sparkSession
+    keys = signed.select("h", F.explode(_bands(F.col("c"), F.col("sig"))).alias("key"))
+    met = materialize(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi"), "met")
     sweep(spark)
-    if parts.isEmpty():
-        discard(parts)
-        return links
-    comp = components(links)
-    mixed = _mixed(parts, comp)
-    discard(parts, comp)
+    several = met.where("n > 2").select("key", "lo")
+    several = F.broadcast(several) if several.count() <= BROADCAST else several
+    groups = materialize(keys.join(several, "key").select("key", "h", "lo"), "groups")
+    sweep(spark)
+    star = met.where("n = 2").select(*_pair("lo", "hi")).unionByName(groups.where("h <> lo").select(*_pair("h", "lo"))).distinct()
+    star = materialize(_promising(star, signed), "pairs")
+    wanted = star.select(F.col("a").alias("h")).unionByName(star.select(F.col("b").alias("h"))).unionByName(groups.select("h")).distinct()
+    texts = texts_of(materialize(wanted, "wanted"))
+    discard(met)
     sweep(spark)
-    links = links.unionByName(_alike(_across(mixed), signed, lines))
-    discard(mixed)
+
+    best = materialize(star.groupBy("b").agg(F.max_by("a", "score").alias("a")).select("a", "b"), "best")
+    links = _alike(best, texts)
+    comp = materialize(components(links), "joined")
+    links = links.unionByName(_alike(_apart(star, comp).join(best, ["a", "b"], "left_anti"), texts))
+    discard(star, best, comp)
+    at = "key", "h"
+    for depth in range(DEPTH + 1):
+        comp = materialize(components(links), "joined")
+        mixed = _mixed(groups.select(*at), comp)
+        discard(groups, comp)
+        if mixed.isEmpty():
+            discard(mixed)
+            break
+        last = depth == DEPTH
+        pairs = _across(mixed if last else mixed.where(F.col("n") <= SMALL)).select("a", "b")
+        # A large group's lines meet again in its parts, with the first line of each part and then in pairs.
+        others = F.transform(F.sequence(F.lit(0), F.lit(SPLIT - 1)), lambda i: F.pmod(F.col("key") + i * 7 + depth * 3, F.lit(BINS)).cast("int"))
+        parts = mixed.where(F.col("n") > (1 << 62 if last else SMALL)).join(signed.where("c = 1").select("h", "sig"), "h").select("h", "key", "sig", F.explode(others).alias("j"))
+        groups = materialize(parts.select(F.xxhash64("key", "j", F.get("sig", F.col("j"))).alias("key"), "h"), "parts")
+        first = groups.groupBy("key").agg(F.min("h").alias("lo"))
+        pairs = pairs.unionByName(groups.join(first, "key").where("h <> lo").select(*_pair("h", "lo"))).distinct()
+        more = _alike(_promising(pairs, signed).select("a", "b"), texts)
+        links = links.unionByName(more)
+        discard(mixed)
+        sweep(spark)
+    discard(texts)
     return links
 
 
+def _joined(lines: DataFrame, found: DataFrame, copies: str, total: int) -> DataFrame:
+    """lines with found by h. Lines of more than a thousandth of all rows are a thousand at most: they are broadcast."""
+    if found.count() <= BROADCAST:
+        return lines.join(F.broadcast(found), "h")
+    hot = found.where(F.col(copies) * 1000 > total)
+    rest = lines.join(F.broadcast(hot.select("h")), "h", "left_anti").join(found.where(F.col(copies) * 1000 <= total), "h")
+    return lines.join(F.broadcast(hot), "h").unionByName(rest)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, n_lines, n_kept, text), one row per input row: each text without its duplicate lines.
 
     Lines are split at newlines. Of each group of fuzzy duplicates the first line stays, by
     document id (null ids last) and position. Blank lines always stay and link with nothing.
     Null texts stay null with 0 lines; empty ones have one blank line. Rows that repeat an id and
-    its text are one document: they keep the same lines.
+    its text are one document: they keep the same lines. Other columns are ignored.
     """
-    key = F.xxhash64(F.col(id_col), F.col(text))
-    lines = docs.where(F.col(text).isNotNull()).select(key.alias("k"), F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line")).where(F.trim("line") != "")
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
+    key = F.xxhash64("id", "t")
+    lines = docs.where(F.col("t").isNotNull()).select(key.alias("k"), F.col("id").cast("long").alias("id"), F.posexplode(F.split(F.col("t"), "\n")).alias("pos", "line")).where(F.trim("line") != "")
     where = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "k", "pos")
     lines = lines.withColumn("h", F.xxhash64("line"))
     distinct = materialize(lines.select("h", where.alias("at")).groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("copies")), "lines")
-    signed = materialize(_signatures(lines.select("h", "line")), "signatures")
-    sweep(docs.sparkSession)
+    signed = materialize(_signatures(lines.select("line").distinct().select(F.xxhash64("line").alias("h"), "line")), "signatures")
+    sweep(spark)
 
-    links = _links(signed, lines)
-    comp = components(links)
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        found = lines.select("h", "line")
+        found = found.join(F.broadcast(wanted), "h", "left_semi").distinct() if wanted.count() <= BROADCAST else found.distinct().join(wanted, "h", "left_semi")
+        out = materialize(found, "texts")
+        discard(wanted)
+        return out
+
+    links = _links(signed, texts_of)
     discard(signed)
-    sweep(docs.sparkSession)
+    comp = components(links)
+    sweep(spark)
 
     grouped = distinct.select("h", "first", "copies").join(comp.withColumnsRenamed({"node": "h"}), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
     heads = grouped.groupBy("comp").agg(F.min("first").alias("keep"), F.sum("copies").alias("times")).where("times > 1")
-    repeated = materialize(grouped.join(heads, "comp").select("h", "keep"), "repeated")
+    repeated = materialize(grouped.join(heads, "comp").select("h", "keep", "copies"), "repeated")
+    total = distinct.agg(F.sum("copies")).first()[0] or 0
     # Lines that occur once have no head: only lines of a repeated group can be dropped.
-    few = F.broadcast(repeated) if repeated.count() <= BROADCAST // 4 else repeated
-    drops = lines.select("k", "pos", "h", where.alias("at")).join(few, "h").where("at <> keep").groupBy("k").agg(F.collect_set("pos").alias("drop"))
+    drops = _joined(lines.select("k", "pos", "h", where.alias("at")), repeated, "copies", total).where("at <> keep").groupBy("k").agg(F.collect_set("pos").alias("drop"))
     drops = materialize(drops, "drops")
-    out = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"), key.alias("k")).join(drops, "k", "left")
+    discard(distinct, repeated)
+    out = docs.select("id", "t", key.alias("k")).join(drops, "k", "left")
     parts = F.split(F.col("t"), "\n")
     kept = F.when(F.col("drop").isNull(), F.col("t")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("drop", i)), "\n"))
     n = F.coalesce(F.size(parts), F.lit(0))

@@ -178,7 +178,7 @@ def test_lines_without_spaces(spark):
 def test_lines_of_one_band(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(line_dedup, "_bands", lambda low: F.array(F.lit(7).cast("long")))
+    monkeypatch.setattr(line_dedup, "_bands", lambda c, sig: F.array(F.lit(7).cast("long")))
     lines = [prose(700 + i, 30) for i in range(20)]
     d = spark.createDataFrame([(i, x) for i, x in enumerate(lines)] + [(100 + i, x + ".") for i, x in enumerate(lines)], "doc_id long, text string")
     got = {r.doc_id: r.n_kept for r in line_dedup.dedup_lines(d).collect()}
