@@ -7,6 +7,7 @@ import tempfile
 import time
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +65,25 @@ def discard(*frames: DataFrame | None) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+class Bitmap:
+    """Which 64-bit hashes may be in a table: a broadcast of fixed size that spares rows a join; the join decides."""
+
+    BITS = 26
+
+    def __init__(self, wanted: DataFrame, column: str):
+        slot = F.shiftrightunsigned(F.col(column), 64 - self.BITS).alias("s")
+        parts = wanted.select(slot).groupBy(F.expr("bitmap_bucket_number(s + 1)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s + 1))").alias("m")).collect()
+        bits = np.zeros((1 << self.BITS) // 8, np.uint8)
+        for r in parts:
+            at = (r.b - 1) * 4096
+            bits[at : at + len(r.m)] = np.frombuffer(bytes(r.m), np.uint8)
+        self.shared = wanted.sparkSession.sparkContext.broadcast(bits)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        s = (h.view(np.uint64) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return (self.shared.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Distributed union-find over links: alternating large-star and small-star steps.
 

@@ -1,126 +1,232 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame expressions only.
+"""Fuzzy line deduplication by MinHash, in numpy over Arrow batches.
 
 A line's set are its character shingles: SHINGLE characters from each position on (all of the
-line where it is shorter), lower-cased, repeats removed. Each shingle is hashed once; the circle
-of hashes is cut into BANDS * ROWS bins, and a signature holds the smallest hash from each bin's
-start on (one-permutation MinHash; an empty bin takes the next bin's). BANDS bands of ROWS bins,
-spread over the circle, make two lines of similarity 0.8 meet with a probability of
-1 - (1 - 0.8 ** ROWS) ** BANDS, 0.994. Lines with few shingles fill few bins, so they get a
-further signature from several hashes of each shingle (CLASSES).
+line where it is shorter), lower-cased, repeats removed. Each shingle is hashed once, and a
+signature holds the smallest hash of each of BINS bins (one-permutation MinHash); an empty bin
+takes the value of another one, chosen by a fixed random sequence. BANDS bands of ROWS bins make
+two lines of similarity 0.8 meet with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.994.
 
 Lines that share a band are compared in rounds; every comparison is an exact Jaccard similarity:
 each line with the first line of its groups (the most alike one first), then what is still in
-different components of a group: all pairs of small groups; larger ones are split by SPLIT further
-minima each (all differ with a probability of 0.2 ** SPLIT at 0.8) until they are small, DEPTH
-times at most, and whatever is still mixed is compared in pairs. Connected components come from
+different components of a group: all pairs of groups up to SMALL lines; larger ones are split by
+SPLIT further minima each (all differ with a probability of 0.2 ** SPLIT at 0.8), DEPTH times at
+most, and whatever is still mixed then is compared in pairs. Connected components come from
 distributed union-find, and one line of each is kept.
 
-Equal lines are collapsed first, and only lines that are compared are read again. Pairs of
-longer lines whose signatures' last bits agree in fewer than AGREE of BITS bins are not read:
-at a similarity of 0.8 they agree in 0.9 of them, and that happens with a probability of 0.0001.
+Equal lines are collapsed first, inside a slice of text and then by a shuffle, and only lines that
+are compared are read again. Pairs whose signatures agree in fewer than AGREE of BINS minima are
+not read: at a similarity of 0.8 that happens with a probability of 0.00003.
+
+The form in DataFrame expressions only gave the same links but hashed shingles too slowly (see the
+README), so lines are read and compared in Python workers here.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, sweep
+from .common import Bitmap, components, discard, materialize, sweep
+from .words import buffers, lut, mix, slices, words
 
 SHINGLE = 5
 BANDS = 13
 ROWS = 5
-BINS = BANDS * ROWS
-#: (shingles from, below, hashes a shingle): lines of similarity 0.8 are in one class at least.
-CLASSES = [(0, 32, 16), (25, 128, 4)]
-BITS = 64
-AGREE = 46
-LONG = 128  # shingles of lines whose bits tell enough
-SMALL = 16
+BINS = 65
+AGREE = 38
+SMALL = 64
 SPLIT = 10
 DEPTH = 3
 THRESHOLD = 80  # percent
 #: Lines that are joined back are broadcast up to this many rows, else joined by a shuffle.
 BROADCAST = 250_000
-STARTS = [-(1 << 31) + j * (1 << 32) // BINS for j in range(BINS)]
-
-
-def _bind(value: Column, f) -> Column:
-    """f(value) with value evaluated once, not at each use."""
-    return F.transform(F.array(value), f)[0]
-
-
-def _number(line: Column) -> Column:
-    """Number of positions at which a shingle starts."""
-    return F.greatest(F.length(line) - (SHINGLE - 1), F.lit(1))
-
-
-def _each(line: Column, f) -> Column:
-    """f of the four-byte characters of every shingle, by position. Bytes are found in constant time, characters aren't."""
-    starts = F.sequence(F.lit(1), _number(line) * 4 - 3, F.lit(4))
-    return _bind(F.encode(F.lower(line), "UTF-32"), lambda b: F.transform(starts, lambda i: f(F.substring(b, i, F.lit(4 * SHINGLE)))))
-
-
-def shingles(line: Column) -> Column:
-    """Hashes of the line's character shingles, without repeats."""
-    return F.array_distinct(_each(line, F.xxhash64))
-
-
-def _signatures(lines: DataFrame) -> DataFrame:
-    """(h, c, n, bits, sig) of distinct lines (h, line): their minima for each class c they are in; n positions."""
-    n = F.col("n")
-    classes = F.array_compact(F.array(F.lit(1), *[F.when((n >= lo) & (n < hi), c) for lo, hi, c in CLASSES]))
-    rows = lines.select("h", "line", _number(F.col("line")).alias("n")).select("h", "line", "n", F.explode(classes).alias("c"))
-    hashes = F.flatten(F.transform(F.sequence(F.lit(1), F.col("c")), lambda k: _each(F.col("line"), lambda x: F.hash(x, k))))
-    rows = rows.select("h", "c", "n", F.sort_array(hashes).alias("s"))
-    rows = rows.select("h", "c", "n", "s", F.sort_array(F.concat("s", F.array(*[F.lit(x) for x in STARTS]))).alias("m"))
-    # A bin's start stands in m behind the hashes below it and the starts before it. The lambda in
-    # this projection keeps it out of whole-stage code, whose one method the JIT would not compile.
-    size = F.size("s")
-    low = [F.get("s", F.pmod(F.array_position("m", F.lit(x)).cast("int") - (j + 1), size)) for j, x in enumerate(STARTS)]
-    rows = rows.select("h", "c", _bind(n, lambda x: x).alias("n"), F.array(*[(x % 32768).cast("short") for x in low]).alias("sig"))
-    bits = F.aggregate(F.slice("sig", 1, BITS), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x.cast("long").bitwiseAND(F.lit(1))))
-    return rows.select("h", "c", "n", F.when(F.col("c") == 1, bits).alias("bits"), "sig")
+EMPTY = np.uint32(0xFFFFFFFF)
+PRIME = np.uint64(0x100000001B3)
+LINES = lut([(10, 10)], lower=False)
+#: Where an empty bin looks for its value, turn by turn.
+ELSEWHERE = (mix(np.arange(64 * BINS, dtype=np.uint64)) % np.uint64(BINS)).astype(np.int64).reshape(64, BINS)
+#: Characters whose shingles are hashed at once.
+STEP = 1 << 18
+
+
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the shingle at each position of each line, number of positions of each line)."""
+    low = [x.lower() for x in lines]
+    size = np.array([len(x) for x in low], np.int64)
+    chars = np.frombuffer(("".join(low) + "\0" * SHINGLE).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    n = np.maximum(size - SHINGLE + 1, 1)
+    line = np.repeat(np.arange(len(low)), n)
+    at = np.arange(len(line)) + np.repeat(np.cumsum(size) - size - np.cumsum(n) + n, n)
+    short = np.flatnonzero(size < SHINGLE)
+    h = np.zeros(len(line), np.uint64)
+    for j in range(SHINGLE):
+        x = chars[at + j]
+        if len(short):
+            beyond = np.zeros(len(low), bool)
+            beyond[short] = size[short] <= j
+            x = np.where(beyond[line], np.uint64(0), x)
+        h = h * PRIME + x
+    return mix(h), n
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """Each line's BINS minima, cut to 16 bits."""
+    if not lines:
+        return np.zeros((0, BINS), np.uint16)
+    h, n = shingle_hashes(lines)
+    m = len(lines)
+    cell = np.repeat(np.arange(m) * BINS, n) + (((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
+    low = np.full(m * BINS, EMPTY, np.uint32)
+    np.minimum.at(low, cell, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    low = low.reshape(m, BINS)
+    r, c = np.nonzero(low == EMPTY)
+    filled = low.copy()
+    for turn in ELSEWHERE:
+        if not len(r):
+            break
+        got = low[r, turn[c]]
+        filled[r, c] = got
+        r, c = r[got == EMPTY], c[got == EMPTY]
+    if len(r):
+        filled[r, c] = low[r].min(1)
+    return (mix(filled.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def _blocks(lines: list[str]) -> Iterator[list[str]]:
+    """The lines in stretches of about STEP characters."""
+    at = 0
+    size = np.cumsum([len(x) for x in lines])
+    while at < len(lines):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + STEP, side="right")))
+        yield lines[at:to]
+        at = to
+
+
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(line, band) -> key; a band's bins stand far apart."""
+    out = np.empty((len(sig), bands), np.uint64)
+    for b in range(bands):
+        x = np.full(len(sig), b + 1, np.uint64)
+        for r in range(rows):
+            x = mix(x * PRIME + sig[:, b + r * bands].astype(np.uint64))
+        out[:, b] = mix(x)
+    return out.view(np.int64)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """For each slice of rows (k, id, t): the batch, its bytes, and of each line that isn't blank its hash, row, place in the row, first and end byte."""
+    for batch in slices(batches, "t", 1 << 20):
+        col = batch.column("t")
+        data, off = buffers(col)
+        h, rows, first, end = words(col, LINES, spans=True)
+        if not len(h):
+            continue
+        row = np.searchsorted(off, first, side="right") - 1
+        breaks = np.append(0, np.cumsum(data == 10))
+        solid = np.append(0, np.cumsum((data != 32) & (data != 10)))
+        keep = solid[end] > solid[first]  # lines of spaces only are blank
+        yield batch, data, h.view(np.int64)[keep], row[keep], (breaks[first] - breaks[off[row]])[keep], first[keep], end[keep]
+
+
+def _distinct(docs: DataFrame) -> DataFrame:
+    """(h, first (id, k, pos), copies, sig) of each distinct line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, h, row, pos, first, end in _read(batches):
+            ids = np.array([(1 << 63) - 1 if x is None else x for x in batch.column("id").to_pylist()], np.int64)
+            k = batch.column("k").to_numpy()
+            order = np.lexsort((pos, k[row], ids[row], h))
+            new = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1])) if len(h) else np.zeros(0, int)
+            copies = np.diff(np.append(new, len(h)))
+            i = order[new]
+            lines = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(first[i].tolist(), end[i].tolist(), strict=True)]
+            sig = [x.tobytes() for part in _blocks(lines) for x in signatures(part)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(ids[row[i]]), pa.array(k[row[i]]), pa.array(pos[i].astype(np.int32)), pa.array(copies), pa.array(sig, pa.binary())], ["h", "id", "k", "pos", "copies", "sig"])
+
+    found = docs.mapInArrow(run, "h long, id long, k long, pos int, copies long, sig binary")
+    return materialize(found.groupBy("h").agg(F.min(F.struct("id", "k", "pos")).alias("first"), F.sum("copies").alias("copies"), F.first("sig").alias("sig")), "lines")
+
+
+def _occurring(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
+    """The lines that are wanted (and few others): (h, line) for "text", (h, id, k, pos) for "place"."""
+    maybe = Bitmap(wanted, "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, h, row, pos, first, end in _read(batches):
+            i = np.flatnonzero(maybe.holds(h))
+            if kind == "text":
+                i = i[np.unique(h[i], return_index=True)[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array([data[a:b].tobytes() for a, b in zip(first[i].tolist(), end[i].tolist(), strict=True)], pa.binary())], ["h", "line"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(h[i]), batch.column("id").take(pa.array(row[i])), batch.column("k").take(pa.array(row[i])), pa.array(pos[i].astype(np.int32))], ["h", "id", "k", "pos"])
+
+    return docs.mapInArrow(run, "h long, line binary" if kind == "text" else "h long, id long, k long, pos int")
+
+
+def _keys(signed: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(key, h): each line's bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
+                yield pa.RecordBatch.from_arrays([pa.array(band_keys(sig, bands, rows).ravel()), pa.array(np.repeat(batch.column("h").to_numpy(), bands))], ["key", "h"])
+
+    return signed.select("h", "sig").mapInArrow(run, "key long, h long")
 
 
-def _bands(c: Column, sig: Column) -> Column:
-    """A key for each band, of bins that stand far apart."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(c, b, *[F.get(sig, b + r * BANDS) for r in range(ROWS)]))
+def _promising(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b, score): the pairs whose signatures agree in AGREE minima at least."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("sa", "sb"))
+                score = (x == y).sum(1).astype(np.int32)
+                keep = pa.array(score >= AGREE)
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(score).filter(keep)], ["a", "b", "score"])
 
-def _promising(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """(a, b, score): the pairs whose bits agree often enough; short lines always do."""
-    plain = signed.where("c = 1").select("h", "n", "bits")
-    score = F.lit(BITS) - F.bit_count(F.col("xa").bitwiseXOR(F.col("xb")))
-    both = pairs.join(plain.toDF("a", "na", "xa"), "a").join(plain.toDF("b", "nb", "xb"), "b").withColumn("score", score.cast("int"))
-    return both.where((F.col("score") >= AGREE) | (F.least("na", "nb") < LONG)).select("a", "b", "score")
+    sig = signed.select("h", "sig")
+    return pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").mapInArrow(run, "a long, b long, score int")
 
 
 def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines have an exact similarity of the threshold at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+                h, n = shingle_hashes([x.decode("utf-8", "replace"), y.decode("utf-8", "replace")])
+                a, b = np.unique(h[: n[0]]), np.unique(h[n[0] :])
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                found.append(both * 100 >= THRESHOLD * (len(a) + len(b) - both))
+            keep = pa.array(found, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    sets = both.select("a", "b", shingles(F.col("ta")).alias("sa"), shingles(F.col("tb")).alias("sb"))
-    shared = sets.select("a", "b", F.size("sa").alias("x"), F.size("sb").alias("y"), F.size(F.array_intersect("sa", "sb")).alias("i"))
-    links = materialize(shared.where(F.col("i") * 100 >= THRESHOLD * (F.col("x") + F.col("y") - F.col("i"))).select("a", "b"), "alike")
-    sweep(pairs.sparkSession)
-    return links
+    return materialize(both.mapInArrow(run, "a long, b long"), "alike")
 
 
-def _pair(a, b) -> list[Column]:
+def _pair(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def _mixed(groups: DataFrame, comp: DataFrame) -> DataFrame:
     """The groups' rows (key, h), with the lines' component c and their number n, of groups that hold several components."""
     named = groups.join(comp.toDF("h", "c"), "h", "left").withColumn("c", F.coalesce("c", "h"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.min("h").alias("first")).where("lo <> hi").select("key", "n", "first")
-    return materialize(named.join(mixed, "key").select("key", "h", "c", "n", "first"), "mixed")
+    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    return materialize(named.join(mixed, "key").select("key", "h", "c", "n"), "mixed")
 
 
 def _across(mixed: DataFrame) -> DataFrame:
     """All pairs of lines of a group that are in different components."""
     x, y = mixed.select("key", F.col("h").alias("a"), F.col("c").alias("ca")), mixed.select("key", F.col("h").alias("b"), F.col("c").alias("cb"))
-    return x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    return x.join(y, "key").where("a < b and ca <> cb").select("a", "b")
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -129,15 +235,26 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _links(signed: DataFrame, texts_of) -> DataFrame:
-    """Pairs (a, b) of similar lines that connect all similar lines which share a band.
+def _parts(mixed: DataFrame, signed: DataFrame, depth: int) -> DataFrame:
+    """(key, h): each line of a group once for each of SPLIT minima, keyed by group and minimum."""
 
-    texts_of: gives (h, line) for a table of the wanted h.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
+                key, h = batch.column("key").to_numpy().view(np.uint64), batch.column("h").to_numpy()
+                j = ((key % np.uint64(BINS)).astype(np.int64)[:, None] + np.arange(SPLIT)[None, :] * 6 + depth) % BINS
+                part = mix(mix(key[:, None] * PRIME + j.astype(np.uint64)) * PRIME + np.take_along_axis(sig, j, 1).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(part.ravel().view(np.int64)), pa.array(np.repeat(h, SPLIT))], ["key", "h"])
+
+    return mixed.join(signed.select("h", "sig"), "h").select("key", "h", "sig").mapInArrow(run, "key long, h long")
+
+
+def similar_lines(docs: DataFrame, signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Pairs (a, b) of similar lines that connect all similar lines which share a band."""
     spark = signed.sparkSession
-    keys = signed.select("h", F.explode(_bands(F.col("c"), F.col("sig"))).alias("key"))
+    keys = _keys(signed, bands, rows)
     met = materialize(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi"), "met")
-    sweep(spark)
     several = met.where("n > 2").select("key", "lo")
     several = F.broadcast(several) if several.count() <= BROADCAST else several
     groups = materialize(keys.join(several, "key").select("key", "h", "lo"), "groups")
@@ -145,8 +262,9 @@ def _links(signed: DataFrame, texts_of) -> DataFrame:
     star = met.where("n = 2").select(*_pair("lo", "hi")).unionByName(groups.where("h <> lo").select(*_pair("h", "lo"))).distinct()
     star = materialize(_promising(star, signed), "pairs")
     wanted = star.select(F.col("a").alias("h")).unionByName(star.select(F.col("b").alias("h"))).unionByName(groups.select("h")).distinct()
-    texts = texts_of(materialize(wanted, "wanted"))
-    discard(met)
+    wanted = materialize(wanted, "wanted")
+    texts = materialize(_occurring(docs, wanted, "text").distinct(), "texts")
+    discard(met, wanted)
     sweep(spark)
 
     best = materialize(star.groupBy("b").agg(F.max_by("a", "score").alias("a")).select("a", "b"), "best")
@@ -154,40 +272,27 @@ def _links(signed: DataFrame, texts_of) -> DataFrame:
     comp = materialize(components(links), "joined")
     links = links.unionByName(_alike(_apart(star, comp).join(best, ["a", "b"], "left_anti"), texts))
     discard(star, best, comp)
-    at = "key", "h"
     for depth in range(DEPTH + 1):
         comp = materialize(components(links), "joined")
-        mixed = _mixed(groups.select(*at), comp)
+        mixed = _mixed(groups.select("key", "h"), comp)
         discard(groups, comp)
         if mixed.isEmpty():
             discard(mixed)
             break
         last = depth == DEPTH
-        pairs = _across(mixed if last else mixed.where(F.col("n") <= SMALL)).select("a", "b")
+        pairs = _across(mixed if last else mixed.where(F.col("n") <= SMALL))
         # A large group's lines meet again in its parts, with the first line of each part and then in pairs.
-        others = F.transform(F.sequence(F.lit(0), F.lit(SPLIT - 1)), lambda i: F.pmod(F.col("key") + i * 7 + depth * 3, F.lit(BINS)).cast("int"))
-        parts = mixed.where(F.col("n") > (1 << 62 if last else SMALL)).join(signed.where("c = 1").select("h", "sig"), "h").select("h", "key", "sig", F.explode(others).alias("j"))
-        groups = materialize(parts.select(F.xxhash64("key", "j", F.get("sig", F.col("j"))).alias("key"), "h"), "parts")
+        groups = materialize(_parts(mixed.where(F.lit(False) if last else F.col("n") > SMALL), signed, depth), "parts")
         first = groups.groupBy("key").agg(F.min("h").alias("lo"))
         pairs = pairs.unionByName(groups.join(first, "key").where("h <> lo").select(*_pair("h", "lo"))).distinct()
-        more = _alike(_promising(pairs, signed).select("a", "b"), texts)
-        links = links.unionByName(more)
+        links = links.unionByName(_alike(_promising(pairs, signed).select("a", "b"), texts))
         discard(mixed)
         sweep(spark)
     discard(texts)
     return links
 
 
-def _joined(lines: DataFrame, found: DataFrame, copies: str, total: int) -> DataFrame:
-    """lines with found by h. Lines of more than a thousandth of all rows are a thousand at most: they are broadcast."""
-    if found.count() <= BROADCAST:
-        return lines.join(F.broadcast(found), "h")
-    hot = found.where(F.col(copies) * 1000 > total)
-    rest = lines.join(F.broadcast(hot.select("h")), "h", "left_anti").join(found.where(F.col(copies) * 1000 <= total), "h")
-    return lines.join(F.broadcast(hot), "h").unionByName(rest)
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id_col, n_lines, n_kept, text), one row per input row: each text without its duplicate lines.
 
     Lines are split at newlines. Of each group of fuzzy duplicates the first line stays, by
@@ -198,36 +303,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
     key = F.xxhash64("id", "t")
-    lines = docs.where(F.col("t").isNotNull()).select(key.alias("k"), F.col("id").cast("long").alias("id"), F.posexplode(F.split(F.col("t"), "\n")).alias("pos", "line")).where(F.trim("line") != "")
-    where = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "k", "pos")
-    lines = lines.withColumn("h", F.xxhash64("line"))
-    distinct = materialize(lines.select("h", where.alias("at")).groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("copies")), "lines")
-    signed = materialize(_signatures(lines.select("line").distinct().select(F.xxhash64("line").alias("h"), "line")), "signatures")
+    read = docs.where(F.col("t").isNotNull()).select(key.alias("k"), F.col("id").cast("long").alias("id"), "t")
+    signed = _distinct(read)
     sweep(spark)
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        found = lines.select("h", "line")
-        found = found.join(F.broadcast(wanted), "h", "left_semi").distinct() if wanted.count() <= BROADCAST else found.distinct().join(wanted, "h", "left_semi")
-        out = materialize(found, "texts")
-        discard(wanted)
-        return out
-
-    links = _links(signed, texts_of)
-    discard(signed)
+    links = similar_lines(read, signed, bands, rows)
     comp = components(links)
     sweep(spark)
 
-    grouped = distinct.select("h", "first", "copies").join(comp.withColumnsRenamed({"node": "h"}), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
+    grouped = signed.select("h", "first", "copies").join(comp.withColumnsRenamed({"node": "h"}), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
     heads = grouped.groupBy("comp").agg(F.min("first").alias("keep"), F.sum("copies").alias("times")).where("times > 1")
     repeated = materialize(grouped.join(heads, "comp").select("h", "keep", "copies"), "repeated")
-    total = distinct.agg(F.sum("copies")).first()[0] or 0
+    total = signed.agg(F.sum("copies")).first()[0] or 0
+    discard(signed)
     # Lines that occur once have no head: only lines of a repeated group can be dropped.
-    drops = _joined(lines.select("k", "pos", "h", where.alias("at")), repeated, "copies", total).where("at <> keep").groupBy("k").agg(F.collect_set("pos").alias("drop"))
-    drops = materialize(drops, "drops")
-    discard(distinct, repeated)
+    places = _occurring(read, repeated, "place")
+    if repeated.count() > BROADCAST:
+        # Lines of more than a thousandth of all are a thousand at most; they don't go through the shuffle.
+        hot = F.broadcast(repeated.where(F.col("copies") * 1000 > total))
+        rest = places.join(hot.select("h"), "h", "left_anti").join(repeated.where(F.col("copies") * 1000 <= total), "h")
+        places = places.join(hot, "h").unionByName(rest)
+    else:
+        places = places.join(F.broadcast(repeated), "h")
+    place = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "k", "pos")
+    drops = materialize(places.where(place != F.col("keep")).groupBy("k").agg(F.collect_set("pos").alias("drop")), "drops")
+    discard(repeated)
     out = docs.select("id", "t", key.alias("k")).join(drops, "k", "left")
     parts = F.split(F.col("t"), "\n")
     kept = F.when(F.col("drop").isNull(), F.col("t")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("drop", i)), "\n"))
-    n = F.coalesce(F.size(parts), F.lit(0))
-    n = F.when(F.col("t").isNull(), 0).otherwise(n)
-    return out.select(F.col("id").alias(id_col), n.cast("long").alias("n_lines"), (n - F.coalesce(F.size("drop"), F.lit(0)) * F.when(F.col("drop").isNull(), 0).otherwise(1)).cast("long").alias("n_kept"), kept.alias("text"))
+    n = F.when(F.col("t").isNull(), 0).otherwise(F.size(parts))
+    return out.select(F.col("id").alias(id_col), n.cast("long").alias("n_lines"), (n - F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop"))).cast("long").alias("n_kept"), kept.alias("text"))

@@ -17,19 +17,19 @@ _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POW = np.multiply.accumulate(np.full(1 << 16, 0x100000001B3, dtype=np.uint64))
 
 
-def _lut(separators: list[tuple[int, int]]) -> np.ndarray:
-    """Per byte: 0 for a separator, else the byte with A-Z lower-cased, plus 1 (as 16 bits)."""
+def lut(separators: list[tuple[int, int]], lower: bool = True) -> np.ndarray:
+    """Per byte: 0 for a separator, else the byte (with A-Z lower-cased), plus 1 (as 16 bits)."""
     t = np.arange(1, 257, dtype=np.uint16)
-    t[65 : 65 + 26] += 32
+    t[65 : 65 + 26] += 32 * lower
     for lo, hi in separators:
         t[lo : hi + 1] = 0
     return t
 
 
 #: Words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of lower-cased texts: digits, letters, non-ASCII. (A-Z count, as they are lower-cased first.)
-ALNUM = _lut([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
+ALNUM = lut([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 #: Words [^\x20\x09-\x0D]+ of lower-cased texts: whatever stands between white space.
-SPACED = _lut([(0x20, 0x20), (0x09, 0x0D)])
+SPACED = lut([(0x20, 0x20), (0x09, 0x0D)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,7 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], col: str, most: int = 4 << 20) ->
             at = to
 
 
-def words(col: pa.Array, lut: np.ndarray, spans: bool = False):
+def words(col: pa.Array, table: np.ndarray, spans: bool = False):
     """(hash of every word, offsets of each row's words[, first byte, end byte of every word])."""
     data, off = buffers(col)
     n, step = len(data), 1 << 20
@@ -74,12 +74,12 @@ def words(col: pa.Array, lut: np.ndarray, spans: bool = False):
     while at < n:
         to = min(n, at + step)
         while to < n:  # never cut a word: move on to a separator or the next row
-            stop = np.flatnonzero((lut[data[to : to + 65536]] == 0) | first[to : to + 65536][: len(data[to : to + 65536])])
+            stop = np.flatnonzero((table[data[to : to + 65536]] == 0) | first[to : to + 65536][: len(data[to : to + 65536])])
             if len(stop):
                 to += int(stop[0])
                 break
             to = min(n, to + 65536)
-        b = lut[data[at:to]]
+        b = table[data[at:to]]
         inside = b > 0
         head = inside.copy()
         head[1:] &= ~inside[:-1] | first[at + 1 : to]
