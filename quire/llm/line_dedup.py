@@ -38,7 +38,7 @@ BANDS = 13
 ROWS = 5
 BINS = 65
 AGREE = 38
-SMALL = 64
+SMALL = 256
 SPLIT = 10
 DEPTH = 3
 THRESHOLD = 80  # percent
@@ -167,26 +167,33 @@ def _occurring(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
     return docs.mapInArrow(run, "h long, line binary" if kind == "text" else "h long, id long, k long, pos int")
 
 
-def _keys(signed: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, h): each line's bands."""
+def _keys(signed: DataFrame, bands: int, rows: int, only: Bitmap | None = None) -> DataFrame:
+    """(key, h): each line's bands; those that may be in ``only``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
-                yield pa.RecordBatch.from_arrays([pa.array(band_keys(sig, bands, rows).ravel()), pa.array(np.repeat(batch.column("h").to_numpy(), bands))], ["key", "h"])
+                key = band_keys(_minima(batch.column("sig")), bands, rows).ravel()
+                h = np.repeat(batch.column("h").to_numpy(), bands)
+                if only:
+                    keep = only.holds(key)
+                    key, h = key[keep], h[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h)], ["key", "h"])
 
     return signed.select("h", "sig").mapInArrow(run, "key long, h long")
 
 
+def _minima(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS)
+
+
 def _promising(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """(a, b, score): the pairs whose signatures agree in AGREE minima at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("sa", "sb"))
-                score = (x == y).sum(1).astype(np.int32)
+                score = (_minima(batch.column("sa")) == _minima(batch.column("sb"))).sum(1).astype(np.int32)
                 keep = pa.array(score >= AGREE)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(score).filter(keep)], ["a", "b", "score"])
 
@@ -199,12 +206,16 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                h, n = shingle_hashes([x.decode("utf-8", "replace"), y.decode("utf-8", "replace")])
-                a, b = np.unique(h[: n[0]]), np.unique(h[n[0] :])
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                found.append(both * 100 >= THRESHOLD * (len(a) + len(b) - both))
+            x, y = (batch.column(c).to_pylist() for c in ("ta", "tb"))
+            lines = [z.decode("utf-8", "replace") for pair in zip(x, y, strict=True) for z in pair]
+            found, sets = [], []
+            for part in _blocks(lines):
+                h, n = shingle_hashes(part)
+                sets += [np.unique(s) for s in np.split(h, np.cumsum(n)[:-1])]
+                while len(sets) > 1:
+                    a, b, *sets = sets
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    found.append(both * 100 >= THRESHOLD * (len(a) + len(b) - both))
             keep = pa.array(found, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
@@ -226,13 +237,52 @@ def _mixed(groups: DataFrame, comp: DataFrame) -> DataFrame:
 def _across(mixed: DataFrame) -> DataFrame:
     """All pairs of lines of a group that are in different components."""
     x, y = mixed.select("key", F.col("h").alias("a"), F.col("c").alias("ca")), mixed.select("key", F.col("h").alias("b"), F.col("c").alias("cb"))
-    return x.join(y, "key").where("a < b and ca <> cb").select("a", "b")
+    return x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+
+
+def _inside(mixed: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b): the promising pairs of groups up to SMALL lines whose lines are in different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in (*batches, None):
+            if batch is not None and not batch.num_rows:
+                continue
+            t = [batch.column(c).to_numpy() for c in ("key", "h", "c")] + [_minima(batch.column("sig"))] if batch is not None else None
+            t = rest if t is None else t if rest is None else [np.concatenate(x) for x in zip(rest, t, strict=True)]
+            if t is None:
+                return
+            starts = np.flatnonzero(np.append(True, t[0][1:] != t[0][:-1]))
+            whole = starts if batch is None else starts[:-1]  # the last group may go on in the next batch
+            found = []
+            for a, b in zip(whole.tolist(), [*starts[1:].tolist(), len(t[0])], strict=False):
+                _, h, c, sig = (x[a:b] for x in t)
+                i, j = np.nonzero((sig[:, None] == sig[None]).sum(2) >= AGREE)
+                keep = (h[i] < h[j]) & (c[i] != c[j])
+                found.append((h[i[keep]], h[j[keep]]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+            rest = [x[starts[-1] :] for x in t]
+
+    rows = mixed.select("key", "h", "c").join(signed.select("h", "sig"), "h")
+    return rows.repartition("key").sortWithinPartitions("key").select("key", "h", "c", "sig").mapInArrow(run, "a long, b long").distinct()
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
+    """The pairs, with their ends' components ca and cb, that are in different ones."""
     named = pairs.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
-    return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return named.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, comp) with more links; only components are joined, not lines."""
+    edges = materialize(_apart(links, comp).select("a", "b", "ca", "cb"), "edges")
+    top = materialize(components(edges, "ca", "cb"), "top")
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    every = comp.unionByName(ends.join(comp, "node", "left_anti").withColumn("comp", F.col("node")))
+    out = materialize(every.join(top.toDF("comp", "c"), "comp", "left").select("node", F.coalesce("c", "comp").alias("comp")), "joined")
+    discard(edges, top, comp, links)
+    return out
 
 
 def _parts(mixed: DataFrame, signed: DataFrame, depth: int) -> DataFrame:
@@ -241,24 +291,21 @@ def _parts(mixed: DataFrame, signed: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
                 key, h = batch.column("key").to_numpy().view(np.uint64), batch.column("h").to_numpy()
                 j = ((key % np.uint64(BINS)).astype(np.int64)[:, None] + np.arange(SPLIT)[None, :] * 6 + depth) % BINS
-                part = mix(mix(key[:, None] * PRIME + j.astype(np.uint64)) * PRIME + np.take_along_axis(sig, j, 1).astype(np.uint64))
+                part = mix(mix(key[:, None] * PRIME + j.astype(np.uint64)) * PRIME + np.take_along_axis(_minima(batch.column("sig")), j, 1).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(part.ravel().view(np.int64)), pa.array(np.repeat(h, SPLIT))], ["key", "h"])
 
     return mixed.join(signed.select("h", "sig"), "h").select("key", "h", "sig").mapInArrow(run, "key long, h long")
 
 
 def similar_lines(docs: DataFrame, signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Pairs (a, b) of similar lines that connect all similar lines which share a band."""
+    """(node, comp): the components of lines that have a similar line; all similar lines that share a band are joined."""
     spark = signed.sparkSession
-    keys = _keys(signed, bands, rows)
-    met = materialize(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi"), "met")
-    several = met.where("n > 2").select("key", "lo")
-    several = F.broadcast(several) if several.count() <= BROADCAST else several
-    groups = materialize(keys.join(several, "key").select("key", "h", "lo"), "groups")
+    met = materialize(_keys(signed, bands, rows).groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi"), "met")
     sweep(spark)
+    several = met.where("n > 2").select("key", "lo")
+    groups = materialize(_keys(signed, bands, rows, Bitmap(several, "key")).join(several, "key").select("key", "h", "lo"), "groups")
     star = met.where("n = 2").select(*_pair("lo", "hi")).unionByName(groups.where("h <> lo").select(*_pair("h", "lo"))).distinct()
     star = materialize(_promising(star, signed), "pairs")
     wanted = star.select(F.col("a").alias("h")).unionByName(star.select(F.col("b").alias("h"))).unionByName(groups.select("h")).distinct()
@@ -270,26 +317,34 @@ def similar_lines(docs: DataFrame, signed: DataFrame, bands: int = BANDS, rows:
     best = materialize(star.groupBy("b").agg(F.max_by("a", "score").alias("a")).select("a", "b"), "best")
     links = _alike(best, texts)
     comp = materialize(components(links), "joined")
-    links = links.unionByName(_alike(_apart(star, comp).join(best, ["a", "b"], "left_anti"), texts))
-    discard(star, best, comp)
+    discard(links)
+    comp = _joined(comp, _alike(_apart(star, comp).select("a", "b").join(best, ["a", "b"], "left_anti"), texts))
+    discard(star, best)
+    sweep(spark)
     for depth in range(DEPTH + 1):
-        comp = materialize(components(links), "joined")
         mixed = _mixed(groups.select("key", "h"), comp)
-        discard(groups, comp)
+        discard(groups)
         if mixed.isEmpty():
             discard(mixed)
             break
-        last = depth == DEPTH
-        pairs = _across(mixed if last else mixed.where(F.col("n") <= SMALL))
-        # A large group's lines meet again in its parts, with the first line of each part and then in pairs.
-        groups = materialize(_parts(mixed.where(F.lit(False) if last else F.col("n") > SMALL), signed, depth), "parts")
-        first = groups.groupBy("key").agg(F.min("h").alias("lo"))
-        pairs = pairs.unionByName(groups.join(first, "key").where("h <> lo").select(*_pair("h", "lo"))).distinct()
-        links = links.unionByName(_alike(_promising(pairs, signed).select("a", "b"), texts))
+        comp = _joined(comp, _alike(_inside(mixed.where(F.col("n") <= SMALL), signed), texts))
+        large = materialize(mixed.where(F.col("n") > SMALL), "large")
         discard(mixed)
+        if large.isEmpty():
+            discard(large)
+            break
+        if depth == DEPTH:
+            comp = _joined(comp, _alike(_promising(_across(large), signed).select("a", "b"), texts))
+        else:
+            # A large group's lines meet again in its parts, with the first line of each part and then in pairs.
+            groups = materialize(_parts(large, signed, depth), "parts")
+            first = groups.groupBy("key").agg(F.min("h").alias("lo"))
+            near = groups.join(first, "key").where("h <> lo").select(*_pair("h", "lo")).distinct()
+            comp = _joined(comp, _alike(_promising(_apart(near, comp).select("a", "b"), signed).select("a", "b"), texts))
+        discard(large)
         sweep(spark)
     discard(texts)
-    return links
+    return comp
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -306,8 +361,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ban
     read = docs.where(F.col("t").isNotNull()).select(key.alias("k"), F.col("id").cast("long").alias("id"), "t")
     signed = _distinct(read)
     sweep(spark)
-    links = similar_lines(read, signed, bands, rows)
-    comp = components(links)
+    comp = similar_lines(read, signed, bands, rows)
     sweep(spark)
 
     grouped = signed.select("h", "first", "copies").join(comp.withColumnsRenamed({"node": "h"}), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
