@@ -9,13 +9,13 @@ two lines of similarity 0.8 meet with a probability of 1 - (1 - 0.8 ** ROWS) **
 Lines that share a band are compared in rounds; every comparison is an exact Jaccard similarity:
 each line with the first line of its groups (the most alike one first), then what is still in
 different components of a group: all pairs of groups up to SMALL lines; larger ones are split by
-SPLIT further minima each (all differ with a probability of 0.2 ** SPLIT at 0.8), DEPTH times at
-most, and whatever is still mixed then is compared in pairs. Connected components come from
+TOGETHER further minima, SPLIT times (that all differ has a probability of 0.0008 at 0.8), DEPTH
+times at most, and whatever is still mixed then is compared in pairs. Connected components come from
 distributed union-find, and one line of each is kept.
 
 Equal lines are collapsed first, inside a slice of text and then by a shuffle, and only lines that
 are compared are read again. Pairs whose signatures agree in fewer than AGREE of BINS minima are
-not read: at a similarity of 0.8 that happens with a probability of 0.00003.
+not read: at a similarity of 0.8 that happens with a probability of 0.001.
 
 The form in DataFrame expressions only gave the same links but hashed shingles too slowly (see the
 README), so lines are read and compared in Python workers here.
@@ -37,9 +37,10 @@ SHINGLE = 5
 BANDS = 13
 ROWS = 5
 BINS = 65
-AGREE = 38
-SMALL = 256
+AGREE = 42
+SMALL = 2048
 SPLIT = 10
+TOGETHER = 3
 DEPTH = 3
 THRESHOLD = 80  # percent
 #: Lines that are joined back are broadcast up to this many rows, else joined by a shuffle.
@@ -257,9 +258,14 @@ def _inside(mixed: DataFrame, signed: DataFrame) -> DataFrame:
             found = []
             for a, b in zip(whole.tolist(), [*starts[1:].tolist(), len(t[0])], strict=False):
                 _, h, c, sig = (x[a:b] for x in t)
-                i, j = np.nonzero((sig[:, None] == sig[None]).sum(2) >= AGREE)
-                keep = (h[i] < h[j]) & (c[i] != c[j])
-                found.append((h[i[keep]], h[j[keep]]))
+                for at in range(0, len(h), 128):
+                    near = np.zeros((len(h[at : at + 128]), len(h)), np.uint8)
+                    for m in range(BINS):
+                        near += sig[at : at + 128, m, None] == sig[None, :, m]
+                    i, j = np.nonzero(near >= AGREE)
+                    i += at
+                    keep = (h[i] < h[j]) & (c[i] != c[j])
+                    found.append((h[i[keep]], h[j[keep]]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
             rest = [x[starts[-1] :] for x in t]
@@ -286,14 +292,16 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _parts(mixed: DataFrame, signed: DataFrame, depth: int) -> DataFrame:
-    """(key, h): each line of a group once for each of SPLIT minima, keyed by group and minimum."""
+    """(key, h): each line of a group SPLIT times, keyed by the group and TOGETHER further minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 key, h = batch.column("key").to_numpy().view(np.uint64), batch.column("h").to_numpy()
                 j = ((key % np.uint64(BINS)).astype(np.int64)[:, None] + np.arange(SPLIT)[None, :] * 6 + depth) % BINS
-                part = mix(mix(key[:, None] * PRIME + j.astype(np.uint64)) * PRIME + np.take_along_axis(_minima(batch.column("sig")), j, 1).astype(np.uint64))
+                part, sig = mix(key[:, None] * PRIME + j.astype(np.uint64)), _minima(batch.column("sig"))
+                for more in range(TOGETHER):
+                    part = mix(part * PRIME + np.take_along_axis(sig, (j + 17 * more) % BINS, 1).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(part.ravel().view(np.int64)), pa.array(np.repeat(h, SPLIT))], ["key", "h"])
 
     return mixed.join(signed.select("h", "sig"), "h").select("key", "h", "sig").mapInArrow(run, "key long, h long")
