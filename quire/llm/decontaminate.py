@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .words import ALNUM, grams, slices, words
+from .words import ALNUM, grams, release, slices, words
 
 WINDOW = 10
 GRAM = 5
@@ -147,7 +147,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def _marker(shared, text: str, names: list[str], has_state: bool, last: bool):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index(shared.value)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 1 << 20):
             h, rows = words(batch.column(text), ALNUM)
             m = batch.num_rows
             stretches: list[list[int]] = batch.column("_spans").to_pylist() if has_state else [[] for _ in range(m)]
@@ -178,6 +178,7 @@ def _marker(shared, text: str, names: list[str], has_state: bool, last: bool):
                 ],
                 [*names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
             )
+        release()
 
     return mark
 

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source is a queue of its shuffled documents, served again from the start after the last.
-A served document gets a virtual time, the source's cumulative tokens divided by its weight;
+A served document gets its virtual finish time, the source's cumulative tokens divided by its weight;
 the mix is the global order by virtual time, truncated at the total budget. Sources run out
 after ``repeats`` rounds, so the rest of the budget falls to the others by weight, which is
 what the targets state in closed form.
@@ -13,20 +13,20 @@ inside their range only. A source with a third of all rows spreads over as many
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
 #: Whatever stands between white space; the pattern's text is the contract's.
 TOKEN = r"[^\x20\x09-\x0D]+"
-#: Ranges of a source's shuffle key, and at least as many of virtual time.
-RANGES = 4096
+#: Sources are broadcast up to this many, else joined by a shuffle.
+SOURCES = 100_000
 
 
-def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``size``, the number of tokens; null is 0."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text), F.lit(TOKEN)), F.lit(0)).cast("long"))
+def size_of(text: Column) -> Column:
+    """The number of tokens; null is 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: list[float], share: float, repeats: int) -> DataFrame:
@@ -53,42 +53,52 @@ def targets(sizes: DataFrame, weights: list[float], share: float, repeats: int)
         if level is not None and n == capped or not rest:
             break
         level, capped = (budget - (cap or 0)) / rest, n
+    discard(per, parts)
     target = F.col("cap").cast("double") if level is None else F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level))
     return ranked.select("source", "weight", "source_size", target.alias("target"))
 
 
-def mix(rows: DataFrame, weights: list[float], share: float = 1.5, repeats: int = 2, id_col: str = "doc_id") -> DataFrame:
-    """Adds source_size, target and ``copies`` (0 .. repeats, how often the mix takes the row) to rows with source and size.
+def _rows(docs: DataFrame, id_col: str, text: str, source: str) -> list:
+    """The place of a row in its source's shuffle, (m, h), and its source."""
+    h = F.xxhash64(F.col(text))
+    return [F.col(source).alias("source"), F.coalesce(F.md5(F.col(id_col).cast("string")), F.md5(h.cast("string"))).alias("m"), h.alias("h")]
 
-    The shuffle is by the md5 of the id as text, so reruns agree. Virtual time is read half way
-    through a document, so that a source misses its target by half a document at most. Null
-    sources are a source of their own, the last; null ids come last in their shuffle; rows of
-    size 0 cost nothing and are taken once; an empty table gives an empty mix.
+
+def plan(rows: DataFrame, weights: list[float], share: float = 1.5, repeats: int = 2) -> DataFrame:
+    """(source, source_size, target, last): what the mix takes of each source, from rows (source, m, h, size).
+
+    last has the last place (m, h) that is taken in each of ``repeats`` rounds, null for none.
     """
-    rows = rows.withColumn("_md5", F.md5(F.col(id_col).cast("string")))
-    rows = materialize(rows.withColumn("_k", F.coalesce(F.conv(F.substring("_md5", 1, 3), 16, 10).cast("int"), F.lit(RANGES))), "sizes")
+    cells = rows.withColumn("_k", F.conv(F.substring("m", 1, 3), 16, 10).cast("int"))
     per = targets(rows.select("source", "size"), weights, share, repeats)
-    same = rows["source"].eqNullSafe(per["source"])
-
     w = Window.partitionBy("source").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("source", "_k").agg(F.sum("size").alias("s")).select("source", "_k", F.coalesce(F.sum("s").over(w), F.lit(0)).alias("_start")).toDF("_s", "_j", "_start")
-    order = [F.col("_md5").asc_nulls_last(), "size"]
-    inner = Window.partitionBy("source", "_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    starts = cells.groupBy("source", "_k").agg(F.sum("size").alias("s")).select("source", "_k", F.coalesce(F.sum("s").over(w), F.lit(0)).alias("_start")).toDF("_s", "_j", "_start")
+    inner = Window.partitionBy("source", "_k").orderBy("m", "h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     queued = (
-        rows.withColumn("_sum", F.sum("size").over(inner))
+        cells.withColumn("_sum", F.sum("size").over(inner))
         .join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_j")))
-        .join(per.toDF("_s2", "weight", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s2")))
-        .withColumn("_end", F.col("_start") + F.col("_sum"))
-        .drop("_s", "_j", "_s2", "_sum", "_start", "_k")
+        .join(_small(per.select(F.col("source").alias("_s2"), "weight", "source_size")), F.col("source").eqNullSafe(F.col("_s2")))
+        .select("source", "m", "h", "size", "weight", "source_size", (F.col("_start") + F.col("_sum")).alias("_end"))
     )
     queued = materialize(queued, "queued")
-    served = queued.select(
-        "source", "_md5", "size", F.explode(F.array(*[F.struct(F.lit(r).alias("round"), ((F.col("_end") + F.col("source_size") * r - F.col("size") / 2.0) / F.col("weight")).alias("v")) for r in range(repeats)])).alias("x")
-    ).select("source", "_md5", "size", "x.round", "x.v")
+    finish = [(F.col("_end") + F.col("source_size") * r) / F.col("weight") for r in range(repeats)]
+    served = queued.where("size > 0").select("size", F.explode(F.array(*finish)).alias("v"))
     cut = _cut(served, share * (rows.agg(F.sum("size")).first()[0] or 0))
-    copies = sum(F.when((F.col("_end") + F.col("source_size") * r - F.col("size") / 2.0) / F.col("weight") <= cut, 1).otherwise(0) for r in range(repeats))
-    copies = F.when(F.col("size") == 0, 1).otherwise(copies)
-    return queued.withColumn("copies", copies.cast("int")).drop("_md5", "_end")
+    last = queued.groupBy("source").agg(F.array(*[F.max(F.when(v <= cut, F.struct("m", "h"))) for v in finish]).alias("last"))
+    out = materialize(per.join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select("source", "source_size", "target", "last"), "plan")
+    discard(queued, per)
+    return out
+
+
+def _small(per: DataFrame) -> DataFrame:
+    """A table of sources, to be broadcast if it is small."""
+    return F.broadcast(per) if per.count() <= SOURCES else per
+
+
+def _copies(repeats: int = 2):
+    """How often the mix takes a row."""
+    here = F.struct("m", "h")
+    return sum(F.when(here <= F.get("last", F.lit(r)), 1).otherwise(0) for r in range(repeats))
 
 
 def _cut(served: DataFrame, budget: float) -> float:
@@ -113,19 +123,30 @@ def _cut(served: DataFrame, budget: float) -> float:
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(id_col, size, source_size, target, taken) of every row, for weights 3, 1, 2 and 150 % of all tokens."""
-    sized = with_sizes(docs.select(F.col(id_col).alias(id_col), F.col(source).alias("source"), F.col(text).alias("_t")), "_t").drop("_t")
-    mixed = mix(sized, [3, 1, 2], 1.5, 2, id_col)
-    return mixed.select(id_col, "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    """(id_col, size, source_size, target, taken) of every row, for weights 3, 1, 2 and 150 % of all tokens.
+
+    The shuffle of a source is by the md5 of the id as text (of the text's hash for a null id), then
+    by the text's hash, so reruns agree; rows that are equal in both go together. Null sources are
+    a source of their own, the last; an empty table gives an empty mix. Other columns are ignored.
+    """
+    rows = materialize(docs.select(F.col(id_col).alias("id"), *_rows(docs, id_col, text, source), size_of(F.col(text)).alias("size")), "sizes")
+    mixed = rows.withColumnRenamed("source", "_s").join(_small(plan(rows, [3, 1, 2])), F.col("_s").eqNullSafe(F.col("source")))
+    return mixed.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * _copies()).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows that the mix takes, with the columns of ``docs``; a row taken twice comes twice."""
-    clash = [c for c in docs.columns if c.lower() in {"size", "source_size", "weight", "target", "copies"}]
-    packed = docs.select(F.col(id_col).alias(id_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source).alias("source"), F.col(text).alias("_t")) if clash or source != "source" else docs.withColumn("_t", F.col(text))
-    sized = with_sizes(packed, "_t").drop("_t")
-    mixed = mix(sized, [3, 1, 2], 1.5, 2, id_col).withColumn("_copy", F.explode(F.expr("if(copies > 0, sequence(1, copies), array())")))
-    return mixed.select("_row.*") if clash or source != "source" else mixed.select(*docs.columns)
+    """The rows that the mix takes, with the columns of ``docs``; a row taken twice comes twice.
+
+    Rows without words are taken once. Texts aren't shuffled: a row knows from its place in its
+    source's shuffle whether it is taken.
+    """
+    place = _rows(docs, id_col, text, source)
+    rows = materialize(docs.select(*place, size_of(F.col(text)).alias("size")), "sizes")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *place, F.coalesce(F.col(text).rlike(TOKEN), F.lit(False)).alias("_some"))
+    mixed = packed.withColumnRenamed("source", "_s").join(_small(plan(rows, [3, 1, 2])), F.col("_s").eqNullSafe(F.col("source")))
+    discard(rows)
+    copies = F.when(F.col("_some"), _copies()).otherwise(1)
+    return mixed.select("_row", copies.alias("_n")).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
 
 
 #: The rows of mix_report in DuckDB.
@@ -145,10 +166,10 @@ t AS (SELECT w.*, least(cap, wt * (SELECT v FROM lvl)) AS target FROM w),
 q AS (
   SELECT d.*, t.ss, t.wt, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY k NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS c
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT size, (c + ss * r - size / 2.0::DOUBLE) / wt AS v FROM q, (VALUES (0), (1)) AS x(r) WHERE size > 0),
+e AS (SELECT size, (c + ss * r) / wt AS v FROM q, (VALUES (0), (1)) AS x(r) WHERE size > 0),
 cut AS (SELECT max(v) AS v FROM (SELECT v, sum(size) OVER (ORDER BY v RANGE UNBOUNDED PRECEDING) AS c FROM e) WHERE c <= (SELECT budget FROM b))
 SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, target,
-       CAST(size * (CASE WHEN (c - size / 2.0::DOUBLE) / wt <= (SELECT v FROM cut) THEN 1 ELSE 0 END
-                    + CASE WHEN (c + ss - size / 2.0::DOUBLE) / wt <= (SELECT v FROM cut) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (CASE WHEN c / wt <= (SELECT v FROM cut) THEN 1 ELSE 0 END
+                    + CASE WHEN (c + ss) / wt <= (SELECT v FROM cut) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM q
 """

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, materialize, sweep
-from .words import SPACED, mix, shingle_sets, slices, words
+from .words import SPACED, mix, release, shingle_sets, slices, words
 
 SKETCH_BITS = 20
 SLICES = 256
@@ -36,6 +36,8 @@ SLICES = 256
 HEAVY = 10_000
 #: Bits of a class's parity sketch.
 PARITY = 1024
+#: Classes that a task remembers, to spare it repeats.
+SEEN = 1 << 17
 #: Elements of the sets that share a trie; more are split over several tries.
 TRIE = 200_000
 
@@ -133,13 +135,14 @@ def _digests(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
             new = [s for s, c in zip(sets, cls, strict=True) if c not in seen and not seen.add(c)]
             if new:
                 sketch += np.bincount((np.concatenate(new) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-            if len(seen) > 1 << 20:
+            if len(seen) > SEEN:
                 seen.clear()
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array([_parity(s) for s in sets], pa.list_(pa.int64())), pa.array(np.full(m, -1), pa.int32()), pa.nulls(m, pa.binary())], names)
         if sketch.any():
             parts = np.minimum(sketch, 65535).astype("<u2").reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names)
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, cls long, parity array<long>, part int, counts binary")
 
@@ -192,10 +195,11 @@ def _prefixes(docs: DataFrame, id_col: str, text: str, k: int, frequency, heavy)
                 out[1].append(np.full(p, c))
                 out[2].append(np.full(p, n, np.int32))
                 out[3].append(np.arange(p, dtype=np.int32))
-            if len(seen) > 1 << 20:
+            if len(seen) > SEEN:
                 seen.clear()
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "cls", "n", "pos"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "h long, cls long, n int, pos int")
 

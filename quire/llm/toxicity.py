@@ -7,7 +7,7 @@ most n-grams with the spelling that was. Texts may be long and only a few words
 text's logit is the softmax-weighted mean of its passages' logits, in training and in scoring.
 
 The model is linear in the average, so a word's part of the logit is one number. Scoring is
-one map over whole texts with those numbers in a per-worker cache; nothing is shuffled.
+one map over whole texts with those numbers in a task's cache; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import is_held_out, sample_ids, sample_rows
-from .words import mix, slices
+from .words import mix, release, slices
 
 WORD = re.compile(r"[^\W_]+")
 BITS = 18
@@ -32,7 +32,7 @@ POWERS = np.multiply.accumulate(np.full(1 << 16, PRIME, dtype=np.uint64))
 DIM = 8
 PASSAGE = 6
 SHARPNESS = 2.0
-CACHE = 1 << 19
+CACHE = 1 << 17
 
 
 def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,9 +157,6 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"parts": [parts.tobytes()], "bias": [bias]})
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", most: int = 2500, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, held_out, score, predicted[, keep]) of every row, from its whole text.
 
@@ -176,15 +173,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_
         model = found and (np.frombuffer(found.parts, np.float32), found.bias)
     model = model or train([], [])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = hash((model[0].tobytes(), model[1]))
     names = list(dict.fromkeys((id_col, *keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(*shared.value)
+        scorer = Scorer(*shared.value)
         for batch in slices(batches, text, 2 << 20):
-            got = _scorers[key].scores(batch.column(text).to_pylist())
+            got = scorer.scores(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in names],
@@ -194,6 +188,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_
                 ],
                 [*names, "held_out", "score", "predicted"],
             )
+        del scorer
+        release()
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return docs.select(*dict.fromkeys((*names, text))).mapInArrow(run, f"{kept}, held_out boolean, score double, predicted int")
