@@ -128,7 +128,7 @@ def _digests(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
-        names = ["id", "n", "cls", "parity", "part", "counts"]
+        names = ["id", "h", "n", "cls", "parity", "part", "counts"]
         for batch in slices(batches, text, 1 << 20):
             sets = shingle_sets(*words(batch.column(text), SPACED), k)
             cls = [_class(s) if len(s) else 0 for s in sets]
@@ -138,13 +138,13 @@ def _digests(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
             if len(seen) > SEEN:
                 seen.clear()
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array([_parity(s) for s in sets], pa.list_(pa.int64())), pa.array(np.full(m, -1), pa.int32()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array([_parity(s) for s in sets], pa.list_(pa.int64())), pa.array(np.full(m, -1), pa.int32()), pa.nulls(m, pa.binary())], names)
         if sketch.any():
             parts = np.minimum(sketch, 65535).astype("<u2").reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names)
         release()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, cls long, parity array<long>, part int, counts binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text).mapInArrow(run, "id long, h long, n long, cls long, parity array<long>, part int, counts binary")
 
 
 def _frequencies(digests: DataFrame) -> np.ndarray:
@@ -361,17 +361,18 @@ def _classes_of(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return classes.select("cls", "id").join(ends, "cls", "left_semi")
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, with_class: bool = False) -> DataFrame:
     """(id_col, n_shingles, component_id), one row per input row: the classes of the Jaccard >= 0.8 graph.
 
     Words are what stands between white space in the lower-cased (A-Z) text; a row's set are its
     distinct k-word shingles, or its whole sequence if it has fewer than k words. Null texts and
     texts without words have n_shingles 0, link with nothing and are their own component. Rows
     with a null id link with nothing and get a null component. Rows that repeat an id count by
-    each of their texts. component_id is the smallest id reachable. Other columns are ignored.
+    each of their texts. component_id is the smallest id reachable. Other columns are ignored. ``with_class`` adds
+    text_hash (xxhash64 of the text) and class, the same for rows that are connected (else null).
     """
     digests = materialize(_digests(docs, id_col, text, k), "digests")
-    rows = digests.where("part < 0").select("id", "n", "cls", "parity")
+    rows = digests.where("part < 0").select("id", "h", "n", "cls", "parity")
     frequency = docs.sparkSession.sparkContext.broadcast(_frequencies(digests))
     classes = materialize(rows.where("id is not null and n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("parity").alias("parity")), "classes")
     total = rows.count()
@@ -414,15 +415,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     comp = components(links)
     least = comp.join(classes.select(F.col("cls").alias("node"), "id"), "node")
     root = least.groupBy("comp").agg(F.min("id").alias("root"))
-    named = materialize(
-        classes.join(comp.join(root, "comp").select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", F.coalesce("root", "id").alias("root")), "named"
-    )
-    # Classes of many rows are joined from a broadcast of at most HEAVY rows, the others by a shuffle.
-    return (
-        rows.withColumn("key", F.expr("if(id is null or n = 0, null, cls)"))
-        .join(named.withColumnsRenamed({"cls": "key"}), "key", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.expr("if(n = 0, id, root)").alias("component_id"))
-    )
+    joined = comp.join(root, "comp").select(F.col("node").alias("cls"), "root", F.col("comp").alias("class"))
+    named = materialize(classes.join(joined, "cls", "left").select("cls", "copies", F.coalesce("root", "id").alias("root"), F.coalesce("class", "cls").alias("class")), "named")
+    # Classes of many rows are at most HEAVY and joined by a broadcast, others by a shuffle; rows that link with nothing aren't joined.
+    heavy_rows = F.col("copies") * HEAVY > total + HEAVY
+    hot = F.broadcast(named.where(heavy_rows))
+    alone = F.expr("id is null or n = 0")
+    linked = rows.where(~alone).join(hot, "cls", "left")
+    found = linked.where("root is not null").unionByName(linked.where("root is null").drop("copies", "root", "class").join(named.where(~heavy_rows), "cls"))
+    out = found.select("id", "h", "n", "root", "class").unionByName(rows.where(alone).select("id", "h", "n", F.col("id").alias("root"), F.lit(None).cast("long").alias("class")))
+    more = [F.col("h").alias("text_hash"), F.col("class")] if with_class else []
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.expr("if(id is null, null, root)").alias("component_id"), *more)
 
 
 #: The rows of jaccard_classes in DuckDB, from every shared shingle.
