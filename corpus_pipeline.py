@@ -16,8 +16,8 @@ from quire.shipping import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: Ids to leave out are broadcast up to this many (16 MB), else joined by a shuffle.
-ODD_IDS = 1_000_000
+#: Rows to leave out are broadcast up to this many (a few MB), else joined by a shuffle.
+ODD_ROWS = 250_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,17 +28,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the row of the smallest id; rows without id or words stay."""
+    """Of each class of near duplicates one row, of the smallest id; rows without id or words stay."""
     ship(spark)
-    classes = ngram_join.jaccard_classes(docs)
-    # A class keeps the row whose id is the class's; rows that repeat an id keep one.
-    ids = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("head"))
-    odd = materialize(ids.where("n > 1 or not head"), "odd")
-    small = odd.count() <= ODD_IDS
-    single = docs.join(F.broadcast(odd) if small else odd, "doc_id", "left_anti")
-    repeated = docs.join(odd.where("head").select("doc_id"), "doc_id", "left_semi")
-    one = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS), F.struct(F.col("text").isNull(), F.xxhash64("text"))).alias("d")).select("d.*")
-    return single.select(*COLUMNS).unionByName(one)
+    rows = materialize(ngram_join.jaccard_classes(docs, with_class=True).where("class is not null"), "classes")
+    # A class keeps a row of its smallest id, that of the smallest hash where the id has several texts.
+    at = ["doc_id", "text_hash"]
+    heads = rows.where("doc_id = component_id").groupBy("class", "doc_id").agg(F.count("*").alias("n"), F.min("text_hash").alias("head")).where("n > 1")
+    heads = materialize(heads, "heads")
+    several = rows.where("doc_id = component_id").join(heads.select("class", "doc_id"), ["class", "doc_id"], "left_semi")
+    odd = materialize(rows.where("doc_id <> component_id").select(*at).unionByName(several.select(*at)).distinct(), "odd")
+    named = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    single = named.join(F.broadcast(odd) if odd.count() <= ODD_ROWS else odd, at, "left_anti")
+    again = named.join(heads.select("doc_id", F.col("head").alias("text_hash")).distinct(), at, "left_semi").dropDuplicates(at)
+    discard(rows)
+    return single.select(*COLUMNS).unionByName(again.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
