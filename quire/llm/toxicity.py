@@ -30,7 +30,7 @@ BUCKETS = 1 << BITS
 PRIME = np.uint64(0x100000001B3)
 POWERS = np.multiply.accumulate(np.full(1 << 16, PRIME, dtype=np.uint64))
 DIM = 8
-PASSAGE = 6
+PASSAGE = 2
 SHARPNESS = 2.0
 CACHE = 1 << 17
 
@@ -71,7 +71,7 @@ def pooled(logits: np.ndarray) -> float:
     return float((a * logits).sum() / a.sum())
 
 
-def train(texts: list[str], y: list[int], epochs: int = 60, rate: float = 0.05, decay: float = 1e-2, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(texts: list[str], y: list[int], epochs: int = 60, rate: float = 0.05, decay: float = 6e-2, seed: int = 7, balance: float = 0.5) -> tuple[np.ndarray, float]:
     """(each bucket's part of the logit, bias). Embeddings and softmax are learnt together by Adam on all texts.
 
     Without texts of both labels every text gets the share of label 1 (0.5 without any).
@@ -88,38 +88,41 @@ def train(texts: list[str], y: list[int], epochs: int = 60, rate: float = 0.05,
     feat, size = np.concatenate([f.astype(np.int32) for f, _ in parts]), np.concatenate([n for _, n in parts])
     del parts, vocabulary
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    flat, lens = np.concatenate(docs), np.array([len(d) for d in docs])
-    n = np.minimum(lens, PASSAGE)
-    count = lens - n + 1
-    doc_of = np.repeat(np.arange(len(docs)), count)
-    begin = np.concatenate([np.arange(c) for c in count]) + np.repeat(np.concatenate([[0], np.cumsum(lens)[:-1]]), count)
-    width = n[doc_of]
-    at = np.concatenate([[0], np.cumsum(count)[:-1]])
+    blocks = list(_blocks(docs))  # memory grows with the sample's words only by four bytes each
 
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w = rng.normal(0, 1.0, (DIM, 2)).astype(np.float32)
     b = np.zeros(2)
-    weight = np.where(y == 1, np.sqrt((y == 0).sum() / (y == 1).sum()), 1.0)
+    weight = np.where(y == 1, ((y == 0).sum() / (y == 1).sum()) ** balance, 1.0)
     weight /= weight.sum()
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, w, b)]
     for step in range(1, epochs + 1):
         u = w[:, 1] - w[:, 0]
         s = e @ u
         z = np.add.reduceat(s[feat], first) / size
-        c = np.concatenate([[0.0], np.cumsum(z[flat], dtype=np.float64)])
-        p = (c[begin + width] - c[begin]) / width + (b[1] - b[0])
-        top = np.maximum.reduceat(p, at)
-        a = np.exp(SHARPNESS * (p - top[doc_of]))
-        a /= np.add.reduceat(a, at)[doc_of]
-        logit = np.add.reduceat(a * p, at)
-        g = weight * (1 / (1 + np.exp(-logit)) - y)
-        gp = a * g[doc_of]
-        edge = np.bincount(begin, gp / width, len(flat) + 1) - np.bincount(begin + width, gp / width, len(flat) + 1)
-        gz = np.bincount(flat, np.cumsum(edge)[:-1], len(number))
+        gz, gb = np.zeros(len(number)), 0.0
+        for at, words, lens in blocks:
+            n = np.minimum(lens, PASSAGE)
+            count = lens - n + 1
+            doc_of = np.repeat(np.arange(len(lens)), count)
+            begin = np.arange(len(doc_of)) + np.repeat(np.cumsum(lens) - lens - np.cumsum(count) + count, count)
+            width = n[doc_of]
+            c = np.concatenate([[0.0], np.cumsum(z[words], dtype=np.float64)])
+            p = (c[begin + width] - c[begin]) / width + (b[1] - b[0])
+            starts = np.cumsum(count) - count
+            a = np.exp(SHARPNESS * (p - np.maximum.reduceat(p, starts)[doc_of]))
+            a /= np.add.reduceat(a, starts)[doc_of]
+            logit = np.add.reduceat(a * p, starts)
+            part = slice(at, at + len(lens))
+            g = weight[part] * (1 / (1 + np.exp(-logit)) - y[part])
+            gp = a * g[doc_of] / width
+            edge = np.bincount(begin, gp, len(words) + 1) - np.bincount(begin + width, gp, len(words) + 1)
+            gz += np.bincount(words, np.cumsum(edge)[:-1], len(number))
+            gb += g.sum()
         gs = np.bincount(feat, np.repeat((gz / size).astype(np.float32), size), BUCKETS).astype(np.float32)
         gu = e.T @ gs
-        grads = [gs[:, None] * u[None, :] + decay / len(y) * e, np.stack([-gu, gu], 1) + decay * w, np.array([-g.sum(), g.sum()])]
+        grads = [gs[:, None] * u[None, :] + np.float32(decay / len(y)) * e, np.stack([-gu, gu], 1) + decay * w, np.array([-gb, gb])]
         for x, d, (m, v) in zip((e, w, b), grads, state, strict=True):
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
@@ -127,6 +130,16 @@ def train(texts: list[str], y: list[int], epochs: int = 60, rate: float = 0.05,
     return (e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0])
 
 
+def _blocks(docs: list[np.ndarray], most: int = 1 << 17):
+    """(first document, words, words a document) of stretches of about ``most`` words."""
+    at = 0
+    size = np.cumsum([len(d) for d in docs])
+    while at < len(docs):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield at, np.concatenate(docs[at:to]), np.array([len(d) for d in docs[at:to]])
+        at = to
+
+
 class Scorer(dict):
     """Word -> its part of the logit, kept while there is room."""
 
@@ -154,6 +167,7 @@ class Scorer(dict):
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["i", "t"])
     parts, bias = train(rows["t"].tolist(), rows["y"].tolist())
+    release()
     return pd.DataFrame({"parts": [parts.tobytes()], "bias": [bias]})
 
 
