@@ -11,46 +11,75 @@ from pyspark.sql import functions as F
 from quire.functions import text
 
 
-def compare_blocks(actual: DataFrame, expected: DataFrame, key: str, tolerance: int = 15, details: int = 20) -> DataFrame:
-    """One row per document of (key, page, pos, index, label, content, bbox array) on both sides.
-
-    Blocks are matched by position within a page. status is match, diff or missing; counts that
-    differ are a structural difference; image blocks must be empty, others not.
+def compare_blocks(actual: DataFrame, expected: DataFrame, key: str, tolerance: int = 15, details: int = 20, errors: DataFrame | None = None) -> DataFrame:
+    """One row per document of (key, page, pos, index, label, content, bbox array) on both sides; pages count from 0.
+
+    Blocks are matched by position within a page, on the pages that both sides have. Structure:
+    page counts, each page's block count, indices, labels, and coordinates (whole, at most
+    ``tolerance`` apart). Content: normalised texts are equal and not empty, those of images empty.
+    Comparing ends when ``details`` problems are found, as do the block totals, which are null where
+    page counts differ. status is match, diff, missing (one side has no rows; the rest is null)
+    or, for the keys in ``errors``, error.
     """
     at = [key, "page", "pos"]
     a = actual.select(*at, F.struct("index", "label", "content", "bbox").alias("a"))
     e = expected.select(*at, F.struct("index", "label", "content", "bbox").alias("e"))
-    both = a.join(e, at, "full")
-    matched = F.col("a").isNotNull() & F.col("e").isNotNull()
-    delta = F.array_max(F.zip_with("a.bbox", "e.bbox", lambda x, y: F.abs(x - y)))
-    blank = text.trim(F.coalesce("a.content", F.lit(""))) == ""
-    problems = F.when(
-        matched,
-        F.array_compact(
-            F.array(
-                F.when(F.col("a.index") != F.col("e.index"), "index"),
-                F.when(F.col("a.label") != F.col("e.label"), "label"),
-                F.when(delta > tolerance, "bbox"),
-                F.when((F.col("e.label") == "image") & ~blank, "image not empty"),
-                F.when((F.col("e.label") != "image") & blank, "empty"),
-            )
-        ),
+    doc, page = Window.partitionBy(key), Window.partitionBy(key, "page")
+    last = lambda side: F.max(F.when(F.col(side).isNotNull(), F.col("page") + 1)).over(doc)
+    rows = a.join(e, at, "full").withColumns({"pages_actual": last("a"), "pages_expected": last("e")})
+    whole = lambda v: (v.isNotNull() & (v == F.floor(v)))
+    valid = F.coalesce((F.size("a.bbox") == 4) & (F.size("e.bbox") == 4), F.lit(False))
+    deltas = F.zip_with("a.bbox", "e.bbox", lambda x, y: F.when(whole(x) & whole(y), F.abs(x - y)))
+    x, y = (text.normalise(F.coalesce(F.col(f"{side}.content"), F.lit(""))) for side in "ae")
+    bad = lambda test, name: F.when(test, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    coordinates = F.transform(F.filter(deltas, lambda d: d.isNull() | (d > tolerance)), lambda d: F.when(d.isNull(), "coordinate").otherwise("bbox"))
+    structure = F.concat(
+        bad(~F.coalesce((F.col("a.index") == F.col("e.index")) & whole(F.col("a.index")), F.lit(False)), "index"),
+        bad(~F.col("a.label").eqNullSafe(F.col("e.label")), "label"),
+        F.when(valid, coordinates).otherwise(F.array(F.lit("no bbox"))),
     )
-    rows = both.withColumns({"delta": F.when(matched, delta), "problems": problems, "same_text": F.when(matched, F.coalesce("a.content", F.lit("")) == F.coalesce("e.content", F.lit("")))})
+    image = F.col("e.label").eqNullSafe("image")
+    content = F.when(image, bad((text.trim(x) != "") | (text.trim(y) != ""), "image not empty")).otherwise(F.when((x == "") | (y == ""), F.array(F.lit("empty"))).otherwise(bad(x != y, "content")))
+    matched = F.col("a").isNotNull() & F.col("e").isNotNull()
+    none = F.array().cast("array<string>")
+    shared = F.col("page") < F.least("pages_actual", "pages_expected")
+    rows = rows.withColumns({"structure": F.when(matched, structure).otherwise(none), "content": F.when(matched, content).otherwise(none), "delta": F.when(matched & valid, F.array_max(deltas)), "n_a": F.count("a").over(page), "n_e": F.count("e").over(page), "first": F.col("pos") == F.min("pos").over(page)})
+    rows = rows.withColumn("uneven", (shared & F.col("first") & (F.col("n_a") != F.col("n_e"))).cast("int"))
+    paged = (F.col("pages_actual") != F.col("pages_expected")).cast("int")
+    earlier = F.sum(F.when(shared, F.col("uneven") + F.size("structure") + F.size("content"))).over(doc.orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", paged + F.coalesce(earlier, F.lit(0)))
+    rows = rows.withColumn("paged", shared & (F.first("before").over(page.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) < details))
+    begun = F.sum("uneven").over(page)
+    compared = F.col("paged") & (F.col("before") + F.when(F.col("first"), F.col("uneven")).otherwise(0) < details)
+    rows = rows.withColumns({"begun": begun, "compared": compared})
+    count = lambda c: F.sum(F.when(F.col("compared"), F.size(c)).otherwise(0))
     out = rows.groupBy(key).agg(
-        F.count("a").alias("blocks_actual"),
-        F.count("e").alias("blocks_expected"),
-        F.count_distinct(F.when(F.col("a").isNotNull(), F.col("page"))).alias("pages_actual"),
-        F.count_distinct(F.when(F.col("e").isNotNull(), F.col("page"))).alias("pages_expected"),
-        F.max("delta").alias("max_bbox_delta"),
-        F.sum(F.size("problems")).alias("n_problems"),
-        F.bool_and("same_text").alias("content_ok"),
-        F.slice(F.array_sort(F.collect_list(F.when(F.size("problems") > 0, F.struct("page", "pos", "problems")))), 1, details).alias("details"),
+        F.first("pages_actual").alias("pages_actual"),
+        F.first("pages_expected").alias("pages_expected"),
+        F.count(F.when(F.col("paged"), F.col("a"))).alias("blocks_actual"),
+        F.count(F.when(F.col("paged"), F.col("e"))).alias("blocks_expected"),
+        F.coalesce(F.max(F.when(F.col("compared"), F.col("delta"))), F.lit(0)).alias("max_bbox_delta"),
+        (F.sum(F.when(F.col("paged"), F.col("uneven")).otherwise(0)) + F.max(paged)).alias("_pages"),
+        count("structure").alias("_structure"),
+        count("content").alias("_content"),
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("compared") & (F.size("structure") + F.size("content") > 0), F.struct("page", "pos", F.concat("structure", "content").alias("problems"))))), 1, details).alias("details"),
+    )
+    wrong = errors.select(key, F.lit(True).alias("_error")) if errors is not None else None
+    out = out.join(wrong, key, "full") if wrong is not None else out.withColumn("_error", F.lit(None).cast("boolean"))
+    both = F.col("pages_actual").isNotNull() & F.col("pages_expected").isNotNull() & F.col("_error").isNull()
+    total = both & (F.col("pages_actual") == F.col("pages_expected"))
+    fine, same = F.col("_pages") + F.col("_structure") == 0, F.col("_content") == 0
+    status = F.when(F.col("_error"), "error").when(~both, "missing").when(fine & same, "match").otherwise("diff")
+    return out.select(
+        key,
+        status.alias("status"),
+        F.when(both, fine).alias("structural_ok"),
+        F.when(both, same).alias("content_ok"),
+        *[F.when(both, F.col(c)).alias(c) for c in ("max_bbox_delta", "pages_expected", "pages_actual")],
+        *[F.when(total, F.col(c)).alias(c) for c in ("blocks_expected", "blocks_actual")],
+        F.when(both, F.col("_pages") + F.col("_structure") + F.col("_content")).alias("n_problems"),
+        F.when(both, F.col("details")).alias("details"),
     )
-    equal = (F.col("blocks_actual") == F.col("blocks_expected")) & (F.col("pages_actual") == F.col("pages_expected"))
-    ok = equal & (F.coalesce("n_problems", F.lit(0)) == 0)
-    status = F.when(F.col("blocks_actual") == 0, "missing").when(ok & F.coalesce("content_ok", F.lit(True)), "match").otherwise("diff")
-    return out.withColumns({"structural_ok": ok, "status": status})
 
 
 def compare_markdown(actual: DataFrame, expected: DataFrame, key: str) -> DataFrame:
@@ -131,9 +160,5 @@ def as_bool(v: Column) -> Column:
 
 
 def safe_name(v: Column) -> Column:
-    return F.regexp_replace(v, F.lit("[^A-Za-z0-9._-]+"), F.lit("_"))
-
-
-def rank_low(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(value)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    """Each character but letters, marks, digits, '-' and '_' becomes one '_'."""
+    return F.regexp_replace(v, F.lit(r"[^\p{L}\p{M}\p{N}_-]"), F.lit("_"))

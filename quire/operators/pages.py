@@ -21,14 +21,14 @@ def parse_pages(spec: str | None) -> list[tuple[int, int]] | None:
     if spec is None or not spec.strip():
         return None
     parts = [x.strip() for x in spec.split(",")]
-    if any(p.lower() == "all" for p in parts):
-        if len(parts) > 1:
-            raise PagesError("all can't be mixed", spec)
+    if all(p.lower() == "all" for p in parts):
         return None
     found = []
     for p in parts:
         if not p:
             raise PagesError("empty part", spec)
+        if p.lower() == "all":
+            continue
         body = p
         if p.startswith("[") != p.endswith("]"):
             raise PagesError("unbalanced brackets", p)
@@ -43,6 +43,8 @@ def parse_pages(spec: str | None) -> list[tuple[int, int]] | None:
         if lo > hi:
             raise PagesError("start after end", p)
         found.append((lo, hi))
+    if any(p.lower() == "all" for p in parts):
+        raise PagesError("all can't be mixed", spec)
     out: list[list[int]] = []
     for lo, hi in sorted(found):
         if out and lo <= out[-1][1] + 1:
