@@ -153,13 +153,12 @@ def layout_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIR = "CAST((i * 31 + j * 17 + label) % 64 AS DOUBLE) / 64.0{0}"
 
 
-@query("WITH e AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings QUALIFY i < 40), p AS (SELECT a.label, a.i, b.i AS j, " + "CAST((a.i * 31 + b.i * 17 + a.label) % 64 AS DOUBLE) / 64.0::DOUBLE AS p FROM e a JOIN e b ON a.label = b.label AND a.i < b.i), v AS (SELECT label, item, sum(v) AS vote FROM (SELECT label, j AS item, p AS v FROM p UNION ALL SELECT label, i, 1 - p FROM p) GROUP BY 1, 2) SELECT label, item, vote, CAST(row_number() OVER (PARTITION BY label ORDER BY vote, item) AS INT) AS rank FROM v")
+@query("WITH e AS (SELECT label, vec_id // 300 AS page, vec_id % 300 AS i FROM embeddings), p AS (SELECT a.label, a.page, a.i, b.i AS j, " + "CAST((a.i * 31 + b.i * 17 + a.label) % 64 AS DOUBLE) / 64.0::DOUBLE AS p FROM e a JOIN e b ON a.label = b.label AND a.page = b.page AND a.i < b.i), v AS (SELECT label, page, item, sum(v) AS vote FROM (SELECT label, page, j AS item, p AS v FROM p UNION ALL SELECT label, page, i, 1 - p FROM p) GROUP BY 1, 2, 3) SELECT label, page, item, vote, CAST(row_number() OVER (PARTITION BY label, page ORDER BY vote, item) AS INT) AS rank FROM v")
 def order_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    e = S.table(spark, sf_dir, "embeddings").select("label", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long").alias("i")).where("i < 40")  # queries of a page, whose number is fixed
-    p = e.join(e.withColumnRenamed("i", "j"), "label").where("i < j").withColumn("p", F.expr(_PAIR.format("D")))
-    return D.order_votes(p, "label")
+    """A page has 300 queries, as many as the model gives; a label's vectors are dealt to pages by their id."""
+    e = S.table(spark, sf_dir, "embeddings").select(F.struct("label", F.expr("vec_id div 300").alias("page")).alias("at"), (F.col("vec_id") % 300).alias("i"))
+    p = e.join(e.withColumnRenamed("i", "j"), "at").where("i < j").withColumn("p", F.expr(_PAIR.replace("label", "at.label").format("D")))
+    return D.order_votes(p, "at").select("at.label", "at.page", "item", "vote", "rank")
 
 
 _CROP = {"w": "1200 + page_id % 7 * 10", "h": "1600 + page_id % 5 * 10"}

@@ -72,19 +72,16 @@ def elementwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", each(T.sigmoid).alias("sigmoid"), each(lambda x: T.inverse_sigmoid(x)).alias("logit"), each(lambda x: (x * 0.5 - 0.5) / 0.25).alias("scaled"))
 
 
-_TOP = "r AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings QUALIFY k <= 12)"
+_TOP = "r AS (SELECT vec_id, label, embedding, vec_id // 300 AS page, vec_id AS k FROM embeddings)"
 
 
-@query(f"WITH {_TOP} SELECT a.label, a.vec_id AS i, b.vec_id AS j, round(CASE WHEN a.k >= b.k THEN -10000 ELSE list_sum(list_transform(range(1, 65), lambda n: CAST(a.embedding[n] AS DOUBLE) * CAST(b.embedding[n] AS DOUBLE))) / 8 END, 4) + 0.0::DOUBLE AS logit FROM r a JOIN r b ON a.label = b.label")
+@query(f"WITH {_TOP} SELECT a.label, a.vec_id AS i, b.vec_id AS j, round(CASE WHEN a.k >= b.k THEN -10000 ELSE list_sum(list_transform(range(1, 65), lambda n: CAST(a.embedding[n] AS DOUBLE) * CAST(b.embedding[n] AS DOUBLE))) / 8 END, 4) + 0.0::DOUBLE AS logit FROM r a JOIN r b ON a.label = b.label AND a.page = b.page")
 def pair_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order logits of the queries of a page (their number is fixed); the lower triangle is masked."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("label").orderBy("vec_id")
-    r = _vectors(spark, sf_dir).select("label", "vec_id", "v", F.row_number().over(w).alias("k")).where("k <= 12")
-    a, b = r.toDF("label", "i", "va", "ka"), r.toDF("label", "j", "vb", "kb")
+    """Order logits of the 300 queries of a page (a label's vectors are dealt to pages by id); the lower triangle is masked."""
+    r = _vectors(spark, sf_dir).select("label", F.expr("vec_id div 300").alias("page"), "vec_id", "v", F.col("vec_id").alias("k"))
+    a, b = r.toDF("label", "page", "i", "va", "ka"), r.toDF("label", "page", "j", "vb", "kb")
     logit = F.when(F.col("ka") >= F.col("kb"), F.lit(-10000.0)).otherwise(T.dot(F.col("va"), F.col("vb")) / 8)
-    return a.join(b, "label").select("label", "i", "j", (F.round(logit, 4) + 0.0).alias("logit"))
+    return a.join(b, ["label", "page"]).select("label", "i", "j", (F.round(logit, 4) + 0.0).alias("logit"))
 
 
 @query("SELECT p_partkey, string_agg(CAST(CAST(round(v * 100000) AS BIGINT) AS VARCHAR), ',' ORDER BY o) AS encoding FROM (SELECT p_partkey, o, CASE (o // 2) % 2 WHEN 0 THEN sin(t * f) ELSE cos(t * f) END AS v FROM (SELECT p_partkey, o, CASE WHEN o < 4 THEN p_size ELSE p_partkey % 50 END AS t, CASE WHEN o % 2 = 0 THEN 1.0::DOUBLE ELSE 0.01::DOUBLE END AS f FROM (SELECT *, unnest(range(0, 8)) AS o FROM part))) GROUP BY 1")

@@ -176,3 +176,17 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, 0, 0, "doc_title", (0, 0, 9, 9), "T"), (1, 0, 1, "text", (0, 9, 9, 18), "x")], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
     format_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first().markdown == "# T\n\nx"
+
+
+def test_mask_rules():
+    ring = M.from_top([(0, 0), (10, 0), (10, 10)])
+    assert ring == [(0, 0), (10, 10), (10, 0)]
+    moved = M.push_out(ring)
+    assert [round(v, 2) for v in moved[0]] == [11.15, 4.62]  # along the bisector, by the mean of the sides
+    assert M.push_out([(0, 0), (0, 10), (5, 10), (10, 10), (10, 0)]) == [(0, 0), (0, 10), (10, 10), (10, 0)]  # straight vertices go
+    # (12, 1) is near the line through (0, 0) and (10, 0), but far from the segment.
+    assert (12, 1) in M.simplify([(0, 0), (0, 30), (10, 0), (12, 1)], 1.5)
+    square = np.zeros((8, 8), bool)
+    square[2:6, 2:6] = True
+    assert M.mask_polygon(square, (0, 0, 1000, 1000), 8, 8) == [(250, 250), (250, 625), (625, 625), (625, 250)]
+    assert M.mask_polygon(square, (0, 0, 100, 100), 8, 8) is None  # no whole pixel
