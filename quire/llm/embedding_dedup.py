@@ -29,6 +29,10 @@ BLOCK = 192
 #: Saturated lists are enlarged up to this length; what they lack then is counted inside components.
 LONGEST = 32
 LINKS = "u long, v long, sim double"
+#: Nodes of a component that are counted in one task's group.
+COUNTED = 1024
+#: Partitions that are tried until the audit is content; then the operator fails.
+TRIES = 10
 
 
 def unit(rows: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -153,11 +157,11 @@ def _between(nodes: DataFrame, lists: DataFrame, comp: DataFrame, threshold: flo
     return out
 
 
-def _audit(nodes: DataFrame, comp: DataFrame, threshold: float, queries: int, block: int = 512) -> tuple[int, int]:
-    """(links of the query nodes that brute force finds, those of them inside a component)."""
+def _audit(nodes: DataFrame, comp: DataFrame, threshold: float, queries: int, few: int, block: int = 512) -> tuple[float, float]:
+    """The mean share of a query node's links, as brute force finds them, that are inside its component: of all nodes, and of those with up to ``few`` links."""
     spark = nodes.sparkSession
     chosen = nodes.orderBy(F.xxhash64("id"), "id").limit(queries).select("id", "label", "dim", "vec").toArrow()
-    true = found = 0
+    sums = [0.0, 0, 0.0, 0]
     for at in range(0, chosen.num_rows, block):
         shared = spark.sparkContext.broadcast(chosen.slice(at, block).to_pylist())
 
@@ -176,9 +180,11 @@ def _audit(nodes: DataFrame, comp: DataFrame, threshold: float, queries: int, bl
 
         exact = nodes.select("id", "label", "dim", "vec").mapInArrow(run, "u long, v long")
         both = exact.join(comp.toDF("u", "cu"), "u", "left").join(comp.toDF("v", "cv"), "v", "left")
-        seen = both.agg(F.count("*"), F.count_if(F.col("cu") == F.col("cv"))).first()
-        true, found = true + seen[0], found + seen[1]
-    return true, found
+        each = both.groupBy("u").agg(F.count("*").alias("n"), F.avg((F.coalesce(F.col("cu") == F.col("cv"), F.lit(False))).cast("int")).alias("share"))
+        small = F.when(F.col("n") <= few, F.col("share"))
+        seen = each.agg(F.coalesce(F.sum("share"), F.lit(0.0)), F.count("*"), F.coalesce(F.sum(small), F.lit(0.0)), F.count(small)).first()
+        sums = [a + b for a, b in zip(sums, seen, strict=True)]
+    return (sums[0] / sums[1] if sums[1] else 1.0), (sums[2] / sums[3] if sums[3] else 1.0)
 
 
 def _link_counts(nodes: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
@@ -188,7 +194,7 @@ def _link_counts(nodes: DataFrame, comp: DataFrame, threshold: float) -> DataFra
     counts, not links: a list that stays saturated needn't hold all its links.
     """
     members = nodes.join(comp.withColumnsRenamed({"node": "id"}), "id").select("comp", "id", "vec", "copies")
-    blocks = members.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    blocks = members.groupBy("comp").agg(F.ceil(F.count("*") / COUNTED).cast("int").alias("parts"))
     dealt = members.join(blocks, "comp").withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     pairs = dealt.select("comp", "id", "vec", "copies", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     pairs = pairs.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other")
@@ -210,15 +216,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     Vectors are compared when their labels are equal and not null and their lengths are equal,
     by cosine in double precision. Vectors that are null, empty, zero, or hold null or
     non-finite components link with nothing, as do rows with a null id; each is its own
-    component. Only pairs at or above ``threshold`` link; ``n_links`` counts the other rows
-    linked directly, equal vectors included. The audit's query set has at most ``audit`` nodes.
+    component. Rows may repeat an id; each counts by its own vector. Only pairs at or above ``threshold`` link; ``n_links`` counts the other rows
+    linked directly, equal vectors included. The audit's query set has at most ``audit`` nodes;
+    further partitions follow until the recall is reached, or an error after TRIES.
     """
     spark = vectors.sparkSession
     v = F.col(vector)
     good = (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0) & F.col(label).isNotNull() & F.col(id_col).isNotNull()
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(good, v).alias("vec"), F.col(label).cast("long").alias("label"))
-    same = rows.where("vec is not null").groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    nodes = materialize(same.withColumn("dim", F.size("vec")).withColumn("k", F.lit(k)), "nodes")
+    same = rows.where("vec is not null").groupBy("label", "vec").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"))
+    # A node is known by its label and vector, as ids may repeat.
+    nodes = materialize(same.withColumn("id", F.xxhash64("label", "vec")).withColumn("dim", F.size("vec")).withColumn("k", F.lit(k)), "nodes")
     sizes = materialize(nodes.groupBy("label", "dim").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / (BLOCK / 3)))).cast("int").alias("bits")), "sizes")
 
     lists, done, links = None, 0, -1
@@ -251,18 +259,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
             discard(comp)
             comp = materialize(components(near.unionByName(between), "u", "v"), "components")
         discard(between)
-        true, hit = _audit(nodes, comp, threshold, audit)
+        shares = _audit(nodes, comp, threshold, audit, k)
         done += 1
-        if hit >= recall * true or done >= 4:
+        if all(share >= recall for share in shares):
             break
+        if done >= TRIES:
+            raise RuntimeError(f"recall of all nodes, and of those with few links, is {shares} after {done} partitions; it should be {recall}")
         discard(comp)
 
     linked = _link_counts(nodes, comp, threshold)
+    least = comp.withColumnRenamed("node", "id").join(nodes.select("id", "least_id"), "id")
     named = (
-        nodes.select("id", "label", "vec", "copies")
+        nodes.select("id", "label", "vec", "copies", "least_id")
         .join(linked, "id", "left")
-        .join(comp.withColumnsRenamed({"node": "id"}), "id", "left")
-        .select("label", "vec", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("comp", "id").alias("component_id"))
+        .join(comp.withColumnRenamed("node", "id"), "id", "left")
+        .join(least.groupBy("comp").agg(F.min("least_id").alias("root")), "comp", "left")
+        .select("label", "vec", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "least_id").alias("component_id"))
     )
     # Rows find their node by the vector's hash first; equal hashes are told apart by the vector.
     out = rows.withColumn("h", F.xxhash64("label", "vec")).alias("r").join(named.withColumn("h", F.xxhash64("label", "vec")).alias("n"), F.expr("r.h = n.h and r.label = n.label and r.vec = n.vec"), "left")

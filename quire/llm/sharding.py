@@ -1,7 +1,7 @@
 """Sharding by a k-d tree over document metadata.
 
 Points are groups of equal texts, weighted by their bytes; a group that outweighs a twentieth
-of a shard is dealt to several points by the hash of the id, so that a hot text can't unbalance
+of a shard is dealt to several points by the hash of id and row, so that a hot text can't unbalance
 the shards. The dimensions are the text's length, its crc32, the group's source and language.
 The node that holds all points is split at the weighted median along its widest dimension, and
 so on, until each leaf holds one shard's share of the bytes.
@@ -35,6 +35,7 @@ def _points(docs: DataFrame, id_col: str, text: str, shards: int, source: str |
         F.xxhash64(t).alias("h"),
         part(source).alias("source"),
         part(lang).alias("lang"),
+        F.monotonically_increasing_id().alias("salt"),  # written once; spreads rows that repeat an id or have none
     )
     rows = materialize(rows, "rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -43,7 +44,7 @@ def _points(docs: DataFrame, id_col: str, text: str, shards: int, source: str |
     groups = rows.groupBy("h", "crc", "size").agg(F.min("source").alias("source"), F.min("lang").alias("lang"), F.count("*").alias("copies"))
     groups = materialize(groups.withColumn("pieces", F.ceil(F.col("copies") * F.col("size") / step).cast("int")), "texts")
     hot = groups.where("pieces > 1").select("h", "crc", "size", "pieces")  # at most 20 * shards texts
-    rows = rows.join(F.broadcast(hot), ["h", "crc", "size"], "left").withColumn("piece", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))))
+    rows = rows.join(F.broadcast(hot), ["h", "crc", "size"], "left").withColumn("piece", F.pmod(F.xxhash64("id", "salt"), F.coalesce("pieces", F.lit(1))))
     point = F.xxhash64("h", "crc", "size", "piece")
     rows = rows.withColumn("point", point)
     split = rows.where("pieces > 1").groupBy("h", "crc", "size", "piece").agg(F.sum("size").alias("weight")).join(F.broadcast(groups.where("pieces > 1").drop("pieces", "copies")), ["h", "crc", "size"])
@@ -63,7 +64,7 @@ def _points(docs: DataFrame, id_col: str, text: str, shards: int, source: str |
         key(F.pmod("source", F.lit(1 << VALUE_BITS))).alias("source"),
         key(F.pmod("lang", F.lit(1 << VALUE_BITS))).alias("lang"),
     )
-    return rows.select("id", "size", "crc", "point"), materialize(points, "points")
+    return rows.select("id", "size", "crc", "point", "salt"), materialize(points, "points")
 
 
 def _split(points: DataFrame, nodes: dict[int, tuple[int, int]], total: int, shards: int) -> dict[int, tuple[str, int]]:
@@ -126,8 +127,8 @@ def shards_of(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: st
         shard = F.when(F.col("node") == n, lo).otherwise(shard)
     placed = points.withColumn("node", node).select("point", shard.alias("shard"))
     out = rows.join(placed.withColumnsRenamed({"point": "at"}), F.col("point") == F.col("at")).drop("at")
-    out = out.withColumn("_k", F.shiftrightunsigned(F.xxhash64("id", "point"), 24))
-    out = numbered(materialize(out, "placed"), "shard", ["_k", "id", "point"], 64, "slot")
+    out = out.withColumn("_k", F.shiftrightunsigned(F.xxhash64("id", "point", "salt"), 24))
+    out = numbered(materialize(out, "placed"), "shard", ["_k", "id", "point", "salt"], 64, "slot")
     discard(points)
     return out.select("id", "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 

@@ -289,3 +289,66 @@ def test_pipeline(spark):
         docs = C.materialize(stage(spark, docs, d), "test")
         assert docs.columns == list(C.COLUMNS)
     assert C.run(spark, d).count() == docs.count()
+
+
+def test_embeddings_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.001], 0), (3, [0.001, 1.0], 0), (None, [1.0, 0.0], 0)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, comp string")).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == sorted([("1", 1, "1"), ("1", 1, "1"), ("2", 1, "1"), ("3", 1, "1"), ("None", 0, "None")])
+
+
+def test_sharding_of_rows_without_ids(spark):
+    hot = "a hot text " * 18
+    d = spark.createDataFrame([(None, hot, "en", "s")] * 900 + [(i, prose(i, 30), "en", "s") for i in range(300)], "doc_id long, text string, lang string, source string")
+    sizes = {}
+    for r in sharding.shard_report(d).collect():
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+    assert len(sizes) == 8
+    assert max(sizes.values()) < 1.2 * min(sizes.values())
+
+
+def test_lines_against_all_pairs(spark):
+    r = np.random.default_rng(8)
+    lines = []
+    for i in range(120):
+        x = prose(3000 + i, int(r.integers(2, 40)))
+        lines.append(x)
+        for _ in range(int(r.integers(0, 4))):
+            y = list(x)
+            for k in r.integers(0, len(y), int(r.integers(1, 1 + max(1, len(y) // 40)))):
+                y[k] = "q"
+            lines.append("".join(y))
+    lines = sorted(set(lines))
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
+    links = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = classes(dict(enumerate(sets)), links)
+    d = spark.createDataFrame([(i, x, 0) for i, x in enumerate(lines)], "doc_id long, text string, h int")
+    kept = {q.doc_id for q in line_dedup.dedup_lines(d).collect() if q.n_kept}
+    right = sum(kept >= {want[i]} and (i in kept) == (want[i] == i) for i in want)
+    print(f"lines as by all pairs: {right} of {len(lines)}")
+    assert right >= 0.98 * len(lines)
+
+
+def test_rules_compiled(spark, docs):
+    from pyspark.sql import functions as F
+
+    stats = quality.statistics(F.col("text"))
+    rows = docs.select(F.array(*stats.values()).alias("x")).collect()
+    x = np.array([q.x for q in rows])
+    r = np.random.default_rng(2)
+    rules = [tuple((int(j), bool(r.integers(0, 2)), float(r.choice(x[:, j]))) for j in r.integers(0, x.shape[1], 3)) for _ in range(20)]
+    weights = r.normal(size=20)
+    z = 0.3 + sum(w * quality.holds(rule, x) for rule, w in zip(rules, weights, strict=True))
+    got = docs.select(quality.compiled(rules, weights, 0.3, list(stats.values())).alias("p")).collect()
+    assert np.allclose([q.p for q in got], 1 / (1 + np.exp(-z)))
+
+
+def test_toxicity_fit_is_the_same_in_blocks(monkeypatch):
+    texts = [prose(i, 3 + i % 50) + (" idiot" if i % 3 == 0 else "") for i in range(60)]
+    y = [int(i % 3 == 0) for i in range(60)]
+    whole = toxicity.train(texts, y, epochs=5)
+    blocks = toxicity._blocks
+    monkeypatch.setattr(toxicity, "_blocks", lambda docs: blocks(docs, 100))
+    parts = toxicity.train(texts, y, epochs=5)
+    assert np.allclose(whole[0], parts[0], atol=1e-4)
+    assert abs(whole[1] - parts[1]) < 1e-6
