@@ -4,9 +4,9 @@ Tier 1 is a broadcast table from the corpus's frequent pre-tokens to their numbe
 tier 2 encodes whatever the table misses and keeps it in the Python worker's own cache. Both
 only save encoding work: each count equals the library's for any content of table and cache.
 
-The table comes from one pass over the whole column in which every task keeps a bounded
-lossy count (at most ``64 * per_task`` pre-tokens and those of one slice) and emits its top ``per_task``;
-only these summaries are added up. Its size is fixed by ``table_size``.
+The table comes from a bounded sample of about SAMPLE rows (of their whole texts): every task keeps
+a bounded lossy count (at most ``64 * per_task`` pre-tokens and those of one slice) and emits its top
+``per_task`` as one row; only these rows are merged. Its size is fixed by ``table_size``.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .words import slices
 
@@ -29,6 +29,7 @@ from .words import slices
 PRE_TOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Latin texts; those with other characters, fractions or superscript digits go to the library whole.
 PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u20ac]*+")
+SAMPLE = 50_000  # rows that the table of frequent pre-tokens comes from
 LONGEST = 64  # characters of a pre-token that the table or a cache keeps
 CACHE = 1 << 19  # pre-tokens in a worker's cache before it starts anew
 
@@ -72,35 +73,38 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def frequent_pieces(docs: DataFrame, path: str, text: str = "text", per_task: int = 4096, table_size: int = 32768) -> DataFrame:
-    """(piece, n_tokens): the most frequent pre-tokens of the whole column, at most ``table_size``."""
+def frequent_pieces(docs: DataFrame, path: str, text: str = "text", sample: int = SAMPLE, per_task: int = 4096, table_size: int = 32768) -> dict[str, int]:
+    """The most frequent pre-tokens of about ``sample`` rows, at most ``table_size``, and their numbers of tokens."""
+
+    def top(counts: Counter, n: int) -> pa.Table:
+        best = heapq.nlargest(n, counts.items(), key=lambda x: (x[1], x[0]))
+        return pa.table({"pieces": pa.array([[x for x, _ in best]], pa.list_(pa.string())), "n": pa.array([[k for _, k in best]], pa.list_(pa.int64()))})
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = PRE_TOKEN.findall
         counts: Counter = Counter()
         for batch in slices(batches, text, 1 << 20):
-            counts.update(find("\n".join(x for x in batch.column(text).to_pylist() if x)))
+            counts.update(x for x in PRE_TOKEN.findall("\n".join(x for x in batch.column(text).to_pylist() if x)) if len(x) <= LONGEST)
             if len(counts) > 64 * per_task:  # lossy counting: drop the rarest
                 counts = Counter(dict(heapq.nlargest(2 * per_task, counts.items(), key=lambda x: x[1])))
-        top = [x for x in heapq.nlargest(per_task, counts.items(), key=lambda x: (x[1], x[0])) if len(x[0]) <= LONGEST]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
-
-    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, _ = _tokenizer(path)
-        for batch in batches:
-            got = tokenizer.encode_batch(batch.column("piece").to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array([len(x.ids) for x in got], pa.int32())], ["piece", "n_tokens"])
-
-    return (
-        docs.select(text)
-        .mapInArrow(summary, "piece string, n long")
-        .groupBy("piece")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "piece")
-        .limit(table_size)
-        .select("piece")
-        .mapInArrow(lengths, "piece string, n_tokens int")
-    )
+        if counts:
+            part = TaskContext.get().partitionId() % 32
+            yield from top(counts, per_task).add_column(0, "part", pa.array([part], pa.int32())).to_batches()
+
+    def merged(t: pa.Table) -> pa.Table:
+        counts: Counter = Counter()
+        for pieces, n in zip(t.column("pieces"), t.column("n"), strict=True):
+            counts.update(dict(zip(pieces.as_py(), n.as_py(), strict=True)))
+            if len(counts) > 4 * table_size:
+                counts = Counter(dict(heapq.nlargest(2 * table_size, counts.items(), key=lambda x: x[1])))
+        return top(counts, table_size)
+
+    rows = docs.count()
+    chosen = docs.select(text).sample(min(1.0, sample / max(rows, 1)), seed=1) if rows > sample else docs.select(text)
+    # Each task's summary is one row; 32 groups of them are merged before the driver sees 32 rows of bounded size.
+    parts = chosen.mapInArrow(summary, "part int, pieces array<string>, n array<long>").groupBy("part").applyInArrow(merged, "pieces array<string>, n array<long>").toArrow()
+    best = merged(parts).column("pieces")[0].as_py() if parts.num_rows else []
+    tokenizer, _ = _tokenizer(path)
+    return {x: len(e.ids) for x, e in zip(best, tokenizer.encode_batch(best, add_special_tokens=False), strict=True)}
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
@@ -112,7 +116,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
     outside Latin go to the library whole, the rest through the two tiers; no text is cut.
     """
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast({r.piece: r.n_tokens for r in frequent_pieces(docs, path, text).collect()})
+    known = spark.sparkContext.broadcast(frequent_pieces(docs, path, text))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, special = _tokenizer(path)
