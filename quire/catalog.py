@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import evaluation, formatting, layout, prompts, tensors
+from quire.plans import evaluation, formatting, layout, prompts, records, tensors
 
-MODULES = (layout, formatting, prompts, evaluation, tensors)
+MODULES = (layout, formatting, prompts, evaluation, records, tensors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
