@@ -8,7 +8,7 @@ two lines of similarity 0.8 meet with a probability of 1 - (1 - 0.8 ** ROWS) **
 
 Lines that share a band are compared in rounds; every comparison is an exact Jaccard similarity:
 each line with the first line of its groups (the most alike one first), then what is still in
-different components of a group: all pairs of groups up to SMALL lines; larger ones are split by
+different components of a group: in one task for groups up to SMALL lines; larger ones are split by
 TOGETHER further minima, SPLIT times (that all differ has a probability of 0.0008 at 0.8), DEPTH
 times at most, and whatever is still mixed then is compared in pairs. Connected components come from
 distributed union-find, and one line of each is kept.
@@ -42,6 +42,8 @@ SMALL = 2048
 SPLIT = 10
 TOGETHER = 3
 DEPTH = 3
+#: Shingles of a group's lines that a task keeps.
+ROOM = 1 << 22
 THRESHOLD = 80  # percent
 #: Lines that are joined back are broadcast up to this many rows, else joined by a shuffle.
 BROADCAST = 250_000
@@ -241,37 +243,62 @@ def _across(mixed: DataFrame) -> DataFrame:
     return x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
 
 
-def _inside(mixed: DataFrame, signed: DataFrame) -> DataFrame:
-    """(a, b): the promising pairs of groups up to SMALL lines whose lines are in different components."""
+def _inside(mixed: DataFrame, signed: DataFrame, texts: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(a, b): links that join the components of each group up to SMALL lines, one fewer than its lines at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        names, rest = ["key", "h", "c", "sig", "line"], None
         for batch in (*batches, None):
-            if batch is not None and not batch.num_rows:
+            t = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if t is None or not t.num_rows:
                 continue
-            t = [batch.column(c).to_numpy() for c in ("key", "h", "c")] + [_minima(batch.column("sig"))] if batch is not None else None
-            t = rest if t is None else t if rest is None else [np.concatenate(x) for x in zip(rest, t, strict=True)]
-            if t is None:
-                return
-            starts = np.flatnonzero(np.append(True, t[0][1:] != t[0][:-1]))
+            key = t.column("key").to_numpy()
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             whole = starts if batch is None else starts[:-1]  # the last group may go on in the next batch
             found = []
-            for a, b in zip(whole.tolist(), [*starts[1:].tolist(), len(t[0])], strict=False):
-                _, h, c, sig = (x[a:b] for x in t)
-                for at in range(0, len(h), 128):
-                    near = np.zeros((len(h[at : at + 128]), len(h)), np.uint8)
-                    for m in range(BINS):
-                        near += sig[at : at + 128, m, None] == sig[None, :, m]
-                    i, j = np.nonzero(near >= AGREE)
-                    i += at
-                    keep = (h[i] < h[j]) & (c[i] != c[j])
-                    found.append((h[i[keep]], h[j[keep]]))
+            for a, b in zip(whole.tolist(), [*starts[1:].tolist(), len(key)], strict=False):
+                part = t.slice(a, b - a).select(names)
+                found += _linked(*(part.column(c).to_numpy() for c in names[:3]), _minima(part.column("sig")), part.column("line").to_pylist(), bands, rows)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
-            rest = [x[starts[-1] :] for x in t]
-
-    rows = mixed.select("key", "h", "c").join(signed.select("h", "sig"), "h")
-    return rows.repartition("key").sortWithinPartitions("key").select("key", "h", "c", "sig").mapInArrow(run, "a long, b long").distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+            rest = t.slice(int(starts[-1]))
+
+    full = mixed.select("key", "h", "c").join(signed.select("h", "sig"), "h").join(texts, "h")
+    return materialize(full.repartition("key").sortWithinPartitions("key").select("key", "h", "c", "sig", "line").mapInArrow(run, "a long, b long"), "alike")
+
+
+def _linked(key: np.ndarray, h: np.ndarray, c: np.ndarray, sig: np.ndarray, lines: list[bytes], bands: int, rows: int) -> list[tuple[int, int]]:
+    """Exact links between a group's components, of which each joins two that weren't joined before."""
+    root = {x: x for x in c.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    keys = band_keys(sig, bands, rows)
+    band = np.flatnonzero(keys[0] == key[0])
+    earlier = keys[:, : band[0]] if len(band) else keys[:, :0]  # a pair that shares an earlier band is compared there
+    sets: dict[int, np.ndarray] = {}
+    kept, found = 0, []
+    for i in range(len(h) - 1):
+        own = np.array([find(x) for x in c.tolist()])
+        j = i + 1 + np.flatnonzero((own[i + 1 :] != own[i]) & ((sig[i + 1 :] == sig[i]).sum(1) >= AGREE) & ~(earlier[i + 1 :] == earlier[i]).any(1))
+        for k in (i, *j.tolist()) if len(j) else ():
+            if k not in sets:
+                sets[k] = np.unique(shingle_hashes([lines[k].decode("utf-8", "replace")])[0])
+                kept += len(sets[k])
+        for k in j.tolist():
+            if find(int(c[k])) != find(int(c[i])):
+                x, y = sets[i], sets[k]
+                both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+                if both * 100 >= THRESHOLD * (len(x) + len(y) - both):
+                    root[find(int(c[k]))] = find(int(c[i]))
+                    found.append((int(h[i]), int(h[k])))
+        if kept > ROOM:
+            sets.clear()
+            kept = 0
+    return found
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -335,7 +362,7 @@ def similar_lines(docs: DataFrame, signed: DataFrame, bands: int = BANDS, rows:
         if mixed.isEmpty():
             discard(mixed)
             break
-        comp = _joined(comp, _alike(_inside(mixed.where(F.col("n") <= SMALL), signed), texts))
+        comp = _joined(comp, _inside(mixed.where(F.col("n") <= SMALL), signed, texts, bands, rows))
         large = materialize(mixed.where(F.col("n") > SMALL), "large")
         discard(mixed)
         if large.isEmpty():

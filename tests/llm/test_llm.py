@@ -352,3 +352,15 @@ def test_toxicity_fit_is_the_same_in_blocks(monkeypatch):
     parts = toxicity.train(texts, y, epochs=5)
     assert np.allclose(whole[0], parts[0], atol=1e-4)
     assert abs(whole[1] - parts[1]) < 1e-6
+
+
+def test_links_of_a_group():
+    lines = [prose(900 + i // 3, 30) + "." * (i % 3) for i in range(60)]
+    sig = line_dedup.signatures(lines)
+    h = np.arange(60)
+    raw = [x.encode() for x in lines]
+    found = line_dedup._linked(np.full(60, 5), h, h, sig, raw, 13, 5)
+    assert sorted(found) == sorted((3 * i, 3 * i + k) for i in range(20) for k in (1, 2))  # each joins two components
+    assert line_dedup._linked(np.full(60, 5), h, h // 3, sig, raw, 13, 5) == []
+    key = int(line_dedup.band_keys(sig, 13, 5)[0, 12])
+    assert all((line_dedup.band_keys(sig[[a, b]], 13, 5)[0, :12] != line_dedup.band_keys(sig[[a, b]], 13, 5)[1, :12]).all() for a, b in line_dedup._linked(np.full(60, key), h, h, sig, raw, 13, 5))
