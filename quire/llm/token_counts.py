@@ -90,19 +90,19 @@ def frequent_pieces(docs: DataFrame, path: str, text: str = "text", sample: int
             part = TaskContext.get().partitionId() % 32
             yield from top(counts, per_task).add_column(0, "part", pa.array([part], pa.int32())).to_batches()
 
-    def merged(t: pa.Table) -> pa.Table:
+    def merged(t: pa.Table, most: int = table_size // 4) -> pa.Table:
         counts: Counter = Counter()
         for pieces, n in zip(t.column("pieces"), t.column("n"), strict=True):
             counts.update(dict(zip(pieces.as_py(), n.as_py(), strict=True)))
             if len(counts) > 4 * table_size:
                 counts = Counter(dict(heapq.nlargest(2 * table_size, counts.items(), key=lambda x: x[1])))
-        return top(counts, table_size)
+        return top(counts, most)
 
     rows = docs.count()
     chosen = docs.select(text).sample(min(1.0, sample / max(rows, 1)), seed=1) if rows > sample else docs.select(text)
     # Each task's summary is one row; 32 groups of them are merged before the driver sees 32 rows of bounded size.
-    parts = chosen.mapInArrow(summary, "part int, pieces array<string>, n array<long>").groupBy("part").applyInArrow(merged, "pieces array<string>, n array<long>").toArrow()
-    best = merged(parts).column("pieces")[0].as_py() if parts.num_rows else []
+    parts = chosen.mapInArrow(summary, "part int, pieces array<string>, n array<long>").groupBy("part").applyInArrow(lambda t: merged(t), "pieces array<string>, n array<long>").toArrow()
+    best = merged(parts, table_size).column("pieces")[0].as_py() if parts.num_rows else []
     tokenizer, _ = _tokenizer(path)
     return {x: len(e.ids) for x, e in zip(best, tokenizer.encode_batch(best, add_special_tokens=False), strict=True)}
 
