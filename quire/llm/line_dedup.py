@@ -269,31 +269,24 @@ def _inside(mixed: DataFrame, signed: DataFrame, texts: DataFrame, bands: int, r
 
 def _linked(key: np.ndarray, h: np.ndarray, c: np.ndarray, sig: np.ndarray, lines: list[bytes], bands: int, rows: int) -> list[tuple[int, int]]:
     """Exact links between a group's components, of which each joins two that weren't joined before."""
-    root = {x: x for x in c.tolist()}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
+    own = c.copy()  # each line's component, as joined so far
     keys = band_keys(sig, bands, rows)
     band = np.flatnonzero(keys[0] == key[0])
     earlier = keys[:, : band[0]] if len(band) else keys[:, :0]  # a pair that shares an earlier band is compared there
     sets: dict[int, np.ndarray] = {}
     kept, found = 0, []
     for i in range(len(h) - 1):
-        own = np.array([find(x) for x in c.tolist()])
         j = i + 1 + np.flatnonzero((own[i + 1 :] != own[i]) & ((sig[i + 1 :] == sig[i]).sum(1) >= AGREE) & ~(earlier[i + 1 :] == earlier[i]).any(1))
         for k in (i, *j.tolist()) if len(j) else ():
             if k not in sets:
                 sets[k] = np.unique(shingle_hashes([lines[k].decode("utf-8", "replace")])[0])
                 kept += len(sets[k])
         for k in j.tolist():
-            if find(int(c[k])) != find(int(c[i])):
+            if own[k] != own[i]:
                 x, y = sets[i], sets[k]
                 both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
                 if both * 100 >= THRESHOLD * (len(x) + len(y) - both):
-                    root[find(int(c[k]))] = find(int(c[i]))
+                    own[own == own[k]] = own[i]
                     found.append((int(h[i]), int(h[k])))
         if kept > ROOM:
             sets.clear()
