@@ -24,9 +24,11 @@ README), so lines are read and compared in Python workers here.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -247,53 +249,82 @@ def _inside(mixed: DataFrame, signed: DataFrame, texts: DataFrame, bands: int, r
     """(a, b): links that join the components of each group up to SMALL lines, one fewer than its lines at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, rest = ["key", "h", "c", "sig", "line"], None
-        for batch in (*batches, None):
-            t = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        rest = None
+        for batch in chain(batches, [None]):
+            t = rest if batch is None else pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
             if t is None or not t.num_rows:
                 continue
             key = t.column("key").to_numpy()
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            whole = starts if batch is None else starts[:-1]  # the last group may go on in the next batch
-            found = []
-            for a, b in zip(whole.tolist(), [*starts[1:].tolist(), len(key)], strict=False):
-                part = t.slice(a, b - a).select(names)
-                found += _linked(*(part.column(c).to_numpy() for c in names[:3]), _minima(part.column("sig")), part.column("line").to_pylist(), bands, rows)
+            to = len(key) if batch is None else int(starts[-1])  # the last group may go on in the next batch
+            found = _linked(t.slice(0, to), starts[starts < to], bands, rows) if to else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
-            rest = t.slice(int(starts[-1]))
+            rest = t.slice(to)
 
     full = mixed.select("key", "h", "c").join(signed.select("h", "sig"), "h").join(texts, "h")
     return materialize(full.repartition("key").sortWithinPartitions("key").select("key", "h", "c", "sig", "line").mapInArrow(run, "a long, b long"), "alike")
 
 
-def _linked(key: np.ndarray, h: np.ndarray, c: np.ndarray, sig: np.ndarray, lines: list[bytes], bands: int, rows: int) -> list[tuple[int, int]]:
-    """Exact links between a group's components, of which each joins two that weren't joined before."""
-    own = c.copy()  # each line's component, as joined so far
+def _linked(t: pa.Table, starts: np.ndarray, bands: int, rows: int) -> list[tuple[int, int]]:
+    """Exact links between the components of each of the groups (which begin at ``starts``); each link joins two that weren't joined before."""
+    key, h, c = (t.column(x).to_numpy() for x in ("key", "h", "c"))
+    sig, lines = _minima(t.column("sig")), t.column("line")
+    size = pc.binary_length(lines).to_numpy()
     keys = band_keys(sig, bands, rows)
-    band = np.flatnonzero(keys[0] == key[0])
-    earlier = keys[:, : band[0]] if len(band) else keys[:, :0]  # a pair that shares an earlier band is compared there
-    sets: dict[int, np.ndarray] = {}
-    kept, found = 0, []
-    for i in range(len(h) - 1):
-        j = i + 1 + np.flatnonzero((own[i + 1 :] != own[i]) & ((sig[i + 1 :] == sig[i]).sum(1) >= AGREE) & ~(earlier[i + 1 :] == earlier[i]).any(1))
-        for k in (i, *j.tolist()) if len(j) else ():
-            if k not in sets:
-                sets[k] = np.unique(shingle_hashes([lines[k].decode("utf-8", "replace")])[0])
-                kept += len(sets[k])
-        for k in j.tolist():
-            if own[k] != own[i]:
-                x, y = sets[i], sets[k]
-                both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
-                if both * 100 >= THRESHOLD * (len(x) + len(y) - both):
-                    own[own == own[k]] = own[i]
-                    found.append((int(h[i]), int(h[k])))
-        if kept > ROOM:
-            sets.clear()
-            kept = 0
+    found = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+        own = c[a:b].copy()  # each line's component, as joined so far
+        band = np.flatnonzero(keys[a] == key[a])
+        earlier = keys[a:b, : band[0]] if len(band) else keys[a:b, :0]  # a pair that shares an earlier band is compared there
+        sets, kept = {}, 0
+        for i, j in _candidates(sig[a:b], own, earlier):
+            need = [k for k in dict.fromkeys(np.append(i, j).tolist()) if k not in sets]
+            if size[[a + k for k in need]].sum() <= 4 * STEP:
+                sets |= zip(need, _sets([lines[a + k].as_py() for k in need]), strict=True)
+                kept += sum(len(sets[k]) for k in need)
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                if own[x] == own[y]:
+                    continue
+                for k in (x, y):
+                    if k not in sets:
+                        sets[k] = _sets([lines[a + k].as_py()])[0]
+                        kept += len(sets[k])
+                u, v = sets[x], sets[y]
+                both = int(np.count_nonzero(v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u))
+                if both * 100 >= THRESHOLD * (len(u) + len(v) - both):
+                    own[own == own[y]] = own[x]
+                    found.append((int(h[a + x]), int(h[a + y])))
+                if kept > ROOM:
+                    sets.clear()
+                    kept = 0
     return found
 
 
+def _candidates(sig: np.ndarray, own: np.ndarray, earlier: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a group's lines, some at a time: in different components, agreeing in AGREE minima, and in none of the earlier bands."""
+    n = len(sig)
+    step = max(1, ROOM // (n * BINS))
+    for at in range(0, n, step):
+        if (own == own[0]).all():
+            return
+        i, j = np.nonzero((sig[at : at + step, None] == sig[None, at:]).sum(2, dtype=np.uint8) >= AGREE)
+        keep = (j > i) & (own[at + i] != own[at + j])
+        i, j = at + i[keep], at + j[keep]
+        keep = ~(earlier[i] == earlier[j]).any(1)
+        if keep.any():
+            yield i[keep], j[keep]
+
+
+def _sets(lines: list[bytes]) -> list[np.ndarray]:
+    """Each line's distinct shingles, sorted."""
+    out = []
+    for part in _blocks([x.decode("utf-8", "replace") for x in lines]):
+        h, n = shingle_hashes(part)
+        out += [np.unique(s) for s in np.split(h, np.cumsum(n)[:-1])]
+    return out
+
+
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """The pairs, with their ends' components ca and cb, that are in different ones."""
     named = pairs.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
