@@ -46,6 +46,25 @@ def rotate_half(a: Column, position: Column, base: float = 10000.0) -> Column:
     return F.transform(a, turned)
 
 
+def rotate_pairs(a: Column, positions: Column, sections: list[int], base: float = 10000.0) -> Column:
+    """Rotary embedding with neighbours as pairs; pair k turns by the position of the axis whose section holds k."""
+    axis = [i for i, n in enumerate(sections) for _ in range(n)]
+    by_pair = F.array(*[F.get(positions, F.lit(i)) for i in axis])
+
+    def turned(x: Column, i: Column) -> Column:
+        pair = F.floor(i / 2).cast("int")
+        angle = F.get(by_pair, pair) * F.pow(F.lit(base), -2.0 * pair / F.size(a))
+        other = F.when(i % 2 == 0, -F.get(a, i + 1)).otherwise(F.get(a, i - 1))
+        return x * F.cos(angle) + other * F.sin(angle)
+
+    return F.transform(a, turned)
+
+
+def refine(boxes: Column, deltas: Column) -> Column:
+    """Normalised boxes moved by a layer's deltas, in the space before the sigmoid."""
+    return F.zip_with(boxes, deltas, lambda b, d: sigmoid(inverse_sigmoid(F.greatest(F.lit(0.0), F.least(F.lit(1.0), b))) + d))
+
+
 def sincos_2d(x: Column, y: Column, width: int = 8, base: float = 10000.0) -> Column:
     """sin and cos of x, then of y, at width / 4 frequencies each."""
     n = width // 4

@@ -58,6 +58,20 @@ def embed_rotary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("vec_id", _rounded(T.rotate_half(F.col("v"), F.col("vec_id") % 100)).alias("turned"))
 
 
+@query(f"WITH {_E}, a AS (SELECT l.vec_id, l.i, l.x, CASE WHEN l.i % 2 = 0 THEN -r.x ELSE r.x END AS o, (CASE WHEN l.i // 2 < 8 THEN l.vec_id % 100 WHEN l.i // 2 < 20 THEN l.vec_id % 7 ELSE l.vec_id % 11 END) * pow(10000.0::DOUBLE, -2.0::DOUBLE * (l.i // 2) / 64) AS g FROM e l JOIN e r ON r.vec_id = l.vec_id AND r.i = CASE WHEN l.i % 2 = 0 THEN l.i + 1 ELSE l.i - 1 END) SELECT vec_id, {_listed('(x * cos(g) + o * sin(g))')} AS turned FROM a GROUP BY 1")
+def embed_rotary_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of neighbours, turned by time, row or column: 8, 12 and 12 pairs of the 32."""
+    at = F.array(*[(F.col("vec_id") % n).cast("double") for n in (100, 7, 11)])
+    return _vectors(spark, sf_dir).select("vec_id", _rounded(T.rotate_pairs(F.col("v"), at, [8, 12, 12])).alias("turned"))
+
+
+@query(f"WITH {_E}, b AS (SELECT l.vec_id, l.i, greatest(least(abs(l.x), 1.0::DOUBLE), 0.00001::DOUBLE) AS p, greatest(1 - least(abs(l.x), 1.0::DOUBLE), 0.00001::DOUBLE) AS q, r.x AS d FROM e l JOIN e r ON r.vec_id = l.vec_id AND r.i = l.i + 4 WHERE l.i < 4) SELECT vec_id, {_listed('1 / (1 + exp(-(ln(p / q) + d)))')} AS box FROM b GROUP BY 1")
+def box_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box from each vector's first four numbers, moved by the next four."""
+    box = F.transform(F.slice("v", 1, 4), lambda x: F.abs(x))
+    return _vectors(spark, sf_dir).select("vec_id", _rounded(T.refine(box, F.slice("v", 5, 4))).alias("box"))
+
+
 @query(f"WITH {_E}, s AS (SELECT vec_id, i, x, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r FROM e) SELECT vec_id, CAST(min(i) FILTER (r = 1) AS INT) AS argmax, string_agg(CAST(i AS VARCHAR), ',' ORDER BY r) FILTER (r <= 5) AS top5, round(min(x), 6) AS lo, round(max(x), 6) AS hi, round(avg(x), 6) AS mean FROM s GROUP BY 1")
 def tensor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = T.summary(F.col("v"))
