@@ -48,7 +48,7 @@ def rotate_half(a: Column, position: Column, base: float = 10000.0) -> Column:
 
 def rotate_pairs(a: Column, positions: Column, sections: list[int], base: float = 10000.0) -> Column:
     """Rotary embedding with neighbours as pairs; pair k turns by the position of the axis whose section holds k."""
-    axis = [i for i, n in enumerate(sections) for _ in range(n)]
+    axis = [i % 3 for i, n in enumerate(sections) for _ in range(n)]
     by_pair = F.array(*[F.get(positions, F.lit(i)) for i in axis])
 
     def turned(x: Column, i: Column) -> Column:
