@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, line_dedup, mixing, ngram_join, quality, sharding, token_counts, toxicity, url_filter
+from . import centroids, decontaminate, embedding_dedup, fill_middle, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -54,10 +55,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fill_middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroids.centroid_digest(F.col("centroid")).alias("centroid_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_decontamination, op3_mixing, op4_sharding, op5_line_dedup, op6_quality, op7_embedding_dedup, op8_url_filter, op9_ngram_jaccard, op10_toxicity]
+    found = [op1_token_counts, op2_decontamination, op3_mixing, op4_sharding, op5_line_dedup, op6_quality, op7_embedding_dedup, op8_url_filter, op9_ngram_jaccard, op10_toxicity, op11_substring_dedup, op12_fill_in_middle, op13_centroid_clustering]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.SQL, "op3_mixing": mixing.SQL, "op7_embedding_dedup": embedding_dedup.SQL, "op8_url_filter": url_filter.SQL, "op9_ngram_jaccard": ngram_join.SQL}
+    return {"op2_decontamination": decontaminate.SQL, "op3_mixing": mixing.SQL, "op7_embedding_dedup": embedding_dedup.SQL, "op8_url_filter": url_filter.SQL, "op9_ngram_jaccard": ngram_join.SQL, "op11_substring_dedup": substring_dedup.SQL, "op12_fill_in_middle": fill_middle.SQL, "op13_centroid_clustering": centroids.SQL}

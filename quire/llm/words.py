@@ -101,6 +101,8 @@ def words(col: pa.Array, table: np.ndarray, spans: bool = False):
             e = np.flatnonzero(tail) + 1
             pos = np.arange(to - at) - np.repeat(s, np.diff(np.append(s, to - at)), axis=0) if s[0] == 0 else np.concatenate([np.zeros(s[0], np.int64), np.arange(s[0], to - at) - np.repeat(s, np.diff(np.append(s, to - at)))])
             v = b.astype(np.uint64) * _POW[pos & 0xFFFF]
+            far = np.flatnonzero(pos > 0xFFFF)  # each further 64 KB of one word has multipliers of its own
+            v[far] *= mix((pos[far] >> 16).astype(np.uint64)) | np.uint64(1)
             hashes.append(mix(np.add.reduceat(v, s) + (e - s).astype(np.uint64)))
             starts.append(s + at)
             if spans:
