@@ -3,11 +3,11 @@
 First pass: every chunk of texts counts its windows' hashes in a sketch of its own (two rows of
 slots; a slot counts 0, 1 or more), and the chunks' sketches are added up by blocks of slots. A
 window's estimate, the smaller of its two counts, is never below its true count. Second pass:
-windows estimated once are unique and go no further; all others are grouped exactly, by 128-bit
+windows estimated once are unique and go no further; all others are grouped exactly, by 96-bit
 hashes of their words, and every occurrence but the first is removed. So nothing is lost by the
 sketch; a full one only lets more windows through to the exact grouping.
 
-The sketch grows with the texts (about 4 bits a window) up to ``most_bits``, the bound of what
+The sketch grows with the texts (about 6 bits a window) up to ``most_bits``, the bound of what
 is broadcast. A chunk sends each distinct window once, whatever stands behind it in the chunk,
 so the group of a window that a third of all rows hold has one row a chunk at most.
 """
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import sweep
 from .words import buffers, lut, mix, release, slices, words
 
 #: Words [^\x20\x09-\x0D]+ as they stand, capitals apart.
@@ -95,8 +95,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketch(docs: DataFrame, text: str, window: int, most_bits: int) -> np.ndarray:
     """Bits of both rows of the merged sketch: which slots were counted more than once."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    # 2 slots a row for each window, at 6 bytes a word.
-    blocks = int(min(max(1, size // 3 // SLOTS + 1), most_bits // 2 // SLOTS))
+    # 3 slots a row for each window, at 6 bytes a word.
+    blocks = int(min(max(1, size // 2 // SLOTS + 1), most_bits // 2 // SLOTS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, CHUNK):
@@ -151,6 +151,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     enough = F.coalesce(F.octet_length("text"), F.lit(0)) >= 2 * window - 1
     long = docs.where(enough)
     shared = spark.sparkContext.broadcast(sketch(long, "text", window, most_bits))
+    sweep(spark)  # the sketches' shuffle files
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -173,33 +174,51 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
             lost = (start != start[lead]) | (rank != rank[lead])
             first = np.flatnonzero(head)
             first = first[np.lexsort((start[first], row[first]))]  # in the texts' order, which compresses well
-            yield _records(batch, row[first], a[first], b[first], start[first], None)
+            yield _records(batch, row[first], a[first].view(np.int64), (b[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), start[first], None)
             gone = np.flatnonzero(lost)
             gone = gone[np.lexsort((start[gone], row[gone]))]
             if len(gone):
                 edge = np.flatnonzero(np.append(True, row[gone][1:] != row[gone][:-1]))
                 cuts = [joined(x, window) for x in np.split(start[gone], edge[1:])]
-                yield _records(batch, row[gone][edge], None, None, None, cuts)
+                # What is settled here goes the same way, dealt out by position (b is null for it alone).
+                yield _records(batch, row[gone][edge], mix(row[gone][edge].astype(np.uint64)).view(np.int64), None, None, cuts)
         release()
 
-    found = materialize(long.mapInArrow(suspects, f"id {id_type}, h long, a long, b long, start int, cuts array<int>"), "windows")
+    found = long.mapInArrow(suspects, f"id {id_type}, h long, start int, a long, b int, cuts array<int>")
     order = Window.partitionBy("a", "b").orderBy(F.col("id").asc_nulls_last(), "h", "start")
-    later = found.where("a is not null").withColumn("r", F.rank().over(order)).where("r > 1").select("id", "h", F.array("start", F.col("start") + window).alias("cuts"))
-    lost = later.unionByName(found.where("a is null").select("id", "h", "cuts")).groupBy("id", "h").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    later = found.withColumn("r", F.rank().over(order)).where("r > 1 or cuts is not null").select("id", "h", "start", "cuts")
+    lost = later.repartition("id", "h").sortWithinPartitions("id", "h", "start").mapInArrow(lambda x: _per_document(x, window), f"id {id_type}, h long, cuts array<int>")
+    lost = lost.groupBy("id", "h").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))  # a document's few rows
     marked = long.alias("l").join(lost.alias("r"), F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.h") == F.col("r.h")), "left").select("l.id", "l.text", "r.cuts")
     rest = docs.where(~enough).select("id", "text", F.lit(None).cast("array<int>").alias("cuts"))
     out = marked.unionByName(rest).mapInArrow(_cut, f"id {id_type}, n_words long, n_removed long, cuts array<int>, kept string")
     return out.withColumnRenamed("id", id_col)
 
 
-def _records(batch, row, a, b, start, cuts) -> pa.RecordBatch:
+def _records(batch: pa.RecordBatch, row: np.ndarray, a: np.ndarray, b: np.ndarray | None, start: np.ndarray | None, cuts: list | None) -> pa.RecordBatch:
     n, take = len(row), pa.array(row)
-    column = lambda x, kind: pa.nulls(n, kind) if x is None else pa.array(x.view(np.int64) if kind == pa.int64() else x, kind)
-    kept = [batch.column("id").take(take), batch.column("h").take(take)]
-    return pa.RecordBatch.from_arrays(
-        [*kept, column(a, pa.int64()), column(b, pa.int64()), pa.nulls(n, pa.int32()) if start is None else pa.array(start.astype(np.int32)), pa.nulls(n, pa.list_(pa.int32())) if cuts is None else pa.array(cuts, pa.list_(pa.int32()))],
-        ["id", "h", "a", "b", "start", "cuts"],
-    )
+    ints = lambda x: pa.nulls(n, pa.int32()) if x is None else pa.array(x.astype(np.int32, copy=False))
+    columns = [batch.column("id").take(take), batch.column("h").take(take), ints(start), pa.array(a), ints(b), pa.nulls(n, pa.list_(pa.int32())) if cuts is None else pa.array(cuts, pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays(columns, ["id", "h", "start", "a", "b", "cuts"])
+
+
+def _per_document(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of each document from its removed windows, sorted by document; at a batch's end a document may go on in another row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = pc.fill_null(batch.column("id").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        h = batch.column("h").to_numpy(zero_copy_only=False)
+        edge = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (h[1:] != h[:-1])))
+        start, whole = batch.column("start"), batch.column("cuts")
+        cuts = []
+        for at, to in zip(edge.tolist(), [*edge[1:].tolist(), batch.num_rows], strict=True):
+            own = pc.drop_null(start.slice(at, to - at)).to_numpy()
+            cuts.append(joined(own, window) if len(own) else [])
+            if start.slice(at, to - at).null_count:
+                for x in pc.drop_null(whole.slice(at, to - at)).to_pylist():
+                    cuts[-1] += x
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(edge)), batch.column("h").take(pa.array(edge)), pa.array(cuts, pa.list_(pa.int32()))], ["id", "h", "cuts"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
