@@ -355,12 +355,28 @@ def test_toxicity_fit_is_the_same_in_blocks(monkeypatch):
 
 
 def test_links_of_a_group():
+    import pyarrow as pa
+
     lines = [prose(900 + i // 3, 30) + "." * (i % 3) for i in range(60)]
     sig = line_dedup.signatures(lines)
-    h = np.arange(60)
-    raw = [x.encode() for x in lines]
-    found = line_dedup._linked(np.full(60, 5), h, h, sig, raw, 13, 5)
-    assert sorted(found) == sorted((3 * i, 3 * i + k) for i in range(20) for k in (1, 2))  # each joins two components
-    assert line_dedup._linked(np.full(60, 5), h, h // 3, sig, raw, 13, 5) == []
-    key = int(line_dedup.band_keys(sig, 13, 5)[0, 12])
-    assert all((line_dedup.band_keys(sig[[a, b]], 13, 5)[0, :12] != line_dedup.band_keys(sig[[a, b]], 13, 5)[1, :12]).all() for a, b in line_dedup._linked(np.full(60, key), h, h, sig, raw, 13, 5))
+    bands = line_dedup.band_keys(sig, 13, 5)
+
+    def linked(key, component):
+        t = pa.table({"key": np.full(60, key, np.int64), "h": np.arange(60), "c": np.asarray(component, np.int64), "sig": pa.array([s.tobytes() for s in sig], pa.binary()), "line": pa.array([x.encode() for x in lines], pa.binary())})
+        return line_dedup._linked(t, np.zeros(1, np.int64), 13, 5)
+
+    no_band = 5  # a key of no band: no pair is left to an earlier band
+    assert sorted(linked(no_band, range(60))) == sorted((3 * i, 3 * i + k) for i in range(20) for k in (1, 2))  # each joins two components
+    assert linked(no_band, np.arange(60) // 3) == []
+    # Pairs that share one of the bands before the fourth are compared there and not here.
+    r = np.random.default_rng(11)
+    for i in range(60):
+        x = list(prose(900 + i // 2, 30))
+        for k in r.integers(0, len(x), 3 * (i % 2)):
+            x[k] = "#"
+        lines[i] = "".join(x)
+    sig = line_dedup.signatures(lines)
+    bands = line_dedup.band_keys(sig, 13, 5)
+    found, every = linked(int(bands[0, 3]), range(60)), linked(no_band, range(60))
+    assert sorted(found) == sorted(x for x in every if (bands[x[0], :3] != bands[x[1], :3]).all())
+    assert 0 < len(found) < len(every)
