@@ -7,7 +7,7 @@ windows estimated once are unique and go no further; all others are grouped exac
 hashes of their words, and every occurrence but the first is removed. So nothing is lost by the
 sketch; a full one only lets more windows through to the exact grouping.
 
-The sketch grows with the texts (about 6 bits a window) up to ``most_bits``, the bound of what
+The sketch grows with the texts (about 4 bits a window) up to ``most_bits``, the bound of what
 is broadcast. A chunk sends each distinct window once, whatever stands behind it in the chunk,
 so the group of a window that a third of all rows hold has one row a chunk at most.
 """
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sweep
+from .common import materialize, sweep
 from .words import buffers, lut, mix, release, slices, words
 
 #: Words [^\x20\x09-\x0D]+ as they stand, capitals apart.
@@ -95,8 +95,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketch(docs: DataFrame, text: str, window: int, most_bits: int) -> np.ndarray:
     """Bits of both rows of the merged sketch: which slots were counted more than once."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    # 3 slots a row for each window, at 6 bytes a word.
-    blocks = int(min(max(1, size // 2 // SLOTS + 1), most_bits // 2 // SLOTS))
+    # 2 slots a row for each window, at 6 bytes a word.
+    blocks = int(min(max(1, size // 3 // SLOTS + 1), most_bits // 2 // SLOTS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, CHUNK):
@@ -188,7 +188,10 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     order = Window.partitionBy("a", "b").orderBy(F.col("id").asc_nulls_last(), "h", "start")
     later = found.withColumn("r", F.rank().over(order)).where("r > 1 or cuts is not null").select("id", "h", "start", "cuts")
     lost = later.repartition("id", "h").sortWithinPartitions("id", "h", "start").mapInArrow(lambda x: _per_document(x, window), f"id {id_type}, h long, cuts array<int>")
-    lost = lost.groupBy("id", "h").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))  # a document's few rows
+    lost = materialize(lost.groupBy("id", "h").agg(F.flatten(F.collect_list("cuts")).alias("cuts")), "cuts")  # a document's few rows
+    shared.destroy()
+    del found, later
+    sweep(spark)  # the windows' shuffle files, before texts are shuffled
     marked = long.alias("l").join(lost.alias("r"), F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.h") == F.col("r.h")), "left").select("l.id", "l.text", "r.cuts")
     rest = docs.where(~enough).select("id", "text", F.lit(None).cast("array<int>").alias("cuts"))
     out = marked.unionByName(rest).mapInArrow(_cut, f"id {id_type}, n_words long, n_removed long, cuts array<int>, kept string")
