@@ -29,6 +29,8 @@ from .words import buffers, lut, mix, release, slices, words
 CASED = lut([(0x20, 0x20), (0x09, 0x0D)], lower=False)
 #: Slots of a block; positions inside one are 16-bit numbers.
 SLOTS = 1 << 16
+#: Ranges of blocks that a chunk's sketch is dealt out by; their number doesn't grow, so a chunk sends as many rows at any size.
+RANGES = 512
 #: Bytes of text whose windows are counted, and later compared, together.
 CHUNK = 8 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -63,32 +65,44 @@ def slots(g: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return at[0].astype(np.uint32), (at[1] + np.uint64(blocks * SLOTS)).astype(np.uint32)
 
 
-def count_slots(taken: np.ndarray) -> pa.RecordBatch:
-    """A chunk's sketch: for each block its slots in order, twice where counted more than once."""
+def edges(blocks: int) -> np.ndarray:
+    """Where each range of blocks begins, and the end; both rows of the sketch have ``blocks`` blocks."""
+    ranges = min(RANGES, 2 * blocks)
+    return np.arange(ranges + 1) * 2 * blocks // ranges
+
+
+def count_slots(taken: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """A chunk's sketch: for each range how many of its slots fall in each block, and these slots in order, twice where counted more than once."""
     taken = np.sort(taken)
     taken = taken[np.append(np.ones(min(2, len(taken)), bool), taken[2:] != taken[:-2])]
-    block = (taken >> np.uint32(16)).astype(np.int32)
-    first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
-    offsets = np.append(first, len(block)).astype(np.int32) * 2
-    data = (taken & np.uint32(0xFFFF)).astype("<u2")
-    counts = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(block[first]), counts], ["block", "counted"])
+    per = np.bincount((taken >> np.uint32(16)).astype(np.int64), minlength=2 * blocks).astype("<u4")
+    low, at = (taken & np.uint32(0xFFFF)).astype("<u2"), edges(blocks)
+    ends = np.concatenate([[0], np.cumsum(per, dtype=np.int64)])[at]
+    counted = [per[a:b].tobytes() + low[i:j].tobytes() for a, b, i, j in zip(at[:-1].tolist(), at[1:].tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(counted), dtype=np.int32)), pa.array(counted, pa.binary())], ["range", "counted"])
+
+
+def read_slots(counted: bytes | memoryview, n: int) -> np.ndarray:
+    """The slots of a range of n blocks, from its first one, as ``count_slots`` wrote them."""
+    per, low = np.frombuffer(counted, "<u4", n), np.frombuffer(counted, "<u2", offset=4 * n)
+    return np.repeat(np.arange(n, dtype=np.int64) * SLOTS, per) + low
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up sketches, each block saturating at 2, and gives the slots counted more than once as bits."""
+def merge(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """Adds up chunks' sketches, each slot saturating at 2, and gives the slots counted more than once as bits."""
     sums: dict[int, np.ndarray] = {}
+    size = np.diff(edges(blocks)).tolist()
     for batch in batches:
-        for block, counted in zip(batch.column("block").to_pylist(), batch.column("counted"), strict=True):
-            own = sums.get(block)
-            if own is None:
-                own = sums[block] = np.zeros(SLOTS, np.uint8)
-            at = np.frombuffer(counted.as_buffer(), "<u2")
+        for r, counted in zip(batch.column("range").to_pylist(), batch.column("counted"), strict=True):
+            own = sums.setdefault(r, np.zeros(0, np.uint8))
+            if not len(own):
+                own = sums[r] = np.zeros(size[r] * SLOTS, np.uint8)
+            at = read_slots(counted.as_buffer(), size[r])
             again = np.append(False, at[1:] == at[:-1])
             for x in (at[~again], at[again]):
                 own[x] = np.minimum(own[x] + 1, 2)
-    for block, own in sums.items():
-        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "repeated": pa.array([np.packbits(own > 1, bitorder="little").tobytes()], pa.binary())})
+    for r, own in sums.items():
+        yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "repeated": pa.array([np.packbits(own > 1, bitorder="little").tobytes()], pa.binary())})
     release()
 
 
@@ -103,14 +117,13 @@ def sketch(docs: DataFrame, text: str, window: int, most_bits: int) -> np.ndarra
             h, rows = words(batch.column(text), CASED)
             g = rolling(h, window, _BASES[0])
             if len(g):
-                yield count_slots(np.concatenate(slots(g[window_starts(rows, window)], blocks)))
+                yield count_slots(np.concatenate(slots(g[window_starts(rows, window)], blocks)), blocks)
         release()
 
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * blocks // 512 + 1)
-    merged = docs.select(text).mapInArrow(count, "block int, counted binary").repartition(tasks, "block").mapInArrow(_merge, "block int, repeated binary")
-    bits = np.zeros(2 * blocks * SLOTS // 8, np.uint8)
+    merged = docs.select(text).mapInArrow(count, "range int, counted binary").repartition("range").mapInArrow(lambda x: merge(x, blocks), "range int, repeated binary")
+    bits, at = np.zeros(2 * blocks * SLOTS // 8, np.uint8), edges(blocks) * (SLOTS // 8)
     for r in merged.collect():  # bounded by most_bits
-        bits[r.block * (SLOTS // 8) : (r.block + 1) * (SLOTS // 8)] = np.frombuffer(r.repeated, np.uint8)
+        bits[at[r.range] : at[r.range + 1]] = np.frombuffer(r.repeated, np.uint8)
     return bits
 
 

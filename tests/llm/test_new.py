@@ -76,14 +76,17 @@ def test_sketch_overestimates():
     r = np.random.default_rng(3)
     windows = r.integers(0, 1 << 62, 3000).astype(np.uint64)
     taken = np.concatenate([windows, windows[:500], windows[:100]])
-    blocks = 1
-    sums = np.zeros(2 * blocks * substring_dedup.SLOTS, int)
+    blocks = 3
+    at = substring_dedup.edges(blocks)
+    sums, parts = np.zeros(2 * blocks * substring_dedup.SLOTS, int), []
     for part in np.array_split(taken, 7):
-        batch = substring_dedup.count_slots(np.concatenate(substring_dedup.slots(part, blocks)))
-        for block, counted in zip(batch.column("block").to_pylist(), batch.column("counted").to_pylist(), strict=True):
-            at = np.frombuffer(counted, "<u2")
-            assert (np.diff(at.astype(int)) >= 0).all()
-            np.add.at(sums, block * substring_dedup.SLOTS + at.astype(int), 1)
+        parts.append(substring_dedup.count_slots(np.concatenate(substring_dedup.slots(part, blocks)), blocks))
+        for r, counted in zip(parts[-1].column("range").to_pylist(), parts[-1].column("counted").to_pylist(), strict=True):
+            own = substring_dedup.read_slots(counted, int(at[r + 1] - at[r]))
+            assert (np.diff(own) >= 0).all()
+            np.add.at(sums, at[r] * substring_dedup.SLOTS + own, 1)
+    for r, bits in ((x["range"], x["repeated"]) for y in substring_dedup.merge(iter(parts), blocks) for x in y.to_pylist()):
+        assert (np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little") == (sums[at[r] * substring_dedup.SLOTS : at[r + 1] * substring_dedup.SLOTS] > 1)).all()
     a, b = substring_dedup.slots(windows, blocks)
     repeated = np.minimum(sums[a], sums[b]) > 1
     assert repeated[:500].all()
