@@ -98,7 +98,8 @@ def merge(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordB
             if not len(own):
                 own = sums[r] = np.zeros(size[r] * SLOTS, np.uint8)
             at = read_slots(counted.as_buffer(), size[r])
-            again = np.append(False, at[1:] == at[:-1])
+            again = np.zeros(len(at), bool)
+            again[1:] = at[1:] == at[:-1]
             for x in (at[~again], at[again]):
                 own[x] = np.minimum(own[x] + 1, 2)
     for r, own in sums.items():
