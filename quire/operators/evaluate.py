@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
+from quire.operators.records import delta_text
 
 
 def compare_blocks(actual: DataFrame, expected: DataFrame, key: str, tolerance: int = 15, details: int = 20, errors: DataFrame | None = None) -> DataFrame:
@@ -116,7 +117,7 @@ def baseline_delta(now: DataFrame, before: DataFrame, key: str, score: str = "sc
     """Adds the delta to the baseline (null without one), its direction and its text."""
     d = now.join(before.select(key, F.col(score).alias("before")), key, "left").withColumn("delta", F.col(score) - F.col("before"))
     kind = F.when(F.col("delta").isNull(), "new").when(F.col("delta") < -least, "regression").when(F.col("delta") > least, "improvement").otherwise("same")
-    return d.withColumns({"change": kind, "delta_text": F.format_string("%+.4f", "delta")})
+    return d.withColumns({"change": kind, "delta_text": delta_text(F.col("delta"))})
 
 
 def focus(rows: DataFrame, key: str, score: str = "score", low: float = 0.9, drop: float = -0.001, least: int = 3) -> DataFrame:
@@ -146,19 +147,3 @@ def final_dimension(parity: Column, result: Column, reference: Column, dead: flo
     """Parity, moved by a quarter of how far result and reference differ from the golden text, unless that is small."""
     d = 0.25 * (result - reference)
     return parity + F.when(F.abs(d) < dead, 0.0).otherwise(d)
-
-
-def as_int(v: Column) -> Column:
-    """Whole numbers from text: 3 and 3.0, not 3.5, true or anything else."""
-    d = v.try_cast("double")
-    return F.when(d == F.floor(d), d.try_cast("long"))
-
-
-def as_bool(v: Column) -> Column:
-    s = F.lower(text.trim(v))
-    return F.when(s.isin("1", "true", "yes", "on"), True).when(s.isin("0", "false", "no", "off"), False)
-
-
-def safe_name(v: Column) -> Column:
-    """Each character but letters, marks, digits, '-' and '_' becomes one '_'."""
-    return F.regexp_replace(v, F.lit(r"[^\p{L}\p{M}\p{N}_-]"), F.lit("_"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import labels, text
+from quire.functions.values import as_bool, bound, safe_name
 
 # Spellings of settings.
 BACKENDS = {"coreImageBicubic": ["coreimage", "core_image", "coreimagebicubic"], "deterministicBicubicCPU": ["deterministic", "deterministic_bicubic_cpu", "deterministicbicubiccpu"]}
@@ -54,7 +55,7 @@ def ignored(path: Column, prefixes: list[str]) -> Column:
 
 def image_policy(backend: Column, quality: Column, align: Column, dtype: Column, preferred: Column, vision: Column, default_backend: str = "coreImageBicubic", default_dtype: str = "bfloat16") -> Column:
     """struct(backend, quality, align, dtype): a setting beats the preference, which beats the default; a dtype that is set ends alignment."""
-    explicit, wanted = _spelled(dtype, DTYPES), F.coalesce(as_flag(align), F.lit(True))
+    explicit, wanted = _spelled(dtype, DTYPES), F.coalesce(as_bool(align), F.lit(True))
     return F.struct(
         F.coalesce(_spelled(backend, BACKENDS), preferred, F.lit(default_backend)).alias("backend"),
         quality.try_cast("double").alias("quality"),
@@ -63,11 +64,6 @@ def image_policy(backend: Column, quality: Column, align: Column, dtype: Column,
     )
 
 
-def as_flag(raw: Column) -> Column:
-    value = F.lower(text.trim(raw))
-    return F.when(value.isin("1", "true", "yes", "on"), True).when(value.isin("0", "false", "no", "off"), False)
-
-
 def target_size(w: Column, h: Column, shortest: int, longest: int | None = None) -> Column:
     """struct(w, h): the shorter side becomes ``shortest``, unless the longer one then exceeds ``longest``; at least 1."""
     w, h = F.greatest(w, F.lit(1)).cast("double"), F.greatest(h, F.lit(1)).cast("double")
@@ -85,12 +81,43 @@ def markdown_images(markdown: Column) -> Column:
     return F.regexp_extract_all(markdown, F.lit(r"!\[Image[^\]]*\]\(([^)]+)\)"), F.lit(1))
 
 
+def decimals(x: Column, places: int = 4) -> Column:
+    """A double with ``places`` decimals, rounding its exact binary value, ties to even (Java's formatter rounds the shortest decimal half up).
+
+    Exact below 2e11 for four places; larger values go through the formatter. nan, inf and the sign of -0.0 are kept.
+    """
+    power = float(10**places)
+
+    def rounded(p: Column) -> Column:
+        """The whole number nearest to a product and its error."""
+        whole = F.floor(p["v"]).cast("double")
+        over = p["v"] - whole - 0.5  # exact, and a multiple of the product's last bit: the error decides only at zero
+        up = (over > 0) | ((over == 0) & ((p["error"] > 0) | ((p["error"] == 0) & (whole % 2 == 1))))
+        return (whole + up.cast("double")).cast("long")
+
+    def product(h: Column) -> Column:
+        """a * power as the unevaluated sum of a rounded product and its error."""
+        v = h["a"] * power
+        return F.struct(v.alias("v"), ((h["high"] * power - v) + (h["a"] - h["high"]) * power).alias("error"))
+
+    def shown(v: Column) -> Column:
+        a = F.abs(v)
+        split = a * 134217729.0
+        halves = F.struct(a.alias("a"), (split - (split - a)).alias("high"))  # the upper half of a's bits
+        sign = F.when((v < 0) | (v.cast("string") == "-0.0"), "-").otherwise("")
+        digits = bound(bound(bound(halves, product), rounded), lambda n: F.concat(((n - n % 10**places) / 10**places).cast("long").cast("string"), F.lit("."), F.lpad((n % 10**places).cast("string"), places, "0")))
+        odd = F.when(F.isnan(v), "nan").when(a == float("inf"), F.concat(sign, F.lit("inf")))
+        return F.coalesce(odd, F.when(a * power < 2.0**51, F.concat(sign, digits)), F.when(v.isNotNull(), F.format_string(f"%.{places}f", v)))
+
+    return bound(x, shown)
+
+
 def score_text(score: Column) -> Column:
-    return F.when(score.isNull(), "None").otherwise(F.format_string("%.4f", score))
+    return F.coalesce(decimals(score.cast("double")), F.lit("None"))
 
 
 def delta_text(delta: Column) -> Column:
-    return F.when(delta.isNull(), "").otherwise(F.format_string("%+.4f", delta))
+    return F.coalesce(bound(delta.cast("double"), lambda d: F.concat(F.when((d >= 0) & ~F.isnan(d), "+").otherwise(""), decimals(d))), F.lit(""))
 
 
 def fails(lane: Column, markdown: Column, images: Column, json: Column, fail_on: list[str]) -> Column:
@@ -131,9 +158,8 @@ def lowest(rows: DataFrame, key: str, score: str, n: int, order: list[str]) -> D
 
 def manifest(regions: DataFrame, backends: list[str]) -> DataFrame:
     """(doc_id, page_index, entries): for each region in order, and each backend, the name of its preprocessed picture."""
-    safe = F.regexp_replace("native_label", r"[^\p{L}\p{M}\p{N}_-]", "_")
     each = regions.withColumn("backend", F.explode(F.array(*[F.lit(b) for b in backends])))
-    entry = F.struct("idx", "backend", F.format_string("region_%03d_%s_%s.png", F.col("idx"), safe, F.col("backend")).alias("file"))
+    entry = F.struct("idx", "backend", F.format_string("region_%03d_%s_%s.png", F.col("idx"), safe_name(F.col("native_label")), F.col("backend")).alias("file"))
     return each.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
 
 

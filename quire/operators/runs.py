@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text
+from quire.functions.values import bound, number
 from quire.operators.records import score_text
 
 # The bound below which a score is reported, that of a text pair, and the hints.
@@ -21,13 +22,16 @@ HINTS = {
 }
 STYLES = ["center_wrappers", "bold_markers", "heading_levels", "code_languages"]
 _SIDE = ", ".join(f"{s}: string" for s in STYLES)
+# Maps hold variants and arrays the JSON of their elements, so one odd value is skipped and the others stay.
 REPORT = (
     "parity struct<available: boolean, missing_reason: string, details: struct<"
-    f"style: struct<actual: struct<{_SIDE}>, expected: struct<{_SIDE}>>, json: struct<available: boolean, components: map<string, double>>, "
-    "tables: struct<tables: array<struct<index: string, score: double>>>, block_shape: double, "
-    "text: struct<blocks: array<struct<index: string, status: string, score: double, actual_kind: string, expected_kind: string>>>>>, "
-    "final_dimensions map<string, double>, rules array<struct<status: string, check_id: string, check_type: string, message: string>>"
+    f"style: struct<actual: struct<{_SIDE}>, expected: struct<{_SIDE}>>, json: struct<available: boolean, components: map<string, variant>>, "
+    "tables: struct<tables: array<string>>, block_shape: variant, text: struct<blocks: array<string>>>>, "
+    "final_dimensions map<string, variant>, rules array<string>"
 )
+TABLE = "index string, score variant"
+BLOCK = "index string, status string, score variant, actual_kind string, expected_kind string"
+RULE = "status string, check_id string, check_type string, message string"
 SUPPORTED = ("pdf", "png", "jpg", "jpeg")
 
 
@@ -128,46 +132,60 @@ def needs_refresh(current: Column, stored: Column, complete: Column, forced: Col
 def signals(report: Column) -> Column:
     """array<string>: what stands out in a document's JSON report, and where to look.
 
-    Style values that are lists or objects are shown as JSON.
+    Style values that are lists or objects are shown as JSON. Scores that aren't numbers and list
+    elements that aren't objects are skipped one by one.
     """
-    r = F.from_json(report, REPORT)
+    return bound(F.from_json(report, REPORT), _lines)
+
+
+def _lines(r: Column) -> Column:
     parity, d = r["parity"], r["parity"]["details"]
+    shown_score = lambda v: bound(v, score_text)
+    shown = lambda c: F.coalesce(c, F.lit("None"))
     joined = lambda items, n=5: F.array_join(F.slice(items, 1, n), ", ")
-    some = lambda items: F.coalesce(F.size(items) > 0, F.lit(False))
-    named = lambda m: F.transform(F.filter(F.map_entries(m), lambda e: e["value"].isNotNull()), lambda e, i: F.struct(e["value"].alias("v"), i.alias("i"), e["key"].alias("k")))
+    named = lambda m: F.filter(F.transform(F.map_entries(m), lambda e, i: F.struct(number(e["value"]).alias("v"), i.alias("i"), e["key"].alias("k"))), lambda e: e["v"].isNotNull())
+    objects = lambda items, schema: F.transform(F.filter(items, lambda x: F.startswith(F.ltrim(x), F.lit("{"))), lambda x: F.from_json(x, schema))
 
-    low = F.array_min(named(r["final_dimensions"]))
-    lines = [F.when(low.isNotNull(), F.concat(F.lit("- lowest dimension: `"), low["k"], F.lit("` = "), score_text(low["v"])))]
+    def listed(title: str, items: Column, text_of: Callable[[Column], Column]) -> Column:
+        """A line with the first five items, null if there are none."""
+        return bound(items, lambda x: F.when(F.size(x) > 0, F.concat(F.lit(title), joined(F.transform(F.slice(x, 1, 5), text_of)))))
 
+    low = bound(F.array_min(named(r["final_dimensions"])), lambda e: F.when(e.isNotNull(), F.concat(F.lit("- lowest dimension: `"), e["k"], F.lit("` = "), shown_score(e["v"]))))
     sides = [(s, d["style"]["actual"][s], d["style"]["expected"][s]) for s in STYLES]
-    lines += [F.when(a != e, F.concat(F.lit(f"- style.{s}: actual="), a, F.lit(", expected="), e)) for s, a, e in sides]
-    style = reduce(lambda x, y: x | y, [F.coalesce(a != e, F.lit(False)) for _, a, e in sides])
+    style = [F.when(a != e, F.concat(F.lit(f"- style.{s}: actual="), a, F.lit(", expected="), e)) for s, a, e in sides]
 
-    parts = F.when(d["json"]["available"], F.array_sort(F.filter(named(d["json"]["components"]), lambda e: e["v"] < LOW)))
-    lines.append(F.when(some(parts), F.concat(F.lit("- json components < 0.98: "), joined(F.transform(parts, lambda e: F.concat(e["k"], F.lit("="), score_text(e["v"])))))))
+    components = F.when(d["json"]["available"], F.array_sort(F.filter(named(d["json"]["components"]), lambda e: e["v"] < LOW)))
+    json = listed("- json components < 0.98: ", components, lambda e: F.concat(e["k"], F.lit("="), shown_score(e["v"])))
 
-    tables = F.filter(d["tables"]["tables"], lambda t: t["score"] < LOW)
-    lines.append(F.when(some(tables), F.concat(F.lit("- tables < 0.98: "), joined(F.transform(tables, lambda t: F.concat(F.lit("#"), F.coalesce(t["index"], F.lit("None")), F.lit("="), score_text(t["score"])))))))
-    lines.append(F.when(d["block_shape"] < LOW, F.concat(F.lit("- block_shape: "), score_text(d["block_shape"]))))
+    scores = F.transform(objects(d["tables"]["tables"], TABLE), lambda t: F.struct(t["index"].alias("index"), number(t["score"]).alias("score")))
+    tables = listed("- tables < 0.98: ", F.filter(scores, lambda t: t["score"] < LOW), lambda t: F.concat(F.lit("#"), shown(t["index"]), F.lit("="), shown_score(t["score"])))
+    shape = bound(number(d["block_shape"]), lambda v: F.when(v < LOW, F.concat(F.lit("- block_shape: "), shown_score(v))))
 
-    shown = lambda c: F.coalesce(c, F.lit("None"))
     status = lambda b: F.when(F.coalesce(b["status"], F.lit("")) == "", "unknown").otherwise(b["status"])
-    blocks = F.filter(d["text"]["blocks"], lambda b: b.isNotNull())
-    states = F.transform(blocks, status)
-    counted = F.transform(F.array_sort(F.array_distinct(states)), lambda s: F.concat(s, F.lit("="), F.size(F.filter(states, lambda x: x == s)).cast("string")))
-    lines.append(F.when(some(blocks), F.concat(F.lit("- text blocks: "), F.array_join(counted, ", "))))
-    scored = F.transform(blocks, lambda b, i: F.struct(F.coalesce(b["score"], F.lit(0.0)).alias("v"), i.alias("i"), status(b).alias("s"), b.alias("b")))
-    pairs = F.array_sort(F.transform(F.filter(scored, lambda p: (p["s"] != "paired") | (p["v"] < LOW_PAIR)), lambda p: F.struct(p["v"].alias("v"), p["i"].alias("i"), F.concat(F.lit("(idx="), shown(p["b"]["index"]), F.lit(", status="), shown(p["b"]["status"]), F.lit(", actual="), shown(p["b"]["actual_kind"]), F.lit(", expected="), shown(p["b"]["expected_kind"]), F.lit(", score="), score_text(p["v"]), F.lit(")")).alias("t"))))
-    lines.append(F.when(some(pairs), F.concat(F.lit("- lowest text pairs: "), joined(F.transform(pairs, lambda p: p["t"])))))
-
-    failed = F.filter(r["rules"], lambda x: x["status"].isin("fail", "error"))
-    head = F.get(failed, F.lit(0))
-    lines.append(F.when(some(failed), F.concat(F.lit("- rules failed: "), F.size(failed).cast("string"), F.lit(" (first: "), shown(head["check_id"]), F.lit(" / "), shown(head["check_type"]), F.lit(" / "), shown(head["message"]), F.lit(")"))))
-
-    told = {"style": style, "json": some(parts), "blocks": F.coalesce(d["block_shape"] < LOW, F.lit(False)) | some(pairs), "tables": some(tables), "rules": some(failed)}
-    hints = F.array_compact(F.array(*[F.when(told[k], F.lit(v)) for k, v in HINTS.items()]))
-    lines.append(F.when(F.size(hints) > 0, F.concat(F.lit("- fix_hints: "), F.array_join(hints, ", "))))
 
+    def of_blocks(blocks: Column) -> Column:
+        """Two lines: how many blocks have each status, and the pairs of lowest score."""
+        states = F.transform(blocks, status)
+        counts = F.transform(F.array_sort(F.array_distinct(states)), lambda s: F.concat(s, F.lit("="), F.size(F.filter(states, lambda x: x == s)).cast("string")))
+        scored = F.transform(blocks, lambda b, i: F.struct(F.coalesce(number(b["score"]), F.lit(0.0)).alias("v"), i.alias("i"), status(b).alias("s"), b["index"].alias("index"), b["status"].alias("status"), b["actual_kind"].alias("a"), b["expected_kind"].alias("e")))
+        pairs = F.array_sort(F.filter(scored, lambda p: (p["s"] != "paired") | (p["v"] < LOW_PAIR)))
+        text_of = lambda p: F.concat(F.lit("(idx="), shown(p["index"]), F.lit(", status="), shown(p["status"]), F.lit(", actual="), shown(p["a"]), F.lit(", expected="), shown(p["e"]), F.lit(", score="), shown_score(p["v"]), F.lit(")"))
+        return F.array(F.when(F.size(blocks) > 0, F.concat(F.lit("- text blocks: "), F.array_join(counts, ", "))), listed("- lowest text pairs: ", pairs, text_of))
+
+    blocks = bound(objects(d["text"]["blocks"], BLOCK), of_blocks)
+
+    failed = F.filter(objects(r["rules"], RULE), lambda x: x["status"].isin("fail", "error"))
+    first = lambda x: F.concat(shown(x["check_id"]), F.lit(" / "), shown(x["check_type"]), F.lit(" / "), shown(x["message"]))
+    rules = bound(failed, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("- rules failed: "), F.size(x).cast("string"), F.lit(" (first: "), first(F.get(x, F.lit(0))), F.lit(")"))))
+
+    def hinted(x: Column) -> Column:
+        """The lines with one of hints at the end; x has the lines by topic."""
+        told = {"style": F.exists(x["style"], lambda s: s.isNotNull()), "json": x["json"].isNotNull(), "blocks": x["shape"].isNotNull() | F.get(x["blocks"], F.lit(1)).isNotNull(), "tables": x["tables"].isNotNull(), "rules": x["rules"].isNotNull()}
+        hints = F.array_compact(F.array(*[F.when(told[k], F.lit(v)) for k, v in HINTS.items()]))
+        last = F.array(F.when(F.size(hints) > 0, F.concat(F.lit("- fix_hints: "), F.array_join(hints, ", "))))
+        return F.array_compact(F.concat(F.array(x["low"]), x["style"], F.array(x["json"], x["tables"], x["shape"]), F.coalesce(x["blocks"], F.array().cast("array<string>")), F.array(x["rules"]), last))
+
+    lines = F.struct(low.alias("low"), F.array(*style).alias("style"), json.alias("json"), tables.alias("tables"), shape.alias("shape"), blocks.alias("blocks"), rules.alias("rules"))
     reason = F.when(F.coalesce(parity["missing_reason"], F.lit("")) == "", "missing parity score").otherwise(parity["missing_reason"])
     without = F.array(F.concat(F.lit("- parity: unavailable ("), reason, F.lit(")")))
-    return F.when(F.coalesce(parity["available"], F.lit(False)), F.array_compact(F.array(*lines))).otherwise(without)
+    return F.when(F.coalesce(parity["available"], F.lit(False)), bound(lines, hinted)).otherwise(without)

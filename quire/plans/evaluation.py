@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import values as V
 from quire.operators import evaluate as E
 from quire.operators import formatting as O
 from quire.sources import derived as S
@@ -76,11 +77,12 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DELTA = f"WITH n AS (SELECT c_custkey, {_SC}::DOUBLE AS score, CASE WHEN c_custkey % 13 <> 0 THEN {_BF}::DOUBLE END AS before FROM customer), d AS (SELECT *, score - before AS delta FROM n) SELECT c_custkey, score, before, delta, CASE WHEN delta IS NULL THEN 'new' WHEN delta < -0.001::DOUBLE THEN 'regression' WHEN delta > 0.001::DOUBLE THEN 'improvement' ELSE 'same' END AS change FROM d"
+_DELTA_TEXT = f"SELECT *, coalesce(printf('%+.4f', delta), '') AS delta_text FROM ({_DELTA})"
 
 
-@query(_DELTA)
+@query(_DELTA_TEXT)
 def eval_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir).drop("delta_text")
+    return _runs(spark, sf_dir)
 
 
 @query(f"SELECT change, count(*) AS n, round(avg(score), 4) AS mean, round(min(delta), 4) AS worst FROM ({_DELTA}) GROUP BY 1")
@@ -147,7 +149,7 @@ _RAW = "CASE event_id % 6 WHEN 0 THEN CAST(event_id AS VARCHAR(20)) WHEN 1 THEN
 @query(f"SELECT event_id, CASE WHEN TRY_CAST(r AS DOUBLE) = floor(TRY_CAST(r AS DOUBLE)) THEN TRY_CAST(TRY_CAST(r AS DOUBLE) AS BIGINT) END AS as_int, CASE WHEN lower(trim(r)) IN ('1', 'true', 'yes', 'on') THEN true WHEN lower(trim(r)) IN ('0', 'false', 'no', 'off') THEN false END AS as_bool, regexp_replace(r, '[^\\p{{L}}\\p{{M}}\\p{{N}}_-]', '_', 'g') AS name, lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') AS number FROM (SELECT event_id, event_type, {_RAW} AS r FROM events)")
 def scalar_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = S.table(spark, sf_dir, "events").withColumn("r", F.expr(_RAW.replace("VARCHAR(20)", "STRING")))
-    return e.select("event_id", E.as_int(F.col("r")).alias("as_int"), E.as_bool(F.col("r")).alias("as_bool"), E.safe_name(F.col("r")).alias("name"), F.format_string("%03d", F.col("event_id") % 1000).alias("number"))
+    return e.select("event_id", V.as_int(F.col("r")).alias("as_int"), V.as_bool(F.col("r")).alias("as_bool"), V.safe_name(F.col("r")).alias("name"), F.format_string("%03d", F.col("event_id") % 1000).alias("number"))
 
 
 @query(None)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import values
 from quire.operators import evaluate, pages
 
 SCHEMA = "doc string, page int, pos int, index double, label string, content string, bbox array<double>"
@@ -57,7 +58,7 @@ def test_details_end_the_comparison(spark):
 
 
 def test_names_and_pages(spark):
-    got = spark.createDataFrame([("a..b c",), ("été-1_x",)], "v string").select(evaluate.safe_name(F.col("v")).alias("v")).collect()
+    got = spark.createDataFrame([("a..b c",), ("été-1_x",)], "v string").select(values.safe_name(F.col("v")).alias("v")).collect()
     assert [r.v for r in got] == ["a__b_c", "été-1_x"]
     assert pages.parse_pages("all, ALL") is None
     with pytest.raises(pages.PagesError):

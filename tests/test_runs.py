@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from quire.operators import runs as R
+from quire.operators.records import delta_text, score_text
 
 
 def _one(spark, column):
@@ -40,6 +41,28 @@ def test_signals_without_scores(spark):
     assert _one(spark, R.signals(F.lit('{"parity": {"available": true}}'))) == []
 
 
+def test_signals_skip_single_values(spark):
+    def lines(**report):
+        details = report.pop("details", {})
+        return _one(spark, R.signals(F.lit(json.dumps({"parity": {"available": True, "details": details}} | report))))
+
+    assert lines(final_dimensions={"a": "x", "b": 0.5, "c": "0.1", "d": None, "e": True}) == ["- lowest dimension: `b` = 0.5000"]
+    assert lines(details={"json": {"available": True, "components": {"a": "bad", "order": 0.5, "off": False}}})[0] == "- json components < 0.98: off=0.0000, order=0.5000"
+    assert lines(details={"text": {"blocks": ["x", {"status": "paired", "score": "0.9"}, 3, None]}})[:2] == ["- text blocks: paired=1", "- lowest text pairs: (idx=None, status=paired, actual=None, expected=None, score=0.0000)"]
+    assert lines(details={"tables": {"tables": ["x", {"index": 1, "score": 0.5}, {"index": 2, "score": "low"}]}, "block_shape": "flat"})[0] == "- tables < 0.98: #1=0.5000"
+    assert lines(rules=["fail", {"status": "fail", "check_id": "a"}])[0] == "- rules failed: 1 (first: a / None / None)"
+    assert lines(final_dimensions=[1], details={"json": {"available": True, "components": [1]}, "tables": 3, "text": {"blocks": "x"}}) == []
+
+
+def test_exact_rounding(spark):
+    values = [0.98995, 0.55555, 0.00015, 0.00025, 1 / 32, 3 / 32, -1 / 32, -0.00001, 0.0, -0.0, 0.99995, 123456.78905, -2.5, 1e-300, 7.00005, 199999999999.12345, float("nan"), float("inf"), float("-inf"), None]
+    values += [k * 1e-5 + 5e-6 for k in range(-300, 300)] + [i / 2**j for i in (1, 3, 5, 77) for j in range(30)]
+    t = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = t.select("i", score_text(F.col("v")).alias("s"), delta_text(F.col("v")).alias("d")).orderBy("i").collect()
+    assert [r.s for r in got] == ["None" if v is None else f"{v:.4f}" for v in values]
+    assert [r.d for r in got] == ["" if v is None else ("+" if v >= 0 else "") + f"{v:.4f}" for v in values]
+
+
 def test_inputs(spark):
     rows = [("file:///a.pdf", 1, False), ("http://a", 1, False), ("file:///a", 0, None), ("file:///a", 1, None), ("file:///a", 1, True)]
     t = spark.createDataFrame(rows, "uri string, page int, d boolean")
