@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import labels
-from quire.functions.geometry import clamp, contained, iou_reaches, unclip, valid
+from quire.functions.geometry import clamp, iou_reaches, unclip, valid
+from quire.operators import pagearrays as P
 
 
 def route_labels(det: DataFrame) -> DataFrame:
@@ -58,33 +59,14 @@ def drop_large_images(det: DataFrame, width: Column, height: Column, key: str =
 
 
 def containment(det: DataFrame, mode: str | None = None, key: str = "page_id") -> DataFrame:
-    """Adds contains_other and contained_by_other, or by class the removals, and drops boxes accordingly.
+    """Drops boxes that contain others or lie in others; pages are gathered, so this is one exchange.
 
-    mode ``large`` keeps containers, ``small`` contents, ``union`` all; None applies each
-    class's own mode. All pairs are judged on the same snapshot, so two boxes that contain
+    mode ``large`` keeps containers, ``small`` contents, ``union`` all; None applies each class's
+    own mode. All pairs are judged on the same snapshot, so two boxes that contain
     each other both go in mode large. Image, seal and chart boxes are never removed as contained.
     """
-    if mode == "union":
-        return det
-    small_class = F.lit(labels.SMALL_CLASS)
-    keep = F.array(*[F.lit(labels.CLASSES.index(x)) for x in labels.PRESERVED])
-    pairs = det.select(key, F.col("det_idx").alias("i"), F.col("class_id").alias("ci"), F.col("bbox").alias("bi")).join(
-        det.select(key, F.col("det_idx").alias("j"), F.col("class_id").alias("cj"), F.col("bbox").alias("bj")), key
-    )
-    hit = pairs.where((F.col("i") != F.col("j")) & ~F.array_contains(keep, F.col("ci")) & contained(F.col("bi"), F.col("bj")))
-    if mode:
-        inner = hit.select(key, F.col("i").alias("det_idx"), F.lit(True).alias("inside"), F.lit(False).alias("holds"))
-        outer = hit.select(key, F.col("j").alias("det_idx"), F.lit(False).alias("inside"), F.lit(True).alias("holds"))
-        flags = inner.unionByName(outer).groupBy(key, "det_idx").agg(F.bool_or("inside").alias("inside"), F.bool_or("holds").alias("holds"))
-        gone = F.col("inside") if mode == "large" else F.col("holds") & ~F.col("inside")
-        return det.join(flags.where(gone).select(key, "det_idx"), [key, "det_idx"], "left_anti")
-    known = F.col("cj").between(0, len(labels.CLASSES) - 1)
-    large = hit.where(known & (F.col("cj") != small_class)).select(key, F.col("i").alias("det_idx"))
-    by_small = hit.where(F.col("ci") == small_class)
-    holds = by_small.select(key, F.col("j").alias("det_idx")).distinct()
-    inside = by_small.select(key, F.col("i").alias("det_idx")).distinct()
-    gone = large.unionByName(holds.join(inside, [key, "det_idx"], "left_anti")).distinct()
-    return det.join(gone, [key, "det_idx"], "left_anti")
+    pages = P.gathered(det, key)
+    return P.spread(pages.withColumn("dets", P.uncontained(F.col("dets"), mode)), key).select(det.columns)
 
 
 def reading_order(det: DataFrame, key: str = "page_id") -> DataFrame:
@@ -105,10 +87,12 @@ def drop_abandoned(det: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def postprocess(det: DataFrame, width: Column, height: Column) -> DataFrame:
-    """All steps in their fixed order, with the defaults of the layout stage."""
-    kept = drop_large_images(nms(drop_invalid(det)), width, height)
-    placed = reading_order(containment(kept)).withColumn("bbox", clamp(F.col("bbox")))
-    return drop_abandoned(route_labels(placed.where(valid(F.col("bbox")))))
+    """All steps in their fixed order, with the defaults of the layout stage, on one grouping by page."""
+    pages = P.gathered(drop_invalid(det).withColumn("polygon", F.lit(None).cast(P.POINTS)).withColumns({"_w": width, "_h": height}))
+    pages = pages.withColumns({"_w": F.get("dets", F.lit(0))["_w"], "_h": F.get("dets", F.lit(0))["_h"], "dets": P.suppressed(F.col("dets"))})
+    kept = P.uncontained(P.without_large_images(F.col("dets"), F.col("_w"), F.col("_h")))
+    regions = P.without_abandoned(P.emitted(P.in_order(kept)))
+    return P.spread(pages.select("page_id", regions.alias("dets")))
 
 
 def mask_tiny(det: DataFrame, mask_width: int, mask_height: int, score: str = "logit") -> DataFrame:
