@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import evaluation, formatting, layout, prompts, records, runs, tensors
+from quire.plans import evaluation, formatting, layout, prompts, records, runs, scoring, tensors
 
-MODULES = (layout, formatting, prompts, evaluation, records, runs, tensors)
+MODULES = (layout, formatting, prompts, evaluation, records, runs, scoring, tensors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
