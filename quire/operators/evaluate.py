@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.operators.records import delta_text
+from quire.operators.scoring import compare_texts
 
 
 def compare_blocks(actual: DataFrame, expected: DataFrame, key: str, tolerance: int = 15, details: int = 20, errors: DataFrame | None = None) -> DataFrame:
@@ -84,18 +82,9 @@ def compare_blocks(actual: DataFrame, expected: DataFrame, key: str, tolerance:
 
 
 def compare_markdown(actual: DataFrame, expected: DataFrame, key: str) -> DataFrame:
-    """(key, status, similarity): match, diff or missing, by normalised texts; similarity is the longest-matching-blocks ratio."""
-    both = expected.select(key, text.normalise(F.col("markdown")).alias("e")).join(actual.select(key, text.normalise(F.col("markdown")).alias("a")), key, "left")
-
-    @F.pandas_udf("double")
-    def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        from difflib import SequenceMatcher
-
-        for a, b in pairs:
-            yield pd.Series([None if x is None or y is None else 1.0 if x == y else SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b, strict=True)])
-
-    status = F.when(F.col("a").isNull(), "missing").when(F.col("a") == F.col("e"), "match").otherwise("diff")
-    return both.select(key, status.alias("status"), ratio("a", "e").alias("similarity"))
+    """(key, status, similarity) of the documents expected: match, diff or missing, by normalised texts; see ``scoring.compare_texts``."""
+    both = expected.select(key, F.col("markdown").alias("expected")).join(actual.select(key, F.col("markdown").alias("actual")), key, "left")
+    return compare_texts(both).select(key, "status", "similarity")
 
 
 def compare_images(expected: Column, actual: Column) -> Column:

@@ -124,7 +124,7 @@ def _mask_polygons(pages: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         out = []
         for p in page.itertuples(index=False):
             found = None
-            if p.masks is not None and p.wanted is not None and p.width and p.height:
+            if p.masks is not None and p.wanted is not None and p.width > 0 and p.height > 0:  # NaN: unknown
                 found = []
                 for mask, box, wanted in zip(p.masks, p.boxes, p.wanted, strict=True):
                     points = None

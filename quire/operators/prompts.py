@@ -56,21 +56,42 @@ def token_runs(tokens: DataFrame, key: str, kind: str) -> DataFrame:
     return runs.groupBy(key, "run", kind).agg(F.min("pos").alias("first"), F.count("*").alias("n"))
 
 
-def rope_positions(tokens: DataFrame, key: str) -> DataFrame:
-    """Adds p_t, p_h, p_w and delta from (key, pos, is_image, grid_w): a merged grid ``grid_w`` wide.
-
-    Text counts on; the tokens of the one image share a time and count their row and column;
-    text behind it goes on after the largest of its positions. delta is one more than the last
-    position less the length. A second run of image tokens is an error.
+def rope_positions(tokens: DataFrame, key: str, image_id: int, merge: int = 2, video_start: int | None = None, video_end: int | None = None, strict: bool = False) -> DataFrame:
+    """Adds p_t, p_h, p_w (time, row, column), delta and problem to (key, pos, token, grid_t, grid_h, grid_w).
+
+    The grid is the image's in patches, of which ``merge`` by ``merge`` make a token. Text counts on in
+    all three; the tokens of the one image count their time, row and column from where the text stood; text
+    behind goes on after the largest of these. delta is one more than the last position less the length.
+    Image tokens between the video marks are a video's. The first fault of a key is its ``problem``, and
+    then the rest is null, or with ``strict`` an error: no grid, a grid that isn't filled exactly, a second image,
+    a video. All windows share one partitioning by the key.
     """
-    runs = Window.partitionBy(key).orderBy("pos")
-    all_ = Window.partitionBy(key)
-    t = tokens.withColumn("_begin", (F.col("is_image") & ~F.coalesce(F.lag("is_image").over(runs), F.lit(False))).cast("int"))
-    t = t.withColumns({"_images": F.sum("_begin").over(all_), "_n": F.count_if("is_image").over(all_), "_s": F.min(F.when(F.col("is_image"), F.col("pos"))).over(all_), "_len": F.count("*").over(all_)})
-    one = F.when(F.col("_images") > 1, F.raise_error(F.lit("more than one image")).cast("int")).otherwise(F.col("grid_w").cast("int"))
-    k, w = F.col("pos") - F.col("_s"), one
-    span = F.greatest(F.ceil(F.col("_n") / w), w)
-    moved = F.when(F.col("_s").isNotNull() & (F.col("pos") >= F.col("_s") + F.col("_n")), F.col("pos") - F.col("_n") + span).otherwise(F.col("pos"))
-    at = lambda v: F.when(F.col("is_image"), F.col("_s") + v).otherwise(moved).cast("int")
-    delta = F.when(F.col("_s").isNull(), 0).otherwise(span - F.col("_n")).cast("int")
-    return t.select(*tokens.columns, at(F.lit(0)).alias("p_t"), at(F.floor(k / w)).alias("p_h"), at(k % w).alias("p_w"), delta.alias("delta"))
+    order, whole = Window.partitionBy(key).orderBy("pos"), Window.partitionBy(key)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    marks = [F.when(F.col("token") == m, F.lit(on)) for m, on in ((video_end, False), (video_start, True)) if m is not None]
+    in_video = F.coalesce(F.last(F.coalesce(*marks), ignorenulls=True).over(so_far), F.lit(False)) if marks else F.lit(False)
+    t = tokens.withColumn("_kind", F.when(F.col("token") != image_id, "text").when(in_video, "video").otherwise("image"))
+    t = t.withColumn("_new", ~F.coalesce(F.lag("_kind").over(order) == F.col("_kind"), F.lit(False)))
+    t = t.withColumn("_group", F.count_if(F.col("_new") & (F.col("_kind") == "image")).over(so_far))
+    begin = lambda test: F.min(F.when(F.col("_new") & test, F.col("pos").cast("long"))).over(whole)
+    image, in_first = F.col("_kind") == "image", (F.col("_kind") == "image") & (F.col("_group") == 1)
+    cell = lambda c, m=1: F.greatest(F.floor(F.col(c) / m), F.lit(1)).cast("int")
+    t = t.withColumns({"_s": begin(in_first), "_s2": begin(image & (F.col("_group") == 2)), "_v": begin(F.col("_kind") == "video"), "_n": F.count_if(in_first).over(whole)})
+    t = t.withColumns({"_t": cell("grid_t"), "_h": cell("grid_h", merge), "_w": cell("grid_w", merge)})
+    cells, span = F.col("_t") * F.col("_h") * F.col("_w"), F.greatest("_t", "_h", "_w")
+    fault = lambda test, pos, words: F.when(test, F.struct(pos.alias("pos"), words.alias("text")))
+    faults = [
+        fault(F.col("grid_t").isNull() | F.col("grid_h").isNull() | F.col("grid_w").isNull(), F.lit(-1).cast("long"), F.lit("no image grid")),
+        fault(F.col("_s").isNotNull() & (F.col("_n") != cells), F.col("_s"), F.concat(F.lit("image tokens differ: expected "), cells.cast("string"), F.lit(", found "), F.col("_n").cast("string"))),
+        fault(F.col("_s2").isNotNull(), F.col("_s2"), F.lit("more than one image")),
+        fault(F.col("_v").isNotNull(), F.col("_v"), F.lit("video isn't supported")),
+    ]
+    t = t.withColumn("problem", F.array_min(F.array_compact(F.array(*faults)))["text"])
+    if strict:
+        t = t.withColumn("problem", F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast("string")))
+    k, fine = F.col("pos") - F.col("_s"), F.col("problem").isNull()
+    moved = F.when(F.col("pos") >= F.col("_s") + F.col("_n"), F.col("pos") - F.col("_n") + span).otherwise(F.col("pos"))
+    at = lambda v: F.when(fine, F.when(in_first, F.col("_s") + F.floor(v)).otherwise(moved)).cast("int")
+    delta = F.when(fine, F.when(F.col("_s").isNull(), 0).otherwise(span - F.col("_n"))).cast("int")
+    places = {"p_t": k / (F.col("_h") * F.col("_w")), "p_h": k % (F.col("_h") * F.col("_w")) / F.col("_w"), "p_w": k % F.col("_w")}
+    return t.select(*tokens.columns, *[at(v).alias(a) for a, v in places.items()], delta.alias("delta"), "problem")
