@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,6 +86,17 @@ class _Index:
         return starts[starts + WINDOW <= row_end[starts]]
 
 
+_kept: dict[str, _Index] = {}
+
+
+def _index_of(name: str, shared) -> _Index:
+    """The index of a broadcast block, made once in each worker; a worker keeps the last one."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = _Index(shared.value)
+    return _kept[name]
+
+
 def _found(index: _Index, h: np.ndarray, rows: np.ndarray):
     """(row, first word, words, items) of all windows of the block that occur."""
     counts = np.diff(rows)
@@ -145,8 +157,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def _marker(shared, text: str, names: list[str], has_state: bool, last: bool):
+    block = uuid.uuid4().hex
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Index(shared.value)
+        index = _index_of(block, shared)
         for batch in slices(batches, text, 1 << 20):
             h, rows = words(batch.column(text), ALNUM)
             m = batch.num_rows

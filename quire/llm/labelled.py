@@ -24,8 +24,12 @@ def sample_ids(labels: DataFrame, label: str, most: int, id_col: str = "doc_id")
     return [(r[0], int(r[1])) for v in (0, 1) for r in known.where(F.col("y") == v).orderBy(*order).limit(most).collect()]
 
 
-def sample_rows(docs: DataFrame, ids: list[tuple[int, int]], columns: list, id_col: str = "doc_id") -> DataFrame:
-    """The sampled rows' columns and their label ``y``; one scan with a broadcast of the sampled ids."""
+def sample_rows(docs: DataFrame, ids: list[tuple[int, int]], columns: list, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The sampled rows' columns and their label ``y``; one scan with a broadcast of the sampled ids.
+
+    One row an id, that of the smallest text hash, so the sample is as many rows as ids, however often an id repeats.
+    """
     spark = docs.sparkSession
     small = spark.createDataFrame(ids, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, y int")
-    return docs.join(F.broadcast(small), id_col).select(id_col, "y", *columns)
+    found = docs.join(F.broadcast(small), id_col).select(id_col, "y", F.struct(*columns).alias("_row"), F.xxhash64(text).alias("_h"))
+    return found.groupBy(id_col, "y").agg(F.min_by("_row", "_h").alias("_row")).select(id_col, "y", "_row.*")

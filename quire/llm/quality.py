@@ -136,7 +136,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id
     stats = statistics(F.col(text))
     names = list(stats)
     known = sample_ids(labels, label, most, id_col)
-    rows = sample_rows(docs, known, [F.array(*stats.values()).alias("x")], id_col).collect() if known else []
+    rows = sample_rows(docs, known, [F.array(*stats.values()).alias("x")], id_col, text).collect() if known else []
     rows.sort(key=lambda r: (r[0], r.x))
     rules, weights, bias = rule_ensemble(np.array([r.x for r in rows]).reshape(-1, len(names)), np.array([r.y for r in rows], float))
     inner = docs.select(F.col(id_col).alias("id"), F.array(*stats.values()).alias("x"))

@@ -182,7 +182,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_
     model = None
     if known:
         # The bounded sample is fitted in one task, which keeps it out of the driver's memory.
-        sample = sample_rows(docs, known, [F.coalesce(F.col(text), F.lit("")).alias("t")], id_col).select(F.col(id_col).alias("i"), "y", "t", (F.col("y") * 0).alias("all"))
+        sample = sample_rows(docs, known, [F.coalesce(F.col(text), F.lit("")).alias("t")], id_col, text).select(F.col(id_col).alias("i"), "y", "t", (F.col("y") * 0).alias("all"))
         found = sample.groupBy("all").applyInPandas(_fit, "parts binary, bias double").first()
         model = found and (np.frombuffer(found.parts, np.float32), found.bias)
     model = model or train([], [])

@@ -105,9 +105,15 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_c
     verdict = F.when(F.lit(middle).isNull() | (F.coalesce(F.col("d") / F.col("n"), F.lit(0.0)) >= F.lit(middle if middle is not None else 0.0)), "allow").otherwise("block")
     if middle is None:
         verdict = F.lit("allow")
-    open_ = scores.where(F.col("set") == "?").select(F.col("host").alias("h"), F.col("path").alias("p"), "d", "n")
-    out = judged.join(open_, F.expr("rule is null and host = h and path = p"), "left")
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", verdict).alias("verdict"))
+    # Only URLs that no rule decides and that have symbols meet their scores: a URL without any has none to meet.
+    bare = F.lit("") == F.concat("host", "path")
+    scored = scores.where(F.col("set") == "?").select("host", "path", "d", "n")
+    free = judged.where(F.col("rule").isNull())
+    open_ = free.where(~bare).join(scored, ["host", "path"], "left").withColumn("verdict", verdict)
+    empty = free.where(bare).withColumns({"d": F.lit(None).cast("long"), "n": F.lit(None).cast("long")}).withColumn("verdict", verdict)
+    columns = ["id", "host", "path", "rule", "verdict"]
+    out = judged.where(F.col("rule").isNotNull()).select(columns).unionByName(open_.select(columns)).unionByName(empty.select(columns))
+    return out.withColumnRenamed("id", id_col)
 
 
 def _sql() -> str:
