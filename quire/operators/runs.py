@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import text
+from quire.functions import pdf, text
 from quire.functions.values import bound, number
 from quire.operators.records import score_text
 
@@ -86,9 +87,13 @@ def argument_problem(a: dict[str, Column]) -> Column:
 
 
 def pdf_pages(content: Column) -> Column:
-    """Page objects of a PDF's bytes, null for other files; pages inside compressed object streams aren't seen."""
-    raw = F.decode(content, "ISO-8859-1")
-    return F.when(F.startswith(raw, F.lit("%PDF-")), F.regexp_count(raw, F.lit(r"/Type\s*/Page(?![A-Za-z])")))
+    """The pages of a PDF's bytes by its page tree, in object streams too; null for other files and broken ones."""
+
+    def counted(files: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for raw in files:
+            yield pd.Series([pdf.page_count(None if x is None else bytes(x)) for x in raw], dtype="Int32")
+
+    return F.pandas_udf(counted, "int")(content)
 
 
 def lane_reports(names: DataFrame, key: str, markdown: DataFrame, images: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Inputs, arguments, freshness, page counts and signals, by literal cases."""
 
 import json
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -69,10 +70,49 @@ def test_inputs(spark):
     assert [r.p for r in t.select(R.input_problem(F.col("uri"), F.col("page"), F.col("d")).alias("p")).collect()] == [None, "invalid url", "invalid page", "not found", "directory"]
 
 
+def _plain_pdf(count, prefix=b""):
+    """A PDF with a plain cross-reference table."""
+    objects = [b"<</Type/Catalog/Pages 2 0 R/Names<</Pages 9>>/Note (a >> \\) b)>>", b"<</Kids[]/Parent<</Count 99>>/Type/Pages/Count %d>>" % count]
+    raw, at = b"%PDF-1.4\n" + prefix, []
+    for i, body in enumerate(objects):
+        at.append(len(raw))
+        raw += b"%d 0 obj\n%s\nendobj\n" % (i + 1, body)
+    table = b"xref\n0 3\n0000000000 65535 f \n" + b"".join(b"%010d 00000 n \n" % x for x in at)
+    return raw + table + b"trailer <</Size 3/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % len(raw)
+
+
+def _packed_pdf(count, predictor):
+    """A PDF whose catalog and page tree lie in an object stream, found through a cross-reference stream."""
+    bodies = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Count %d/Kids[]>>" % count]
+    head = b"1 0 2 %d " % len(bodies[0])
+    packed = zlib.compress(head + b"".join(bodies))
+    raw = b"%PDF-1.5\n"
+    holder = len(raw)
+    raw += b"3 0 obj\n<</Type/ObjStm/N 2/First %d/Filter/FlateDecode/Length %d>>\nstream\r\n" % (len(head), len(packed)) + packed + b"\nendstream\nendobj\n"
+    rows = [(0, 0, 0), (2, 3, 0), (2, 3, 1), (1, holder, 0), (1, len(raw), 0)]
+    table = [a.to_bytes(1, "big") + b.to_bytes(2, "big") + c.to_bytes(1, "big") for a, b, c in rows]
+    if predictor:
+        table = [b"\x02" + bytes((x - y) & 255 for x, y in zip(row, above, strict=True)) for row, above in zip(table, [bytes(4), *table], strict=False)]
+    data = zlib.compress(b"".join(table))
+    parms = b"/DecodeParms<</Predictor 12/Columns 4>>" if predictor else b""
+    start = len(raw)
+    return raw + b"4 0 obj\n<</Type/XRef/Size 5/W[1 2 1]/Root 1 0 R/Filter/FlateDecode%s/Length %d>>\nstream\n" % (parms, len(data)) + data + b"\nendstream\nendobj\nstartxref\n%d\n%%%%EOF" % start
+
+
+def _updated_pdf():
+    """A plain PDF whose page tree was replaced by an update behind it."""
+    raw = _plain_pdf(3, b"% /Type /Page /Type/Page\n")
+    before = int(raw.split()[-2])
+    at = len(raw)
+    raw += b"2 0 obj\n<</Type/Pages/Count 5>>\nendobj\n"
+    start = len(raw)
+    return raw + b"xref\n2 1\n%010d 00000 n \ntrailer <</Size 3/Root 1 0 R/Prev %d>>\nstartxref\n%d\n%%%%EOF" % (at, before, start)
+
+
 def test_pdf_pages(spark):
-    pdf = b"%PDF-1.4 <</Type /Pages /Count 2>> <</Type /Page>> <</Type/Page /X 1>>"
-    rows = spark.createDataFrame([(bytearray(pdf),), (bytearray(b"no"),), (None,)], "c binary")
-    assert [r.n for r in rows.select(R.pdf_pages(F.col("c")).alias("n")).collect()] == [2, None, None]
+    files = [_plain_pdf(2), _packed_pdf(7, False), _packed_pdf(300, True), _updated_pdf(), b"no", None, b"%PDF-1.4 broken startxref 3", _plain_pdf(2)[:-60], b""]
+    rows = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in enumerate(files)], "i int, c binary")
+    assert [r.n for r in rows.select("i", R.pdf_pages(F.col("c")).alias("n")).orderBy("i").collect()] == [2, 7, 300, 5, None, None, None, None, None]
 
 
 def test_names(spark):
