@@ -11,9 +11,12 @@ a bounded lossy count (at most ``64 * per_task`` pre-tokens and those of one sli
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,11 +27,48 @@ from pyspark.sql import DataFrame
 
 from .words import slices
 
-#: The pre-token pattern of byte-level BPE vocabularies of this kind, 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+,
-#: in the standard library's terms, which mean the same for the characters of PLAIN.
-PRE_TOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Latin texts; those with other characters, fractions or superscript digits go to the library whole.
-PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u20ac]*+")
+#: The pre-token pattern of byte-level BPE vocabularies of this kind.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _ranges(points: list[int]) -> str:
+    """Ascending code points as the inside of a character class."""
+    out, i = [], 0
+    while i < len(points):
+        j = i
+        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
+            j += 1
+        out.append(re.escape(chr(points[i])) + ("-" + re.escape(chr(points[j])) if j > i else ""))
+        i = j + 1
+    return "".join(out)
+
+
+@functools.cache
+def patterns() -> tuple[re.Pattern, re.Pattern]:
+    """PATTERN in the standard library's terms, and texts for which it means the same whatever the library's version of Unicode.
+
+    Letters and digits are classes of the basic plane by ``unicodedata``. A character is settled if it is a
+    letter, digit, space or anything else now as well as in Unicode 3.2 (where most emoji weren't assigned, which
+    is anything else too). Letters and digits that are newer, of other planes or unassigned aren't settled,
+    nor are the four separators that only Python takes for spaces.
+    """
+    white = {*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
+    sort = lambda x, kind: "S" if x in white else kind[0] if kind[0] in "LN" else "O"
+    letters, digits, settled = [], [], []
+    for x in (*range(0xD800), *range(0xE000, sys.maxunicode + 1)):
+        now, before = unicodedata.category(chr(x)), unicodedata.ucd_3_2_0.category(chr(x))
+        kind = sort(x, now)
+        if x > 0xFFFF and kind != "O" or now == "Cn" or kind != sort(x, before) or before[0] == "Z" and kind != "S" or 0x1C <= x <= 0x1F:
+            continue
+        settled.append(x)
+        if kind in "LN":
+            (letters if kind == "L" else digits).append(x)
+    letter, digit = _ranges(letters), _ranges(digits)
+    piece = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{digit}]+| ?[^\s{letter}{digit}]+|\s+(?!\S)|\s+")
+    # Astral characters are listed by range one by one, which is slow, so the common planes come first.
+    return piece, re.compile(f"[{_ranges([x for x in settled if x <= 0xFFFF])}]*+(?:[{_ranges([x for x in settled if x > 0xFFFF])}]++[{_ranges([x for x in settled if x <= 0xFFFF])}]*+)*+")
+
+
 SAMPLE = 50_000  # rows that the table of frequent pre-tokens comes from
 LONGEST = 64  # characters of a pre-token that the table or a cache keeps
 CACHE = 1 << 19  # pre-tokens in a worker's cache before it starts anew
@@ -68,8 +108,12 @@ def _tokenizer(path: str):
         t.no_truncation()
         t.no_padding()
         with open(path, encoding="utf-8") as f:
-            special = [x["content"] for x in json.load(f).get("added_tokens", [])]
-        _loaded[path] = (t, re.compile("|".join(map(re.escape, special)) or "(?!)"))
+            facts = json.load(f)
+        special = [x["content"] for x in facts.get("added_tokens", [])]
+        before = facts.get("pre_tokenizer") or {}
+        # Pre-tokens are counted one by one only where the file cuts them by PATTERN and changes nothing before.
+        alone = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not facts.get("normalizer")
+        _loaded[path] = (t, re.compile("|".join(map(re.escape, special)) or "(?!)") if alone else re.compile(""))
     return _loaded[path]
 
 
@@ -83,7 +127,7 @@ def frequent_pieces(docs: DataFrame, path: str, text: str = "text", sample: int
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in slices(batches, text, 1 << 20):
-            counts.update(x for x in PRE_TOKEN.findall("\n".join(x for x in batch.column(text).to_pylist() if x)) if len(x) <= LONGEST)
+            counts.update(x for x in patterns()[0].findall("\n".join(x for x in batch.column(text).to_pylist() if x)) if len(x) <= LONGEST)
             if len(counts) > 64 * per_task:  # lossy counting: drop the rarest
                 counts = Counter(dict(heapq.nlargest(2 * per_task, counts.items(), key=lambda x: x[1])))
         if counts:
@@ -112,8 +156,9 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
 
     No begin, end or added tokens are counted; a special string inside a text is one token.
     Null and empty texts have 0 bytes and 0 tokens. Rows, repeats and null ids are kept as they
-    are; columns besides the two named are ignored. Texts that hold a special string or letters
-    outside Latin go to the library whole, the rest through the two tiers; no text is cut.
+    are; columns besides the two named are ignored. Texts that hold a special string or characters
+    that aren't settled (see ``patterns``) go to the library whole, as do all texts if the file cuts
+    pre-tokens in another way; the rest goes through the two tiers. No text is cut.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(frequent_pieces(docs, path, text))
@@ -122,13 +167,14 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
         tokenizer, special = _tokenizer(path)
         if path not in _lengths:
             _lengths[path] = _Lengths(tokenizer)
-        get, find = _lengths[path].use(known.value).__getitem__, PRE_TOKEN.findall
+        piece, plain = patterns()
+        get, find = _lengths[path].use(known.value).__getitem__, piece.findall
         for batch in slices(batches, text):
             n = []
             for x in batch.column(text).to_pylist():
                 if not x:
                     n.append(0)
-                elif PLAIN.fullmatch(x) is None or special.search(x):
+                elif special.search(x) or plain.fullmatch(x) is None:
                     n.append(len(tokenizer.encode(x, add_special_tokens=False).ids))
                 else:
                     n.append(sum(map(get, find(x))))
