@@ -9,6 +9,9 @@ from quire.functions import text
 from quire.operators.records import delta_text
 from quire.operators.scoring import compare_texts
 
+# Fixed value: the head of the table over both lanes.
+HEADER = "| Example | Parity MD | Parity JSON | Parity Images | Quality MD | Quality Images |\n|---|---:|---:|---:|---:|---:|\n"
+
 
 def compare_blocks(actual: DataFrame, expected: DataFrame, key: str, tolerance: int = 15, details: int = 20, errors: DataFrame | None = None) -> DataFrame:
     """One row per document of (key, page, pos, index, label, content, bbox array) on both sides; pages count from 0.
@@ -87,15 +90,42 @@ def compare_markdown(actual: DataFrame, expected: DataFrame, key: str) -> DataFr
     return compare_texts(both).select(key, "status", "similarity")
 
 
-def compare_images(expected: Column, actual: Column) -> Column:
-    """struct(status, missing, extra, mismatch) of map<name, hash>; missing beats diff, nothing expected is a match."""
+def compare_images(expected: Column, actual: Column, policy: str = "sha256") -> Column:
+    """struct(status, missing, extra, mismatch) of map<name, hash>; missing beats diff, nothing expected is a match.
+
+    policy: ``none`` looks at nothing, ``exists`` at names, ``sha256`` at hashes too.
+    """
     names = lambda m: F.array_sort(F.map_keys(m))
+    empty = F.array().cast("array<string>")
+    if policy == "none":
+        return F.struct(F.lit("match").alias("status"), *[empty.alias(c) for c in ("missing", "extra", "mismatch")])
     missing, extra = F.array_except(names(expected), names(actual)), F.array_except(names(actual), names(expected))
-    mismatch = F.filter(F.array_intersect(names(expected), names(actual)), lambda n: F.try_element_at(expected, n) != F.try_element_at(actual, n))
+    mismatch = F.filter(F.array_intersect(names(expected), names(actual)), lambda n: F.try_element_at(expected, n) != F.try_element_at(actual, n)) if policy == "sha256" else empty
     status = F.when(F.size(names(expected)) == 0, "match").when(F.size(missing) > 0, "missing").when((F.size(extra) > 0) | (F.size(mismatch) > 0), "diff").otherwise("match")
     return F.struct(status.alias("status"), missing.alias("missing"), extra.alias("extra"), mismatch.alias("mismatch"))
 
 
+def combined_rows(reports: DataFrame, key: str) -> DataFrame:
+    """(key, line, entry): each name's row of the table over both lanes, and its JSON, from (lane, key, markdown, images, json) with null for what a lane lacks."""
+    of = lambda lane, c: F.max(F.when(F.col("lane") == lane, F.col(c)))
+    both = reports.groupBy(key).agg(*[F.max(F.when(F.col("lane") == x, F.lit(True))).alias(x) for x in ("parity", "quality")], *[of(x, c).alias(f"{x}_{c}") for x in ("parity", "quality") for c in ("markdown", "json", "images")])
+    shown = lambda c: F.coalesce(c, F.lit("\u2014"))
+    columns = ["parity_markdown", "parity_json", "parity_images", "quality_markdown", "quality_images"]
+    line = F.concat(F.lit("| `"), F.col(key).cast("string"), F.lit("` | "), F.concat_ws(" | ", *[shown(F.col(c)) for c in columns]), F.lit(" |"))
+    side = lambda x, *cs: F.when(F.col(x), F.struct(*[F.col(f"{x}_{c}").alias(c) for c in cs])).alias(x)
+    entry = F.to_json(F.struct(F.col(key).cast("string").alias("name"), side("parity", "markdown", "json", "images"), side("quality", "markdown", "images")))
+    return both.select(key, line.alias("line"), entry.alias("entry"))
+
+
+def combined_summary(rows: DataFrame, key: str) -> DataFrame:
+    """(name, content) of ``summary.md`` and ``summary.json`` from ``combined_rows``, by name; one row each, so for corpora whose report a person reads."""
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(key, c))), lambda x: x[c])
+    all_ = rows.agg(listed("line").alias("lines"), listed("entry").alias("entries"))
+    table = F.concat(F.lit(HEADER), F.array_join("lines", "\n"), F.lit("\n"))
+    json = F.concat(F.lit('{"examples":['), F.array_join("entries", ","), F.lit("]}\n"))
+    return all_.select(F.inline(F.array(F.struct(F.lit("summary.md").alias("name"), table.alias("content")), F.struct(F.lit("summary.json").alias("name"), json.alias("content")))))
+
+
 def lane_summary(parity: DataFrame, quality: DataFrame, key: str) -> DataFrame:
     """Both lanes by name, full outer, and whether anything fails."""
     out = parity.select(key, F.col("status").alias("parity")).join(quality.select(key, F.col("status").alias("quality")), key, "full")

@@ -25,7 +25,8 @@ def format_content(regions: DataFrame) -> DataFrame:
 
 
 def renumber(regions: DataFrame) -> DataFrame:
-    w = Window.partitionBy(*KEYS).orderBy("idx")
+    """Numbers a page's regions by idx; equal ones by ``offset``, their place in the input, if there is such a column."""
+    w = Window.partitionBy(*KEYS).orderBy("idx", *[c for c in ("offset",) if c in regions.columns])
     return regions.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
 
 
@@ -151,7 +152,7 @@ def image_refs(pages: DataFrame, prefix: str = "cropped") -> DataFrame:
     found = F.filter(F.regexp_extract_all("markdown", F.lit(tag), F.lit(0)), lambda t: t.rlike(r"bbox=\[\s*\d+\s*,\s*\d+\s*,\s*\d+\s*,\s*\d+\s*\]"))
 
     def replace(acc: Column, t: Column) -> Column:
-        at = F.locate_column(acc, t) if hasattr(F, "locate_column") else F.instr(acc["md"], t)
+        at = F.instr(acc["md"], t)
         page = F.regexp_extract(t, r"page=(\d+)", 1)
         link = F.concat(F.lit("![Image "), page, F.lit("-"), acc["i"].cast("string"), F.lit(f"](imgs/{prefix}_page"), page, F.lit("_idx"), acc["i"].cast("string"), F.lit(".jpg)"))
         md = F.when(at > 0, F.concat(F.substr(acc["md"], F.lit(1), at - 1), link, F.substr(acc["md"], at + F.length(t)))).otherwise(acc["md"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import labels, text
 from quire.functions.values import as_bool, bound, safe_name
+from quire.sources.namedfiles import document_files, write_named
 
 # Spellings of settings.
 BACKENDS = {"coreImageBicubic": ["coreimage", "core_image", "coreimagebicubic"], "deterministicBicubicCPU": ["deterministic", "deterministic_bicubic_cpu", "deterministicbicubiccpu"]}
@@ -169,10 +170,22 @@ def pages_needed(rows: DataFrame, key: str, page: str) -> DataFrame:
 
 
 def write_markdown(docs: DataFrame, path: str) -> None:
-    """One text file a document, in folders by id."""
-    docs.select("doc_id", F.col("markdown").alias("value")).write.partitionBy("doc_id").mode("overwrite").option("lineSep", "\n").text(path)
+    """``doc_id/doc_id.md`` for each document of (doc_id, markdown), all or none."""
+    write_named(document_files(docs, "doc_id", md="markdown"), path)
 
 
 def write_record(rows: DataFrame, path: str) -> None:
     """Rows as JSON lines, such as a run's metadata, an evaluation's record or a manifest."""
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def run_metadata(outcomes: DataFrame, settings: dict[str, str | None]) -> DataFrame:
+    """One row: schema_version, status, settings (blank ones null) and the sorted lists of (path, outcome) by outcome.
+
+    A run has failed if an input has. The lists hold every path, so this is for runs whose listing fits in a row.
+    """
+    listed = lambda o: F.sort_array(F.collect_list(F.when(F.col("outcome") == o, F.col("path")))).alias(o)
+    given = F.struct(*[F.nullif(F.trim(F.lit(v or "")), F.lit("")).alias(k) for k, v in settings.items()])
+    status = F.when(F.count_if(F.col("outcome") == "failed") > 0, "failed").otherwise("ok")
+    row = outcomes.agg(status.alias("status"), F.struct(*[listed(o) for o in ("succeeded", "failed", "skipped")]).alias("run"))
+    return row.select(F.lit(1).alias("schema_version"), "status", given.alias("settings"), "run")

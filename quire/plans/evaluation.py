@@ -159,3 +159,10 @@ def eval_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = O.document_markdown(O.page_markdown(O.format_regions(raw)))
     plain = raw.where("content is not null").withColumn("kind", F.lit("text"))
     return E.compare_markdown(a, O.document_markdown(O.page_markdown(plain)), "doc_id")
+
+
+@query(f"SELECT c_custkey, score, delta FROM ({_DELTA}) WHERE score >= 0.95::DOUBLE AND coalesce(delta >= 0, true) ORDER BY score, c_custkey LIMIT 3")
+def eval_focus_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of rows that are all good enough, the three of lowest score."""
+    fine = _runs(spark, sf_dir).where("score >= 0.95 and coalesce(delta >= 0, true)")
+    return E.focus(fine, "c_custkey", low=0.95).select("c_custkey", "score", "delta")

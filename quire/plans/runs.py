@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import config as C
+from quire.operators import evaluate as E
 from quire.operators import runs as R
 from quire.sources import derived as S
 
@@ -151,3 +153,41 @@ _PAIR = "CASE WHEN s <> 'paired' OR v < 0.5 THEN {'v': v, 'i': i, 't': '(idx=' |
 )
 def report_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "customer").select("c_custkey", F.array_join(R.signals(_report()), "\n").alias("signals"))
+
+
+# A report of each lane for some of the customers; JSON is compared in the parity lane only.
+_STATUS = lambda k: f"CASE (c_custkey * {k}) % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'diff' ELSE 'match' END"
+
+
+@query(f"""WITH p AS (SELECT c_custkey, {_STATUS(7)} AS md, CASE WHEN c_custkey % 4 <> 0 THEN {_STATUS(11)} END AS js, {_STATUS(13)} AS im FROM customer WHERE c_custkey % 3 <> 0),
+q AS (SELECT c_custkey, {_STATUS(17)} AS md, {_STATUS(19)} AS im FROM customer WHERE c_custkey % 5 <> 0)
+SELECT c_custkey, '| `' || c_custkey || '` | ' || concat_ws(' | ', coalesce(p.md, '—'), coalesce(p.js, '—'), coalesce(p.im, '—'), coalesce(q.md, '—'), coalesce(q.im, '—')) || ' |' AS line,
+  '{{"name":"' || c_custkey || '"' || coalesce(',"parity":{{"markdown":"' || p.md || '"' || coalesce(',"json":"' || p.js || '"', '') || ',"images":"' || p.im || '"}}', '') || coalesce(',"quality":{{"markdown":"' || q.md || '","images":"' || q.im || '"}}', '') || '}}' AS entry
+FROM p FULL JOIN q USING (c_custkey)""")
+def combined_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = S.table(spark, sf_dir, "customer")
+    status = lambda k: F.expr(_STATUS(k))
+    parity = c.where("c_custkey % 3 <> 0").select(F.lit("parity").alias("lane"), "c_custkey", status(7).alias("markdown"), status(13).alias("images"), F.when(F.col("c_custkey") % 4 != 0, status(11)).alias("json"))
+    quality = c.where("c_custkey % 5 <> 0").select(F.lit("quality").alias("lane"), "c_custkey", status(17).alias("markdown"), status(19).alias("images"), F.lit(None).cast("string").alias("json"))
+    return E.combined_rows(parity.unionByName(quality), "c_custkey")
+
+
+# Settings of each part as JSON, some broken, some of the wrong type.
+_SETTINGS = """CASE WHEN p_partkey % 13 = 0 THEN 'no json' ELSE concat('{"do_resize": ', CASE p_partkey % 5 WHEN 0 THEN 'false' WHEN 1 THEN '"yes"' WHEN 2 THEN 'null' ELSE 'true' END,
+ CASE p_partkey % 4 WHEN 0 THEN ', "size": {"height": 800, "width": 600}' WHEN 1 THEN concat(', "size": {"shortest_edge": ', CAST(100 + p_size * 16 AS VARCHAR(9)), ', "longest_edge": 1333}') WHEN 2 THEN ', "size": {"height": 0, "width": 5.5}' ELSE '' END,
+ CASE p_partkey % 3 WHEN 0 THEN ', "image_mean": [0.1, 0.2, 0.3], "image_std": [1, 2, 3]' WHEN 1 THEN ', "image_mean": [0.1]' ELSE '' END, ', "other": [1]}') END"""
+_SIDES = "greatest(1, p_partkey % 1900)::DOUBLE AS w, greatest(1, p_size * 37)::DOUBLE AS h"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_SETTINGS} AS t, {_SIDES} FROM part),
+j AS (SELECT *, CASE WHEN t = 'no json' THEN 'not a JSON object' WHEN json_type(t, '$.do_resize') = 'VARCHAR' THEN 'bad field do_resize' WHEN json_type(t, '$.size.width') = 'DOUBLE' THEN 'bad field size.width' END AS problem, CASE WHEN t <> 'no json' THEN CAST(t AS JSON) END AS o FROM t),
+f AS (SELECT *, coalesce(CASE WHEN problem IS NULL THEN CAST(json_extract_string(o, '$.do_resize') AS BOOLEAN) END, problem IS NULL) AS doit, CAST(json_extract_string(o, '$.size.shortest_edge') AS DOUBLE) AS short, json_array_length(o, '$.image_mean') = 3 AND coalesce(json_array_length(o, '$.image_std'), 3) = 3 AS own FROM j),
+e AS (SELECT *, floor(w * (short / least(w, h)) + 0.5::DOUBLE) AS a, floor(h * (short / least(w, h)) + 0.5::DOUBLE) AS b FROM f),
+l AS (SELECT *, CASE WHEN greatest(a, b) > 1333 THEN 1333.0::DOUBLE / greatest(a, b) END AS s FROM e)
+SELECT p_partkey, problem, CAST(CASE WHEN doit AND problem IS NULL THEN CASE p_partkey % 4 WHEN 0 THEN 600 WHEN 1 THEN greatest(1, coalesce(floor(a * s + 0.5::DOUBLE), a)) END END AS INT) AS w, CAST(CASE WHEN doit AND problem IS NULL THEN CASE p_partkey % 4 WHEN 0 THEN 800 WHEN 1 THEN greatest(1, coalesce(floor(b * s + 0.5::DOUBLE), b)) END END AS INT) AS h,
+  CASE WHEN problem IS NULL THEN CASE WHEN coalesce(own, false) THEN '0.1,0.2,0.3' ELSE '0.5,0.5,0.5' END END AS mean FROM l""")
+def preprocessor_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = S.table(spark, sf_dir, "part").withColumn("c", C.read_config(F.expr(_SETTINGS.replace("VARCHAR(9)", "STRING")), C.PREPROCESSOR))
+    size = C.resized(F.col("c.config"), F.col("p_partkey") % 1900, F.col("p_size") * 37)
+    mean = F.array_join(F.transform(C.mean_and_std(F.col("c.config"))["mean"], lambda x: x.cast("string")), ",")
+    return p.select("p_partkey", "c.problem", size["w"].alias("w"), size["h"].alias("h"), F.when(F.col("c.config").isNotNull(), mean).alias("mean"))

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 # The suffixes that are inputs, and files that never are.
 SUFFIXES = ["jpeg", "jpg", "pdf", "png"]
 NOISE = r"(?:^|/)(?:\.DS_Store|Thumbs\.db|\._[^/]*)$"
+# The tensors that a layout model must have; the first is the stem, over three channels.
+REQUIRED = [
+    "model.backbone.model.embedder.stem1.convolution.weight",
+    "model.encoder.downsample_convs.0.conv.weight",
+    "model.encoder.encoder.0.layers.0.self_attn.q_proj.weight",
+    "model.decoder.layers.0.self_attn.q_proj.weight",
+    "model.decoder.layers.0.encoder_attn.value_proj.weight",
+    "model.enc_score_head.weight",
+    "model.enc_bbox_head.layers.0.weight",
+]
 # Fixed value: the longest header of a tensor file, in bytes.
 MAX_HEADER = 32 << 20
 
@@ -32,9 +42,10 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def tensor_header(content: Column) -> Column:
-    """map<name, struct<dtype, shape>> of a tensor file: 8 bytes of little-endian length, then JSON.
+    """map<name, struct<dtype, shape>> of a tensor file's bytes: 8 bytes of little-endian length, then JSON.
 
-    Null where the length is beyond the file or MAX_HEADER. Only the header's bytes are read.
+    Null where the length is beyond the file or MAX_HEADER. For small files whose bytes are at hand;
+    ``tensorfiles`` reads headers alone.
     """
     size = F.conv(F.concat(*[F.hex(F.substring(content, 8 - i, 1)) for i in range(8)]), 16, 10).cast("long")
     text = F.substr(content, F.lit(9), size.cast("int")).cast("string")
@@ -48,14 +59,15 @@ def inventory(files: DataFrame) -> DataFrame:
     return rows.withColumn("duplicate", F.count("*").over(Window.partitionBy("name")) > 1).orderBy("name", "path")
 
 
-def check_inventory(tensors: DataFrame, required: list[str], stem: str) -> DataFrame:
-    """(problem, name): missing keys, dimensions that aren't positive, a stem that isn't rank 4 over 3 channels, duplicates."""
+def check_inventory(tensors: DataFrame, required: list[str] = REQUIRED, stem: str = REQUIRED[0]) -> DataFrame:
+    """(problem, name): missing keys, required ones without dimensions or with one that isn't positive, a stem that isn't rank 4 over 3 channels, duplicates."""
     spark = tensors.sparkSession
     missing = spark.createDataFrame([(x,) for x in required], "name string").join(tensors.select("name"), "name", "left_anti").select(F.lit("missing").alias("problem"), "name")
     bad = lambda what, test: tensors.where(test).select(F.lit(what).alias("problem"), "name")
-    shape = bad("shape", F.exists("shape", lambda d: d <= 0))
-    odd = bad("stem", (F.col("name") == stem) & ~((F.size("shape") == 4) & F.exists("shape", lambda d: d == 3)))
-    return missing.unionByName(shape).unionByName(odd).unionByName(bad("duplicate", F.col("duplicate")).distinct())
+    shape = bad("shape", F.col("name").isin(required) & ((F.size("shape") == 0) | F.exists("shape", lambda d: d <= 0)))
+    odd = bad("stem", (F.col("name") == stem) & ~((F.size("shape") == 4) & F.coalesce(F.get("shape", F.lit(1)) == 3, F.lit(False))))
+    twice = tensors.groupBy("name").count().where("count > 1").select(F.lit("duplicate").alias("problem"), "name")
+    return missing.unionByName(shape).unionByName(odd).unionByName(twice)
 
 
 def resolve_snapshot(found: DataFrame, explicit: Column, reference: Column, key: str = "repo") -> DataFrame:
