@@ -132,7 +132,7 @@ def bullet_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_ALL}, {_PAGE} SELECT * FROM pg")
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.page_markdown(O.format_regions(S.regions(spark, sf_dir)))
+    return O.page_markdown(O.format_pages(S.regions(spark, sf_dir)))
 
 
 @query(f"{_ALL}, {_PAGE} SELECT doc_id, string_agg(markdown, chr(10) || chr(10) ORDER BY page_index) AS markdown FROM pg GROUP BY 1")
@@ -145,7 +145,7 @@ _ITEM = "{'index': idx, 'label': CASE WHEN kind = 'unknown' THEN 'text' ELSE kin
 
 @query(f"{_ALL}, it AS (SELECT doc_id, page_index, list({_ITEM} ORDER BY idx) AS items FROM bu GROUP BY 1, 2) SELECT doc_id, CAST(to_json(list(items ORDER BY page_index)) AS VARCHAR) AS blocks FROM it GROUP BY 1")
 def block_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.block_list(O.format_regions(S.regions(spark, sf_dir)))
+    return O.block_list(O.format_pages(S.regions(spark, sf_dir)))
 
 
 @query(None)
