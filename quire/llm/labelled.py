@@ -31,5 +31,6 @@ def sample_rows(docs: DataFrame, ids: list[tuple[int, int]], columns: list, id_c
     """
     spark = docs.sparkSession
     small = spark.createDataFrame(ids, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, y int")
-    found = docs.join(F.broadcast(small), id_col).select(id_col, "y", F.struct(*columns).alias("_row"), F.xxhash64(text).alias("_h"))
+    rows = docs.select(id_col, F.struct(*columns).alias("_row"), F.xxhash64(text).alias("_h"))  # no other column can clash
+    found = rows.join(F.broadcast(small), id_col)
     return found.groupBy(id_col, "y").agg(F.min_by("_row", "_h").alias("_row")).select(id_col, "y", "_row.*")
