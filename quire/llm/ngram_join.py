@@ -361,6 +361,28 @@ def _classes_of(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return classes.select("cls", "id").join(ends, "cls", "left_semi")
 
 
+def _rest(docs: DataFrame, id_col: str, text: str, k: int, live: DataFrame, comp: DataFrame, links: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, comp) after all pairs that may link and aren't connected yet: first one for each pair of components, then those left apart."""
+    spark = docs.sparkSession
+    rest = _unconnected(live, comp, classes)
+    sweep(spark)
+    if rest.isEmpty():
+        discard(rest)
+        return comp
+    more = _classes_of(rest, classes).join(sets.select("cls"), "cls", "left_anti")
+    sets2 = materialize(_sets(docs, id_col, text, k, more), "sets")
+    sweep(spark)
+    sets = sets.unionByName(sets2)
+    one = materialize(_between(rest, comp).groupBy("cx", "cy").agg(F.min_by(F.struct("x", "nx", "y"), F.xxhash64("x", "y")).alias("p")).select("p.*"), "pairs")
+    links2 = materialize(_compare(one, sets), "links")
+    comp2 = materialize(components(links.unionByName(links2)), "joined")
+    left = materialize(_between(rest, comp2).select("x", "nx", "y").join(one.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
+    links3 = materialize(_compare(left, sets), "links")
+    discard(comp, comp2, rest, one, left, sets2)
+    sweep(spark)
+    return components(links.unionByName(links2).unionByName(links3))
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, with_class: bool = False) -> DataFrame:
     """(id_col, n_shingles, component_id), one row per input row: the classes of the Jaccard >= 0.8 graph.
 
@@ -382,10 +404,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     live = _shared_prefixes(docs, id_col, text, k, frequency, heavy)
     sweep(docs.sparkSession)
 
-    # Linear rounds: one partner for each class.
+    # Linear rounds: one partner for each class. They end as soon as no n-gram has two components.
     sets = links = comp = None
+    settled = False
     for partners in (_hubs, _neighbours, _hubs):
         open_ = materialize(_apart(live, comp), "open")
+        if settled := open_.isEmpty():
+            discard(open_)
+            break
         pairs = _best(partners(open_), classes)
         sweep(docs.sparkSession)
         needs = _classes_of(pairs, classes)
@@ -396,23 +422,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         discard(open_, pairs, comp)
         comp = materialize(components(links), "joined")
         sweep(docs.sparkSession)
-    # Whatever may link and isn't connected yet.
-    rest = _unconnected(live, comp, classes)
+    if not settled:
+        comp = _rest(docs, id_col, text, k, live, comp, links, sets, classes)
+    elif comp is None:
+        comp = docs.sparkSession.createDataFrame([], "node long, comp long")
     discard(live)
-    sweep(docs.sparkSession)
-    more = _classes_of(rest, classes).join(sets.select("cls"), "cls", "left_anti")
-    sets2 = materialize(_sets(docs, id_col, text, k, more), "sets")
-    sweep(docs.sparkSession)
-    sets = sets.unionByName(sets2)
-    one = materialize(_between(rest, comp).groupBy("cx", "cy").agg(F.min_by(F.struct("x", "nx", "y"), F.xxhash64("x", "y")).alias("p")).select("p.*"), "pairs")
-    links2 = materialize(_compare(one, sets), "links")
-    comp2 = materialize(components(links.unionByName(links2)), "joined")
-    left = materialize(_between(rest, comp2).select("x", "nx", "y").join(one.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
-    links3 = materialize(_compare(left, sets), "links")
-    discard(comp, comp2, rest, one, left, sets2)
-    sweep(docs.sparkSession)
-    links = links.unionByName(links2).unionByName(links3)
-    comp = components(links)
     least = comp.join(classes.select(F.col("cls").alias("node"), "id"), "node")
     root = least.groupBy("comp").agg(F.min("id").alias("root"))
     joined = comp.join(root, "comp").select(F.col("node").alias("cls"), "root", F.col("comp").alias("class"))
