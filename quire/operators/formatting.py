@@ -188,11 +188,14 @@ def block_list(formatted: DataFrame) -> DataFrame:
 
 
 def document_json(formatted: DataFrame) -> DataFrame:
-    """(doc_id, document): JSON with keys in alphabetical order; null fields are left out."""
-    box = F.struct("bbox.x1", "bbox.x2", "bbox.y1", "bbox.y2")
-    region = F.struct(F.struct("idx").alias("o"), F.struct(box.alias("bbox"), "content", F.col("idx").alias("index"), "kind", F.col("native_label").alias("nativeLabel")).alias("v"))
-    pages = formatted.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(region)), lambda x: x["v"]).alias("regions"))
-    docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "regions"))).alias("p"))
+    """(doc_id, document): JSON with keys in alphabetical order; null fields are left out. From rows, or from ``format_pages``."""
+    pages = formatted if "r" in formatted.columns else _pages(formatted)
+
+    def region(x: Column, i: Column) -> Column:
+        box = F.struct(*[x["bbox"][e].alias(e) for e in ("x1", "x2", "y1", "y2")])
+        return F.struct(box.alias("bbox"), x["content"].alias("content"), i.alias("index"), x["kind"].alias("kind"), x["native_label"].alias("nativeLabel"))
+
+    docs = pages.select(*KEYS, F.transform("r", region).alias("regions")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "regions"))).alias("p"))
     return docs.select("doc_id", F.to_json(F.struct(F.transform("p", lambda x: F.struct(x["page_index"].alias("index"), x["regions"].alias("regions"))).alias("pages"))).alias("document"))
 
 

@@ -148,9 +148,13 @@ def block_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.block_list(O.format_pages(S.regions(spark, sf_dir)))
 
 
-@query(None)
+_REGION = """'{"bbox":' || to_json({'x1': x1, 'x2': x2, 'y1': y1, 'y2': y2}) || coalesce(',"content":' || to_json(content), '') || ',"index":' || idx || ',"kind":"' || kind || '","nativeLabel":"' || native_label || '"}'"""
+
+
+@query(f"""{_ALL}, it AS (SELECT doc_id, page_index, string_agg({_REGION}, ',' ORDER BY idx) AS items FROM bu GROUP BY 1, 2)
+SELECT doc_id, '{{"pages":[' || string_agg('{{"index":' || page_index || ',"regions":[' || items || ']}}', ',' ORDER BY page_index) || ']}}' AS document FROM it GROUP BY 1""")
 def document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.document_json(O.format_regions(S.regions(spark, sf_dir)))
+    return O.document_json(O.format_pages(S.regions(spark, sf_dir)))
 
 
 @query(f"{_ALL}, {_PAGE}, im AS (SELECT doc_id, page_index, idx, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY idx) - 1 AS n FROM bu WHERE kind = 'image'), b2 AS (SELECT bu.*, n FROM bu LEFT JOIN im USING (doc_id, page_index, idx)) SELECT doc_id, page_index, CAST(count(n) AS INT) AS n_refs, coalesce(string_agg(CASE WHEN kind = 'image' THEN '![Image ' || page_index || '-' || n || '](imgs/cropped_page' || page_index || '_idx' || n || '.jpg)' ELSE nullif(content, '') END, chr(10) || chr(10) ORDER BY idx), '') AS markdown FROM b2 GROUP BY 1, 2")
