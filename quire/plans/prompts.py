@@ -111,8 +111,8 @@ r AS (SELECT *, {_WHOLE('ends[1]')} AS lo, CASE len(ends) WHEN 1 THEN {_WHOLE('e
 w AS (SELECT *, CASE WHEN every THEN NULL WHEN t = '' THEN 'empty token' WHEN body IS NULL THEN 'invalid brackets in token ''' || t || '''' WHEN lo IS NULL OR hi IS NULL THEN 'could not parse token ''' || t || ''''
   WHEN lo < 1 THEN 'page must be >= 1 (got ' || lo || ')' WHEN hi < 1 THEN 'page must be >= 1 (got ' || hi || ')' WHEN lo > hi THEN 'range start must be <= end (got ' || lo || '-' || hi || ')' END AS wrong FROM r),
 s AS (SELECT spec, coalesce(arg_min(wrong, i) FILTER (wrong IS NOT NULL), CASE WHEN bool_or(every) AND NOT bool_and(every) THEN 'cannot mix ''all'' with explicit page selections' END) AS error, bool_and(every) AS every FROM w GROUP BY 1),
-m AS (SELECT *, CASE WHEN coalesce(lo > max(hi) OVER (PARTITION BY spec ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, true) THEN 1 ELSE 0 END AS nw FROM w SEMI JOIN (SELECT spec FROM s WHERE error IS NULL AND NOT every) USING (spec)),
-g AS (SELECT spec, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(nw) OVER (PARTITION BY spec ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS gr FROM m) GROUP BY spec, gr),
+m AS (SELECT *, CASE WHEN coalesce(lo > max(hi) OVER (PARTITION BY spec ORDER BY lo, hi, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, true) THEN 1 ELSE 0 END AS nw FROM w SEMI JOIN (SELECT spec FROM s WHERE error IS NULL AND NOT every) USING (spec)),
+g AS (SELECT spec, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(nw) OVER (PARTITION BY spec ORDER BY lo, hi, i ROWS UNBOUNDED PRECEDING) AS gr FROM m) GROUP BY spec, gr),
 q AS (SELECT spec, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS ranges, CAST(sum(hi - lo + 1) AS BIGINT) AS pages, list(hi ORDER BY lo) AS his FROM g GROUP BY 1),
 a AS (SELECT l.*, coalesce(s.every, true) AS every, s.error AS unread, q.ranges, q.pages AS asked, list_filter(q.his, lambda x: x > l.n)[1] AS past FROM l LEFT JOIN s ON s.spec = l.spec LEFT JOIN q ON q.spec = l.spec),
 z AS (SELECT *, coalesce(unread, CASE WHEN n < 1 THEN 'invalid PDF page count ' || n END, CASE WHEN past IS NOT NULL THEN 'page ' || past || ' is out of range (pageCount=' || n || ')' END) AS error FROM a)
