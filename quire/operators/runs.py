@@ -69,7 +69,8 @@ def argument_problem(a: dict[str, Column]) -> Column:
     blank = lambda c: c.isNotNull() & (text.trim(c) == "")
     asked = lambda c: F.coalesce(text.trim(c), F.lit("")) != ""
     emits, idle = a["emit_json"].isNotNull() | a["emit_document"].isNotNull(), a["download_only"] | a["dev_forward"]
-    pdf = F.coalesce(extension(text.trim(a["input"])) == "pdf", F.lit(False))
+    is_pdf = F.coalesce(extension(text.trim(a["input"])) == "pdf", F.lit(False))
+    # The complaints.
     return _first(
         (a["max_new_tokens"] <= 0, "--max-new-tokens must be > 0"),
         (blank(a["pages"]), "--pages must be non-empty"),
@@ -80,8 +81,8 @@ def argument_problem(a: dict[str, Column]) -> Column:
         (~idle & ~asked(a["input"]), "--input is required unless --download-only or --dev-forward-pass is set"),
         (~idle & a["is_dir"].isNull(), F.concat(F.lit("Input not found: "), text.trim(a["input"]))),
         (~idle & a["is_dir"], F.concat(F.lit("Input is a directory: "), text.trim(a["input"]))),
-        (~idle & asked(a["pages"]) & ~pdf, "--pages is only valid for PDF inputs"),
-        (~idle & pdf & a["pages_problem"].isNotNull(), F.concat(F.lit("--pages: "), a["pages_problem"])),
+        (~idle & asked(a["pages"]) & ~is_pdf, "--pages is only valid for PDF inputs"),
+        (~idle & is_pdf & a["pages_problem"].isNotNull(), F.concat(F.lit("--pages: "), a["pages_problem"])),
         (~idle & emits & ~layout_enabled(text.trim(a["input"]), a["layout"], a["no_layout"]), "--emit-json/--emit-ocrdocument-json require layout mode (pass --layout for non-PDF inputs)"),
     )
 
