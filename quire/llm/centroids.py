@@ -8,7 +8,6 @@ grouped sum: k * dim rows, however many vectors there are.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

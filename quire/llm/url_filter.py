@@ -12,7 +12,6 @@ at most ALPHABET ** (ORDER + 1) rows whatever the corpus; scoring is one map ove
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
