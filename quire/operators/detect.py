@@ -87,12 +87,21 @@ def drop_abandoned(det: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def postprocess(det: DataFrame, width: Column, height: Column) -> DataFrame:
-    """All steps in their fixed order, with the defaults of the layout stage, on one grouping by page."""
-    pages = P.gathered(drop_invalid(det).withColumn("polygon", F.lit(None).cast(P.POINTS)).withColumns({"_w": width, "_h": height}))
-    pages = pages.withColumns({"_w": F.get("dets", F.lit(0))["_w"], "_h": F.get("dets", F.lit(0))["_h"], "dets": P.suppressed(F.col("dets"))})
-    kept = P.uncontained(P.without_large_images(F.col("dets"), F.col("_w"), F.col("_h")))
-    regions = P.without_abandoned(P.emitted(P.in_order(kept)))
-    return P.spread(pages.select("page_id", regions.alias("dets")))
+    """All steps in their fixed order, with the defaults of the layout stage, on one grouping by page.
+
+    What a page decides together is done in its array; labels, tasks and kinds are looked up in the rows
+    that leave it. Adds idx, native_label, task and kind; boxes are clamped.
+    """
+    kept = [i for i, label in enumerate(labels.CLASSES) if label not in labels.TASKS["abandon"]]
+    pages = P.gathered(drop_invalid(det).withColumns({"_w": width, "_h": height}))
+    first = F.get("dets", F.lit(0))
+    pages = pages.withColumns({"_w": first["_w"], "_h": first["_h"], "dets": P.suppressed(F.col("dets"))})
+    pages = pages.withColumn("dets", P.uncontained(P.without_large_images(F.col("dets"), F.col("_w"), F.col("_h"))))
+    # Boxes are valid here, so none goes by being clamped, and abandoned ones are known by their class.
+    pages = pages.withColumn("dets", P.in_order(F.filter("dets", lambda d: d["class_id"].isin(kept))))
+    rows = pages.select("page_id", F.posexplode("dets").alias("idx", "d")).select("page_id", "idx", "d.*").drop("_w", "_h")
+    label = labels.label_of(F.col("class_id"))
+    return rows.withColumns({"bbox": clamp(F.col("bbox")), "native_label": label, "task": labels.task_of(label), "kind": labels.kind_of(label)})
 
 
 def mask_tiny(det: DataFrame, mask_width: int, mask_height: int, score: str = "logit") -> DataFrame:
