@@ -3,6 +3,7 @@
 import difflib
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -84,6 +85,25 @@ def test_matching_against_difflib():
         assert M.ratio(a, b) == want.ratio()
 
 
+def test_matching_of_long_runs_against_difflib():
+    r = random.Random(5)
+    for letters in ("".join(map(chr, range(0x4E00, 0x4E00 + 400))), "etaoinshr dlu" * 4 + "XYZQJK0123456789.,"):
+        for n in (150, 700, 1500):
+            a = "".join(r.choice(letters) for _ in range(n))
+            for b in ("".join(changed(r, a, 12, letters)), a[n // 2 :] + a[: n // 2], a[: n // 3] * 3, a):
+                assert M.matching_blocks(a, b) == [tuple(x) for x in difflib.SequenceMatcher(None, a, b).get_matching_blocks()][:-1]
+
+
+def test_matching_time_of_a_long_text():
+    r = random.Random(6)
+    words = ["".join(r.choice("etaoinshrdlucmfwypvbgkqjxz"[: r.choice([8, 14, 26])]) for _ in range(r.randrange(2, 9))) for _ in range(2000)]
+    lines = [" ".join(r.choice(words) for _ in range(12)) + "\n" for _ in range(500)]
+    other = [x for i, line in enumerate(lines) if i % 11 != 3 for x in ([line, line] if i % 13 == 5 else [line])]
+    begin = time.process_time()
+    assert 0 < M.ratio("".join(lines), "".join(other)) < 1
+    assert time.process_time() - begin < 1.5
+
+
 def test_hunks_against_difflib():
     r = random.Random(4)
     for _ in range(400):
