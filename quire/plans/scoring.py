@@ -77,10 +77,11 @@ def aligned_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def text_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document against itself with lines dropped, doubled and changed: one row a hunk."""
+    """Each document against itself with lines dropped, doubled and changed: one row a hunk. Few large row groups would be few tasks, so rows are dealt out."""
     lines = F.split("text", "\n")
     changed = F.flatten(F.transform(lines, lambda x, i: F.when((F.col("doc_id") + i) % 11 == 3, F.array().cast("array<string>")).when((F.col("doc_id") + i) % 13 == 5, F.array(x, x)).when((F.col("doc_id") + i) % 17 == 7, F.array(F.concat(x, F.lit(" more")))).otherwise(F.array(x))))
-    d = S.table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("expected"), F.when(F.col("doc_id") % 19 != 0, F.array_join(changed, "\n")).alias("actual"))
+    dealt = S.table(spark, sf_dir, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = dealt.select("doc_id", F.array_join(lines, "\n").alias("expected"), F.when(F.col("doc_id") % 19 != 0, F.array_join(changed, "\n")).alias("actual"))
     found = O.compare_texts(d)
     return found.select("doc_id", "status", F.round("similarity", 9).alias("similarity"), F.posexplode_outer("hunks").alias("hunk", "h")).select("doc_id", "status", "similarity", "hunk", "h.header", F.array_join("h.lines", "").alias("lines"))
 
