@@ -140,9 +140,9 @@ def page_list(ranges: Column) -> Column:
 
 
 def merge_ranges(ranges: DataFrame, key: str) -> DataFrame:
-    """(key, lo, hi): overlapping and adjacent ranges of a key as one."""
-    w = Window.partitionBy(key).orderBy("lo", "hi")
+    """(key, lo, hi): overlapping and adjacent ranges of a key as one; a range without a start stays by itself."""
+    w = Window.partitionBy(key).orderBy(F.col("lo").asc_nulls_last(), F.col("hi").asc_nulls_last())
     before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = ranges.withColumn("_new", F.when(before.isNull() | (F.col("lo") > before + 1), 1).otherwise(0))
+    fresh = ranges.withColumn("_new", F.when(F.coalesce(F.col("lo") > before + 1, F.lit(True)), 1).otherwise(0))
     island = fresh.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(key, "_i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_i")

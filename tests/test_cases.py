@@ -190,3 +190,9 @@ def test_mask_rules():
     square[2:6, 2:6] = True
     assert M.mask_polygon(square, (0, 0, 1000, 1000), 8, 8) == [(250, 250), (250, 625), (625, 625), (625, 250)]
     assert M.mask_polygon(square, (0, 0, 100, 100), 8, 8) is None  # no whole pixel
+
+
+def test_merged_ranges_without_a_start(spark):
+    rows = [(1, None, 9), (1, 1, 3), (1, 4, 5), (1, 20, None), (1, 21, 22)]
+    got = P.merge_ranges(spark.createDataFrame(rows, "k int, lo int, hi int"), "k").collect()
+    assert sorted((r.lo or 0, r.hi or 0) for r in got) == [(0, 9), (1, 5), (20, 0), (21, 22)]
