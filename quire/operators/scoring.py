@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,10 @@ GAP, KIND_BONUS = 0.4, 0.2
 WEIGHTS = {"code": 1.25, "heading": 1.15, "formula": 1.1, "list_item": 1.0, "paragraph": 1.0}
 STATUS = ["paired", "extra_actual", "missing_expected"]
 STEPS = "array<struct<step: int, status: string, actual_index: int, expected_index: int, actual_kind: string, expected_kind: string, score: double>>"
+_STEP = {"step": pa.int32(), "status": pa.string(), "actual_index": pa.int32(), "expected_index": pa.int32(), "actual_kind": pa.string(), "expected_kind": pa.string(), "score": pa.float64()}
+ARROW_STEPS = pa.list_(pa.struct(list(_STEP.items())))
+#: Documents that are Python objects at once in a worker; the rest of a batch stays in Arrow.
+AT_ONCE = 32
 # What a failed check of each severity weighs.
 SEVERITY = {"critical": 3.0, "major": 2.0}
 
@@ -38,11 +43,13 @@ def _aligned(similarity: str, gap: float, bonus: float):
             steps.append({"step": k, "status": STATUS[kind], "actual_index": i if own else None, "expected_index": j if other else None, "actual_kind": a[i]["kind"] if own else None, "expected_kind": e[j]["kind"] if other else None, "score": alike[i, j] / UNIT if kind == M.PAIR else 0.0})
         return steps
 
-    def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for actual, expected in pairs:
-            yield pd.Series([of(x, y) for x, y in zip(actual, expected, strict=True)], dtype=object)
+            for at in range(0, len(actual), AT_ONCE):
+                sides = (x.slice(at, AT_ONCE).to_pylist() for x in (actual, expected))
+                yield pa.array([of(x, y) for x, y in zip(*sides, strict=True)], ARROW_STEPS)
 
-    return F.pandas_udf(run, STEPS)
+    return F.arrow_udf(run, STEPS)
 
 
 def align_blocks(docs: DataFrame, actual: str = "actual", expected: str = "expected", similarity: str = "words", gap: float = GAP, bonus: float = KIND_BONUS) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,13 @@ def changed(r, items, k, fresh):
     return out
 
 
+def test_alignment_takes_a_batch_in_parts():
+    blocks = pa.array([[{"kind": "paragraph", "text": f"w{i}"}] for i in range(3 * O.AT_ONCE + 1)])
+    parts = list(O._aligned("words", O.GAP, O.KIND_BONUS).func(iter([(blocks, blocks)])))
+    assert [len(x) for x in parts] == [O.AT_ONCE] * 3 + [1]
+    assert all(x["status"] == "paired" and x["score"] == 1.0 for part in parts for steps in part.to_pylist() for x in steps)
+
+
 def test_matching_against_difflib():
     r = random.Random(3)
     for _ in range(400):
