@@ -142,7 +142,7 @@ def mask_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def mask_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Polygons of the same masks on a page of 80 by 80; tracing is procedural, so no SQL."""
+    """Polygons of the same masks on a page of 80 by 80, rows dealt out; tracing is procedural, so no SQL."""
     ship(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,7 +150,8 @@ def mask_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
             found = [M.mask_polygon(_mask(np.asarray(v)), (0, 0, 1000, 1000), 80, 80) for v in b["embedding"]]
             yield pd.DataFrame({"vec_id": b["vec_id"], "polygon": [[list(p) for p in f] if f else None for f in found]})
 
-    return S.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, polygon array<array<int>>")
+    dealt = S.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInPandas(run, "vec_id long, polygon array<array<int>>")
 
 
 @query(None)

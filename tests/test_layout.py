@@ -1,5 +1,7 @@
 """The layout stage from parallel arrays, polygons on pictures, page specifications and token positions, by literal cases."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +162,28 @@ def test_flat_corners_go_every_other_one():
     assert M._merged([(0, 0), (10, 0), (20, 0), (20, 20)], 1.0) == [(0, 0), (10, 0), (20, 0), (20, 20)]  # level neighbours stay
     assert M._merged([(10, 2), (15, 3), (20, 10), (0, 10), (0, 0), (5, 1)], 1.0) == [(15, 3), (20, 10), (0, 10), (0, 0)]  # the last corner looks past the first, which is gone
     assert M._merged([(0, 0), (1, 1)], 5.0) == [(0, 0), (1, 1)]
+
+
+def test_components_against_growing_one_pixel_at_a_time():
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        mask = r.random(r.integers(1, 12, 2)) < r.choice([0.1, 0.4, 0.6, 1.0])
+        left, best = set(zip(*np.nonzero(mask), strict=True)), set()
+        for start in sorted(left):
+            own, todo = set(), [start] if start in left else []
+            while todo:
+                y, x = todo.pop()
+                if (y, x) in left:
+                    left.discard((y, x))
+                    own.add((y, x))
+                    todo += [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            best = own if len(own) > len(best) else best
+        assert set(zip(*np.nonzero(M.largest_component(mask)), strict=True)) == best
+
+
+def test_mask_polygons_take_little_time():
+    r = np.random.default_rng(3)
+    masks = [r.standard_normal((8, 8)) > 0 for _ in range(60)]
+    begin = time.process_time()
+    assert all(M.mask_polygon(m, (0, 0, 1000, 1000), 80, 80) for m in masks)
+    assert time.process_time() - begin < 60 * 0.02
