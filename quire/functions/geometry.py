@@ -91,25 +91,30 @@ def rendered_pixels(points: Column, dpi: int = 200) -> Column:
     return F.greatest(F.ceil(points * dpi / 72.0), F.lit(1)).cast("int")
 
 
-def row_spans(points: Column, y: Column, width: Column) -> Column:
-    """array<struct<from, to>>: the pixels of row y whose centres lie in a polygon of array<struct<x, y>> (pixels, double), by non-zero winding.
+def edges_of(points: Column) -> Column:
+    """array<struct<a, b>>: the sides of a polygon of array<struct<x, y>>, the last one back to the first point."""
+    n = F.size(points)
+    return F.transform(points, lambda p, i: F.struct(p.alias("a"), F.element_at(points, (F.pmod(i + 1, n) + 1).cast("int")).alias("b")))
+
+
+def row_spans(edges: Column, y: Column, width: Column) -> Column:
+    """array<struct<from, to>>: the pixels of row y whose centres lie in a polygon with the sides ``edges`` (pixels, double), by non-zero winding.
 
     Where edges cross the row's centre line they are sorted and folded into spans; ends are exclusive, and an
     edge that runs through a centre counts as left of it.
     """
-    centre, n = y + F.lit(0.5), F.size(points)
-    edges = F.transform(points, lambda p, i: F.struct(p.alias("a"), F.element_at(points, (F.pmod(i + 1, n) + 1).cast("int")).alias("b")))
+    centre = y + F.lit(0.5)
     crossing = F.filter(edges, lambda e: (e["a"]["y"] <= centre) != (e["b"]["y"] <= centre))
     at = lambda e: e["a"]["x"] + (centre - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])
     cell = lambda x: F.greatest(F.lit(0), F.least(width, F.ceil(x - 0.5))).cast("int")
     turns = F.array_sort(F.transform(crossing, lambda e: F.struct(at(e).alias("x"), F.when(e["b"]["y"] > e["a"]["y"], 1).otherwise(-1).alias("d"))))
+    turns = F.transform(turns, lambda t: F.struct(cell(t["x"]).alias("here"), t["d"].alias("d")))
     none = F.array().cast("array<struct<from: int, to: int>>")
 
     def turned(s: Column, t: Column) -> Column:
-        wound, here = s["wound"] + t["d"], cell(t["x"])
-        closes = (wound == 0) & (here > s["since"])
-        spans = F.when(closes, F.concat(s["spans"], F.array(F.struct(s["since"].alias("from"), here.alias("to"))))).otherwise(s["spans"])
-        return F.struct(wound.alias("wound"), F.when(s["wound"] == 0, here).otherwise(s["since"]).alias("since"), spans.alias("spans"))
+        closes = (s["wound"] + t["d"] == 0) & (t["here"] > s["since"])
+        spans = F.when(closes, F.concat(s["spans"], F.array(F.struct(s["since"].alias("from"), t["here"].alias("to"))))).otherwise(s["spans"])
+        return F.struct((s["wound"] + t["d"]).alias("wound"), F.when(s["wound"] == 0, t["here"]).otherwise(s["since"]).alias("since"), spans.alias("spans"))
 
     start = F.struct(F.lit(0).alias("wound"), F.lit(0).alias("since"), none.alias("spans"))
     return F.aggregate(turns, start, turned, lambda s: s["spans"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.geometry import row_spans
+from quire.functions.geometry import edges_of, row_spans
 
 PIXEL = 3
 
@@ -22,12 +22,15 @@ def scaled(polygon: Column, width: Column, height: Column) -> Column:
 def filled_rows(shapes: DataFrame, polygon: str = "polygon", width: str = "width", height: str = "height") -> DataFrame:
     """Adds ``y`` and ``spans``: a row for each pixel row of each shape, with the pixels that the polygon covers.
 
-    Polygons of fewer than three points, or null, cover nothing. Heights below 1 give no row.
+    Polygons of fewer than three points, or null, cover nothing. Heights below 1 give no row. Shapes are
+    dealt out with their sides before they become rows.
     """
-    rows = shapes.where(F.col(height) > 0).withColumn("_points", scaled(F.col(polygon), F.col(width), F.col(height)))
+    parts = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = shapes.where(F.col(height) > 0).repartition(parts).withColumn("_points", scaled(F.col(polygon), F.col(width), F.col(height)))
+    rows = rows.withColumn("_edges", edges_of(F.col("_points")))
     rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col(height).cast("int") - 1)))
-    spans = F.when(F.size("_points") >= 3, row_spans(F.col("_points"), F.col("y"), F.col(width)))
-    return rows.withColumn("spans", F.coalesce(spans, F.array().cast("array<struct<from: int, to: int>>"))).drop("_points")
+    spans = F.when(F.size("_points") >= 3, row_spans(F.col("_edges"), F.col("y"), F.col(width)))
+    return rows.withColumn("spans", F.coalesce(spans, F.array().cast("array<struct<from: int, to: int>>"))).drop("_points", "_edges")
 
 
 def covered(spans: Column) -> Column:
@@ -58,7 +61,7 @@ def crop(pictures: DataFrame, key: str, bbox: str = "bbox", polygon: str = "poly
         row = F.concat(s["row"], blank(at - s["at"]), F.substring(F.col("_line"), at * PIXEL + 1, (to - at) * PIXEL))
         return F.when(at < to, F.struct(row.alias("row"), to.alias("at"))).otherwise(s)
 
-    rows = rows.withColumns({"_line": line, "_spans": row_spans(points, F.col("y"), F.col("width"))})
+    rows = rows.withColumns({"_line": line, "_spans": row_spans(edges_of(points), F.col("y"), F.col("width"))})
     start = F.struct(F.lit(b"").alias("row"), F.lit(0).alias("at"))
     cut = F.aggregate("_spans", start, painted, lambda s: F.concat(s["row"], blank(wide - s["at"])))
     rows = rows.withColumn("_row", F.when(F.size(polygon) >= 3, cut).otherwise(F.col("_line")))

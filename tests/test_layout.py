@@ -187,3 +187,11 @@ def test_mask_polygons_take_little_time():
     begin = time.process_time()
     assert all(M.mask_polygon(m, (0, 0, 1000, 1000), 80, 80) for m in masks)
     assert time.process_time() - begin < 60 * 0.02
+
+
+def test_shapes_of_one_part_are_dealt_out(spark):
+    points = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [(0, 0), (1000, 0), (1000, 1000)]])
+    shapes = spark.range(0, 40, 1, 1).select("id", points.alias("polygon"), F.lit(4).alias("width"), F.lit(4).alias("height"))
+    rows = R.filled_rows(shapes).withColumn("part", F.spark_partition_id()).collect()
+    assert len({r.part for r in rows}) > 1
+    assert len(rows) == 160
