@@ -48,12 +48,18 @@ def fuse(tokens: DataFrame, vision: DataFrame, key: str, image_id: int) -> DataF
     return placed.join(checked, key).where("_ok").drop("_ok").join(vision, [key, "k"], "left")
 
 
+#: The least number of parts by key; a number that is given isn't lowered by the size of what is shuffled, which packs well.
+PARTS = 200
+
+
 def token_runs(tokens: DataFrame, key: str, kind: str) -> DataFrame:
-    """(key, run, kind, first, n): maximal runs of one kind."""
+    """(key, run, kind, first, n): maximal runs of one kind. One exchange and one sort; a run's length is how far the next one begins behind it."""
     w = Window.partitionBy(key).orderBy("pos")
-    change = F.when(F.lag(kind).over(w).eqNullSafe(F.col(kind)), 0).otherwise(1)
-    runs = tokens.withColumn("_c", change).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    return runs.groupBy(key, "run", kind).agg(F.min("pos").alias("first"), F.count("*").alias("n"))
+    parts = max(PARTS, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    begins = ~F.coalesce(F.lag(kind).over(w).eqNullSafe(F.col(kind)) & (F.row_number().over(w) > 1), F.lit(False))
+    placed = tokens.repartition(parts, key).withColumns({"_b": begins, "_at": F.row_number().over(w), "_all": F.count("*").over(Window.partitionBy(key))})
+    runs = placed.where("_b").withColumns({"run": F.row_number().over(w), "n": F.coalesce(F.lead("_at").over(w).cast("long"), F.col("_all") + 1) - F.col("_at")})
+    return runs.select(key, "run", kind, F.col("pos").alias("first"), "n")
 
 
 def rope_positions(tokens: DataFrame, key: str, image_id: int, merge: int = 2, video_start: int | None = None, video_end: int | None = None, strict: bool = False) -> DataFrame:
