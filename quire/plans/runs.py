@@ -152,7 +152,9 @@ _PAIR = "CASE WHEN s <> 'paired' OR v < 0.5 THEN {'v': v, 'i': i, 't': '(idx=' |
     "'- fix_hints: ' || nullif(concat_ws(', ', " + ", ".join(f"CASE WHEN {t} THEN '{R.HINTS[k]}' END" for k, t in {"style": "cd OR bd", "json": "parts IS NOT NULL", "blocks": "shape < 0.98 OR low IS NOT NULL", "tables": "tabs IS NOT NULL", "rules": "r0 <> 'pass' OR r1 <> 'pass'"}.items()) + "), '')) END AS signals FROM x JOIN agg USING (c_custkey) JOIN st USING (c_custkey) LEFT JOIN low USING (c_custkey)"
 )
 def report_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.table(spark, sf_dir, "customer").select("c_custkey", F.array_join(R.signals(_report()), "\n").alias("signals"))
+    """Reports are long to read, so that their rows are dealt out."""
+    dealt = S.table(spark, sf_dir, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.select("c_custkey", F.array_join(R.signals(_report()), "\n").alias("signals"))
 
 
 # A report of each lane for some of the customers; JSON is compared in the parity lane only.

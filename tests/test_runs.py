@@ -2,9 +2,13 @@
 
 import json
 import zlib
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
+from quire import catalog
+from quire.operators import prompts
 from quire.operators import runs as R
 from quire.operators.records import delta_text, score_text
 
@@ -133,3 +137,18 @@ def test_refresh(spark):
     t = spark.createDataFrame(rows, "now string, stored string, complete boolean, forced boolean")
     got = t.select(R.needs_refresh(*[F.col(c) for c in t.columns]).alias("r")).collect()
     assert [r.r for r in got] == [False, True, True, True, True, True, True]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+@pytest.mark.parametrize("name", ["text_hunks", "mask_polygons", "report_signals"])
+def test_rows_of_one_file_are_dealt_out(spark, name):
+    found = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_token_runs_in_many_parts(spark):
+    rows = [(k, p, kind) for k in range(30) for p, kind in [(3, True), (5, True), (6, None), (9, None), (11, False)]]
+    found = prompts.token_runs(spark.createDataFrame(rows, "k int, pos long, kind boolean"), "k", "kind")
+    got = sorted((r.k, r.run, r.kind, r.first, r.n) for r in found.collect())
+    assert got == [(k, *x) for k in range(30) for x in [(1, True, 3, 2), (2, None, 6, 2), (3, False, 11, 1)]]
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > spark.sparkContext.defaultParallelism
