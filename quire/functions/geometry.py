@@ -38,10 +38,20 @@ def iou_reaches(a: Column, b: Column, limit: Column) -> Column:
     return inter >= limit * (area(a) + area(b) - inter)
 
 
-def contained(inner: Column, outer: Column) -> Column:
-    """Whether four fifths of ``inner`` or more lie in ``outer``; edges have no width."""
+def pixels(b: Column) -> Column:
+    """The box's area as ``iou_reaches`` counts it."""
+    return (b["x2"] - b["x1"] + 1) * (b["y2"] - b["y1"] + 1)
+
+
+def extent(b: Column) -> Column:
+    """The box's area as ``contained`` counts it."""
+    return F.greatest(F.lit(0), b["x2"] - b["x1"]) * F.greatest(F.lit(0), b["y2"] - b["y1"])
+
+
+def contained(inner: Column, outer: Column, area: Column | None = None) -> Column:
+    """Whether four fifths of ``inner`` or more lie in ``outer``; edges have no width. ``area``: the inner box's extent, if at hand."""
     span = lambda lo, hi: F.greatest(F.lit(0), hi - lo)
-    area = span(inner["x1"], inner["x2"]) * span(inner["y1"], inner["y2"])
+    area = extent(inner) if area is None else area
     inter = span(F.greatest(inner["x1"], outer["x1"]), F.least(inner["x2"], outer["x2"])) * span(F.greatest(inner["y1"], outer["y1"]), F.least(inner["y2"], outer["y2"]))
     return (area > 0) & (inter * 5 >= area * 4)
 

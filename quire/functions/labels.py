@@ -62,6 +62,14 @@ def label_of(class_id: Column) -> Column:
     return F.coalesce(F.try_element_at(known, class_id.cast("int")), F.concat(F.lit("class_"), class_id.cast("string")))
 
 
+def named(class_id: Column) -> Column:
+    """Class id -> struct<native_label, task, kind>, as the three functions above give them, by one look into a fixed array."""
+    parts = lambda label, task, kind: F.struct(label.alias("native_label"), F.lit(task).alias("task"), F.lit(kind).alias("kind"))
+    of = {label: (task, kind) for label, task, kind in LABELS}
+    known = F.array(*[parts(F.lit(x), *of[x]) for x in CLASSES])
+    return F.coalesce(F.get(known, class_id.cast("int")), parts(F.concat(F.lit("class_"), class_id.cast("string")), "abandon", "unknown"))
+
+
 def sql_dims() -> str:
     """The dimensions as common table expressions for DuckDB."""
     classes = ", ".join(f"({i}, '{x}', '{'small' if i == SMALL_CLASS else 'large'}')" for i, x in enumerate(CLASSES))

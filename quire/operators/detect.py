@@ -99,7 +99,8 @@ def postprocess(det: DataFrame, width: Column, height: Column) -> DataFrame:
     pages = pages.withColumn("dets", P.uncontained(P.without_large_images(F.col("dets"), F.col("_w"), F.col("_h"))))
     # Boxes are valid here, so none goes by being clamped, and abandoned ones are known by their class.
     pages = pages.withColumn("dets", P.in_order(F.filter("dets", lambda d: d["class_id"].isin(kept))))
-    rows = pages.select("page_id", F.posexplode("dets").alias("idx", "d")).select("page_id", "idx", "d.*").drop("_w", "_h")
+    # As in P.regions_of: without "outer" the steps would be written out in a filter once more.
+    rows = pages.select("page_id", F.posexplode_outer("dets").alias("idx", "d")).where("idx IS NOT NULL").select("page_id", "idx", "d.*").drop("_w", "_h")
     label = labels.label_of(F.col("class_id"))
     return rows.withColumns({"bbox": clamp(F.col("bbox")), "native_label": label, "task": labels.task_of(label), "kind": labels.kind_of(label)})
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import labels
-from quire.functions.geometry import clamp, contained, iou_reaches, polygon, unclip, valid
+from quire.functions.geometry import clamp, contained, extent, iou_reaches, pixels, polygon, unclip, valid
 from quire.functions.masks import mask_polygon
 from quire.functions.values import bound
 
@@ -24,7 +24,7 @@ POINTS = "array<struct<x: int, y: int>>"
 def gathered(det: DataFrame, key: str = "page_id", name: str = "dets") -> DataFrame:
     """(key, name): a row for each page with its detections by det_idx; all other columns go along in the structs."""
     rest = [c for c in det.columns if c not in (key, "det_idx")]
-    return det.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("det_idx", *rest))).alias(name))
+    return det.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("det_idx", *rest))).alias(name))
 
 
 def spread(pages: DataFrame, key: str = "page_id", name: str = "dets") -> DataFrame:
@@ -32,15 +32,28 @@ def spread(pages: DataFrame, key: str = "page_id", name: str = "dets") -> DataFr
     return pages.select(key, F.inline(name))
 
 
+def regions_of(pages: DataFrame, *more: Column | str, key: str = "page_id") -> DataFrame:
+    """A row for each region of pages' ``regions``, with the columns ``more``.
+
+    Not ``inline``: for that Spark adds the filter that arrays have elements and moves it below the steps that
+    make them, with all of these written out in it, each as often as a later one mentions it.
+    """
+    return pages.select(key, F.inline_outer("regions"), *more).where("idx IS NOT NULL")
+
+
 def suppressed(dets: Column, same: float = 0.6, different: float = 0.98) -> Column:
-    """Greedy class-aware suppression by descending score, ties by det_idx."""
-    ranked = F.transform(F.array_sort(F.transform(dets, lambda d: F.struct((-d["score"]).alias("s"), d["det_idx"].alias("i"), d.alias("d")))), lambda x: x["d"])
+    """Greedy class-aware suppression by descending score, ties by det_idx; boxes are valid.
+
+    Boxes whose areas differ too much can't reach the limit, so most pairs end at that comparison.
+    """
+    ranked = F.sort_array(F.transform(dets, lambda d: F.struct((-d["score"]).alias("s"), d["det_idx"].alias("i"), d.alias("d"), pixels(d["bbox"]).alias("n"))))
 
     def keep(acc: Column, e: Column) -> Column:
-        limit = lambda s: F.when(s["class_id"] == e["class_id"], F.lit(same)).otherwise(F.lit(different))
-        return F.when(F.exists(acc, lambda s: iou_reaches(s["bbox"], e["bbox"], limit(s))), acc).otherwise(F.concat(acc, F.array(e)))
+        limit = lambda s: F.when(s["d"]["class_id"] == e["d"]["class_id"], F.lit(same)).otherwise(F.lit(different))
+        near = lambda s: F.least(s["n"], e["n"]) >= limit(s) * F.greatest(s["n"], e["n"])
+        return F.when(F.exists(acc, lambda s: near(s) & iou_reaches(s["d"]["bbox"], e["d"]["bbox"], limit(s))), acc).otherwise(F.concat(acc, F.array(e)))
 
-    return bound(ranked, lambda a: F.aggregate(a, F.slice(a, 1, 0), keep))
+    return F.transform(bound(ranked, lambda a: F.aggregate(a, F.slice(a, 1, 0), keep)), lambda x: x["d"])
 
 
 def without_large_images(dets: Column, width: Column, height: Column) -> Column:
@@ -60,7 +73,7 @@ def uncontained(dets: Column, mode: str | None = None) -> Column:
     if mode == "union":
         return dets
     kept = F.array(*[F.lit(labels.CLASSES.index(x)) for x in labels.PRESERVED])
-    inside = lambda i, j: (i["det_idx"] != j["det_idx"]) & ~F.array_contains(kept, i["class_id"]) & contained(i["bbox"], j["bbox"])
+    inside = lambda i, j, area=None: (i["det_idx"] != j["det_idx"]) & ~F.array_contains(kept, i["class_id"]) & contained(i["bbox"], j["bbox"], area)
 
     def stays(a: Column, d: Column) -> Column:
         within, holds = F.exists(a, lambda j: inside(d, j)), F.exists(a, lambda i: inside(i, d))
@@ -69,9 +82,9 @@ def uncontained(dets: Column, mode: str | None = None) -> Column:
         if mode == "small":
             return ~holds | within
         small = labels.SMALL_CLASS
-        large = F.exists(a, lambda j: j["class_id"].between(0, len(labels.CLASSES) - 1) & (j["class_id"] != small) & inside(d, j))
-        holds_small = F.exists(a, lambda i: (i["class_id"] == small) & inside(i, d))
-        return ~(large | (holds_small & ~((d["class_id"] == small) & within)))
+        in_large = lambda j, area: j["class_id"].between(0, len(labels.CLASSES) - 1) & (j["class_id"] != small) & inside(d, j, area)
+        holds_small = lambda i: (i["class_id"] == small) & inside(i, d) & ~((d["class_id"] == small) & within)
+        return bound(extent(d["bbox"]), lambda area: ~F.exists(a, lambda x: in_large(x, area) | holds_small(x)))  # one look at each pair
 
     return bound(dets, lambda a: F.filter(a, lambda d: stays(a, d)))
 
@@ -80,7 +93,7 @@ def in_order(dets: Column) -> Column:
     """By order_seq (null: 0), then y1, x1, y2, x2, then det_idx."""
     edges = lambda b: [b[e].alias(e) for e in ("y1", "x1", "y2", "x2")]
     keyed = F.transform(dets, lambda d: F.struct(F.coalesce(d["order_seq"], F.lit(0)).alias("o"), *edges(d["bbox"]), d["det_idx"].alias("i"), d.alias("d")))
-    return F.transform(F.array_sort(keyed), lambda x: x["d"])
+    return F.transform(F.sort_array(keyed), lambda x: x["d"])
 
 
 def unclipped(dets: Column, ratios: dict[int | None, tuple[float, float]]) -> Column:
@@ -94,23 +107,22 @@ def unclipped(dets: Column, ratios: dict[int | None, tuple[float, float]]) -> Co
     return F.transform(dets, scaled)
 
 
-def emitted(dets: Column) -> Column:
+def emitted(dets: Column, whole: bool = False) -> Column:
     """array<struct<idx, det_idx, class_id, native_label, task, kind, score, order, bbox, polygon>>: clamped, those still valid, numbered.
 
-    A polygon of fewer than three points, or none, becomes the box's corners; orders below 1 are null.
+    ``whole``: the boxes are known to be valid, so clamping leaves them as they are. A polygon of fewer than three points, or none, becomes the box's corners; orders below 1 are null.
     """
 
     def region(d: Column, i: Column) -> Column:
-        label = labels.label_of(d["class_id"])
         points = F.transform(d["polygon"], lambda p: F.struct(*[F.greatest(F.lit(0), F.least(F.lit(1000), p[e])).alias(e) for e in ("x", "y")]))
         shape = F.when(F.size(d["polygon"]) >= 3, points).otherwise(polygon(d["bbox"]))
-        return F.struct(
-            i.cast("int").alias("idx"), d["det_idx"].alias("det_idx"), d["class_id"].alias("class_id"), label.alias("native_label"), labels.task_of(label).alias("task"), labels.kind_of(label).alias("kind"),
+        return bound(labels.named(d["class_id"]), lambda n: F.struct(
+            i.cast("int").alias("idx"), d["det_idx"].alias("det_idx"), d["class_id"].alias("class_id"), n["native_label"].alias("native_label"), n["task"].alias("task"), n["kind"].alias("kind"),
             d["score"].alias("score"), F.when(d["order_seq"] > 0, d["order_seq"]).alias("order"), d["bbox"].alias("bbox"), shape.alias("polygon"),
-        )
+        ))
 
     clamped = F.transform(dets, lambda d: d.withField("bbox", clamp(d["bbox"])))
-    return F.transform(F.filter(clamped, lambda d: valid(d["bbox"])), region)
+    return F.transform(dets if whole else F.filter(clamped, lambda d: valid(d["bbox"])), region)
 
 
 def without_abandoned(regions: Column) -> Column:
@@ -172,7 +184,7 @@ def regions_from_raw(raw: DataFrame, key: str = "page_id", nms: bool = True, lar
     fewer = F.size("_dets") - F.size("_kept")
     notes += [F.when(fewer > 0, F.format_string("filter_large_image removed %d region(s)", fewer)), F.when(F.col("_order").isNull(), "order_seq missing; using (y1, x1) fallback ordering")]
     out = in_order(uncontained(F.col("_kept"), None if merge == "class" else merge) if merge else F.col("_kept"))
-    out = emitted(unclipped(out, ratios) if ratios else out)
+    out = emitted(unclipped(out, ratios)) if ratios else emitted(out, whole=True)
     return pages.select(key, F.coalesce(out, F.array().cast(out_type())).alias("regions"), F.when(F.col("_problem").isNull(), F.array_compact(F.array(*notes))).alias("diagnostics"), F.col("_problem").alias("problem"))
 
 

@@ -220,12 +220,12 @@ def raw_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = F.array(*[F.struct(F.expr(x).alias("x"), F.expr(y).alias("y")) for x, y in _POLY])
     d = S.detections(spark, sf_dir).select("*", "bbox.*").withColumn("shape", F.slice(points, 1, F.when(F.col("det_idx") % 4 == 3, 2).otherwise(3)))
     pages = A.gathered(d.select("page_id", "det_idx", "class_id", "score", "bbox", "order_seq", "shape"))
-    each = lambda c: F.transform("dets", lambda x: x[c])
+    each = lambda c: F.col("dets")[c]
     shorter = lambda c, odd: F.when(F.expr(odd), F.slice(each(c), 1, F.size("dets") - 1)).otherwise(each(c))
     polygons = F.when(F.col("page_id") % 3 == 0, shorter("shape", "page_id % 5 = 0"))
     raw = pages.select("page_id", F.lit(800).alias("width"), F.lit(1000).alias("height"), each("score").alias("scores"), shorter("class_id", "page_id % 11 = 0").alias("labels"), each("bbox").alias("boxes"), shorter("order_seq", "page_id % 7 = 0").alias("order_seq"), polygons.alias("polygons"))
-    found = A.regions_from_raw(raw).select("page_id", F.inline("regions"), F.array_join("diagnostics", "|").alias("diagnostics"))
-    corners = F.flatten(F.transform("polygon", lambda p: F.array(p["x"].cast("string"), p["y"].cast("string"))))
+    found = A.regions_of(A.regions_from_raw(raw), F.array_join("diagnostics", "|").alias("diagnostics"))
+    corners = F.transform("polygon", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
     return found.select("page_id", "idx", "det_idx", "native_label", "task", "order", F.array_join(corners, " ").alias("polygon"), "diagnostics")
 
 

@@ -1,11 +1,14 @@
 """The layout stage from parallel arrays, polygons on pictures, page specifications and token positions, by literal cases."""
 
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quire import catalog
+from quire.functions import labels
 from quire.functions import masks as M
 from quire.operators import pagearrays as A
 from quire.operators import pages as P
@@ -195,3 +198,23 @@ def test_shapes_of_one_part_are_dealt_out(spark):
     rows = R.filled_rows(shapes).withColumn("part", F.spark_partition_id()).collect()
     assert len({r.part for r in rows}) > 1
     assert len(rows) == 160
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+@pytest.mark.parametrize("name", ["raw_regions", "layout_postprocess"])
+def test_a_page_is_folded_once(spark, name):
+    """The plan holds suppression's fold once; a filter on the rows of a generator had repeated all steps of the page."""
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
+def test_pages_without_regions_have_no_rows(spark):
+    regions = "array<struct<idx: int, det_idx: int>>"
+    t = spark.createDataFrame([(1, [(0, 4), (1, 2)]), (2, []), (3, None)], f"page_id long, regions {regions}")
+    assert [tuple(r) for r in A.regions_of(t).orderBy("idx").collect()] == [(1, 0, 4), (1, 1, 2)]
+
+
+def test_labels_by_one_look(spark):
+    label = labels.label_of(F.col("c"))
+    t = spark.createDataFrame([(i,) for i in (None, -1, *range(27))], "c int").select(labels.named(F.col("c")).alias("n"), F.struct(label, labels.task_of(label), labels.kind_of(label)).alias("m"))
+    assert all(tuple(r.n) == tuple(r.m) for r in t.collect())
