@@ -64,17 +64,20 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(x) for x in low], np.int64)
     chars = np.frombuffer(("".join(low) + "\0" * SHINGLE).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     n = np.maximum(size - SHINGLE + 1, 1)
-    line = np.repeat(np.arange(len(low)), n)
-    at = np.arange(len(line)) + np.repeat(np.cumsum(size) - size - np.cumsum(n) + n, n)
-    short = np.flatnonzero(size < SHINGLE)
-    h = np.zeros(len(line), np.uint64)
+    ends = np.cumsum(n)
+    at = np.arange(n.sum()) + np.repeat(np.cumsum(size) - size - ends + n, n)
+    # All places of the text are hashed in passes over neighbours; those that cross a line's end are left out, and short lines hashed anew.
+    rolled = np.zeros(len(chars) - SHINGLE + 1, np.uint64)
     for j in range(SHINGLE):
-        x = chars[at + j]
-        if len(short):
-            beyond = np.zeros(len(low), bool)
-            beyond[short] = size[short] <= j
-            x = np.where(beyond[line], np.uint64(0), x)
-        h = h * PRIME + x
+        rolled *= PRIME
+        rolled += chars[j : j + len(rolled)]
+    h = rolled[at]
+    short = np.flatnonzero(size < SHINGLE)
+    if len(short):
+        place = ends[short] - 1
+        h[place] = 0
+        for j in range(SHINGLE):
+            h[place] = h[place] * PRIME + np.where(size[short] > j, chars[at[place] + j], np.uint64(0))
     return mix(h), n
 
 

@@ -380,3 +380,19 @@ def test_links_of_a_group():
     found, every = linked(int(bands[0, 3]), range(60)), linked(no_band, range(60))
     assert sorted(found) == sorted(x for x in every if (bands[x[0], :3] != bands[x[1], :3]).all())
     assert 0 < len(found) < len(every)
+
+
+def test_shingle_hashes_by_a_plain_loop():
+    lines = ["", "a", "abcd", "abcde", "Abcdefg", "", "\u65e5\u672c", "\u0130x", "the quick brown fox", "xyz"]
+    want, count = [], []
+    for x in (y.lower() for y in lines):
+        places = max(1, len(x) - 4)
+        for i in range(places):
+            h = 0
+            for j in range(5):
+                h = (h * 0x100000001B3 + (ord(x[i + j]) + 1 if i + j < len(x) else 0)) % 2**64
+            want.append(h)
+        count.append(places)
+    h, n = line_dedup.shingle_hashes(lines)
+    assert n.tolist() == count
+    assert h.tolist() == line_dedup.mix(np.array(want, np.uint64)).tolist()
